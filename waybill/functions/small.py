@@ -20,9 +20,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def scalar(one_row: DataFrame) -> Column:
-    """A one-row table (a global aggregate) as a struct-valued scalar subquery."""
-    return one_row.select(F.struct(*one_row.columns).alias("v")).scalar()
+def scalar(one_row: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row table (a global aggregate) as literals.
+
+    Read once: a scalar subquery would be planned again at every mention.
+    """
+    row = one_row.first()
+    return {f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema.fields}
 
 
 def shuffle_width(df: DataFrame, least: int = 8, most: int = 4096) -> int:

@@ -216,6 +216,13 @@ def correlation_matrix(df: DataFrame, columns) -> DataFrame:
     f = Fields(df)
     pairs = list(combinations(columns, 2))
     numbers = df.select(*[f.number(c).alias(c) for c in columns])
-    one = numbers.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+
+    def corr(a: str, b: str) -> Column:
+        """NULL, not an error, where a column is constant."""
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+        return F.when(spread > 0, F.covar_pop(a, b) / spread)
+
+    one = numbers.agg(*[corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     lines = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
     return one.selectExpr(f"stack({len(pairs)}, {lines}) as (left_field, right_field, corr)")

@@ -51,7 +51,8 @@ def long_values(df: DataFrame, fields, carry=(), width: int | None = None) -> Da
         *[
             F.struct(
                 F.lit(f).alias("field"),
-                F.col(f + "_bucket").cast("int").alias("bucket"),
+                # never NULL, so both uses of the counts plan alike and share a shuffle
+                F.coalesce(F.col(f + "_bucket").cast("int"), F.lit(0)).alias("bucket"),
                 F.col(f).alias("value"),
             )
             for f in fields

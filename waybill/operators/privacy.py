@@ -146,7 +146,7 @@ def roc_steps(scores: DataFrame, by=()) -> DataFrame:
     """Distinct scores with positive and negative counts, running and total, per `by`."""
     marked = add_range_buckets(scores.where(F.col("score").isNotNull()), ["score"])
     values = marked.select(
-        *by, F.col("score_bucket").cast("int").alias("bucket"), F.col("score").alias("value"), "is_member"
+        *by, F.coalesce(F.col("score_bucket").cast("int"), F.lit(0)).alias("bucket"), F.col("score").alias("value"), "is_member"
     )
     return running_counts(
         values,

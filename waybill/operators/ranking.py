@@ -120,7 +120,7 @@ def time_rank(df: DataFrame, key: str = S.ROW_ID, column: str | None = None) ->
     groups = add_range_buckets(
         marked.groupBy("_t", "_slice").agg(F.count(F.lit(1)).alias("_size")), ["_t"]
     ).select(
-        F.col("_t_bucket").cast("int").alias("bucket"),
+        F.coalesce(F.col("_t_bucket").cast("int"), F.lit(0)).alias("bucket"),
         F.struct("_t", "_slice").alias("value"),
         "_size",
     )
