@@ -1,6 +1,6 @@
 """Registered queries and composed jobs."""
 
-from waybill.plans import registered, registered_metrics  # noqa: F401
+from waybill.plans import registered, registered_metrics, registered_privacy  # noqa: F401
 from waybill.plans.registered import QUERIES
 
 __all__ = ["QUERIES"]

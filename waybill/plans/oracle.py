@@ -41,7 +41,7 @@ def statement(body: str) -> str:
     need(body)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in order) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in order) + "\n" + body
 
 
 def all_statements() -> dict[str, str]:
@@ -895,3 +895,192 @@ oracle(
         SELECT *, {_pos.format('level')} AS p FROM w_sweep)) GROUP BY 1, 2
     """,
 )
+
+# ---- privacy -------------------------------------------------------------------------------
+def _scaled(name: str, source: str, stats: str) -> None:
+    view(
+        name,
+        "SELECT row_id, "
+        + ", ".join(f"(coalesce(t.{c},0) - m.{c}_m)/m.{c}_s AS z{i}" for i, c in enumerate(S.DURATION_COLUMNS))
+        + f" FROM {source} t, {stats} m",
+    )
+
+
+def _stats_view(name: str, source: str) -> None:
+    view(
+        name,
+        "SELECT "
+        + ", ".join(
+            f"avg(coalesce({c},0)) AS {c}_m, CASE WHEN stddev_pop(coalesce({c},0))=0 THEN 1 ELSE stddev_pop(coalesce({c},0)) END AS {c}_s"
+            for c in S.DURATION_COLUMNS
+        )
+        + f" FROM {source}",
+    )
+
+
+_dist = "+".join(f"(q.z{i}-r.z{i})*(q.z{i}-r.z{i})" for i in range(5))
+_cell = "concat_ws('|', " + ", ".join(f"floor(z{i})" for i in range(5)) + ")"
+
+
+def nearest(name: str, queries: str, refs: str, key: str = "row_id") -> None:
+    """Exact nearest distance: a bound from the query's own cell, then a range join."""
+    view(f"{name}_q", f"SELECT *, {_cell} AS cell FROM {queries}")
+    view(f"{name}_r", f"SELECT *, {_cell} AS cell FROM {refs}")
+    view(
+        f"{name}_b",
+        f"SELECT q.*, coalesce(b.d2, 'inf'::DOUBLE) AS d2, coalesce(sqrt(b.d2) + 1e-9, 1e6) AS b FROM {name}_q q LEFT JOIN"
+        f" (SELECT q.{key}, min({_dist}) AS d2 FROM {name}_q q JOIN {name}_r r USING (cell) GROUP BY 1) b ON b.{key} = q.{key}",
+    )
+    view(
+        name,
+        f"SELECT {key}, sqrt(min(d)) AS distance FROM (SELECT q.{key}, {_dist} AS d FROM {name}_b q JOIN {name}_r r"
+        f" ON r.z4 >= q.z4 - q.b AND r.z4 <= q.z4 + q.b WHERE abs(r.z1 - q.z1) <= q.b UNION ALL SELECT {key}, d2 FROM {name}_b) GROUP BY 1",
+    )
+
+
+_stats_view("w_st_real", "w_real")
+_scaled("w_z_real", "w_real", "w_st_real")
+_scaled("w_z_synth", "w_synth", "w_st_real")
+nearest("w_nn_dcr", "w_z_synth", "w_z_real")
+oracle("dcr_exact", "SELECT row_id, round(distance, 6) AS distance FROM w_nn_dcr")
+oracle("dcr", "SELECT round(round(avg(distance),6),4) AS dcr_mean, round(round(min(distance),6),4) AS dcr_min, round(round(quantile_cont(distance,0.05),6),4) AS dcr_p5, count(*) AS n FROM w_nn_dcr")
+view("w_nn_marks", f"SELECT *, row_number() OVER ({_order('nnaa')}) > floor(count(*) OVER ()*0.8::DOUBLE) AS is_test FROM w_z_synth")
+view("w_nn_test", "SELECT * FROM w_nn_marks WHERE is_test")
+view("w_nn_train", "SELECT * FROM w_nn_marks WHERE NOT is_test")
+nearest("w_nn_a", "w_nn_test", "w_z_real")
+nearest("w_nn_s", "w_nn_test", "w_nn_train")
+view("w_nnaa", "SELECT row_id, a.distance AS d_real, s.distance AS d_synth FROM w_nn_a a JOIN w_nn_s s USING (row_id)")
+oracle("nnaa", "SELECT round(avg((d_real < d_synth)::INTEGER), 4) AS nnaa, count(*) AS n FROM w_nnaa")
+oracle("privacy_distributions", f"SELECT field, {_SUM} FROM (" + _unpivot("w_nnaa", ["d_real", "d_synth"]) + ") GROUP BY 1")
+view("w_in", "SELECT * FROM w_members WHERE is_member")
+_stats_view("w_st_in", "w_in")
+view("w_made", "SELECT * FROM w_synth WHERE row_id IN (SELECT row_id FROM w_in)")
+_scaled("w_z_made", "w_made", "w_st_in")
+_scaled("w_z_all", "w_members", "w_st_in")
+view("w_mia_k", "SELECT least(count(*) FILTER (is_member), count(*) FILTER (NOT is_member)) AS k FROM w_members")
+view(
+    "w_mia_q",
+    f"""
+    SELECT z.*, is_member FROM w_z_all z JOIN (SELECT row_id, is_member, row_number() OVER (PARTITION BY is_member {_order('mia-query')}) AS r FROM w_members) USING (row_id), w_mia_k
+    WHERE r <= k
+    """,
+)
+nearest("w_nn_mia", "w_mia_q", "w_z_made")
+view("w_mia", "SELECT row_id, is_member, -distance AS score FROM w_nn_mia JOIN (SELECT row_id, is_member FROM w_mia_q) USING (row_id)")
+oracle("mia_scores", "SELECT row_id, is_member, round(score, 6) AS score FROM w_mia")
+oracle(
+    "mia_auc",
+    """
+    SELECT round((sum(r) FILTER (is_member) - p*(p+1)/2)/(p*n), 4) AS mia_auc FROM (
+      SELECT is_member, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1)/2.0::DOUBLE AS r,
+        (count(*) FILTER (is_member) OVER ())::DOUBLE AS p, (count(*) FILTER (NOT is_member) OVER ())::DOUBLE AS n FROM w_mia) GROUP BY p, n
+    """,
+)
+oracle(
+    "mia_tpr_at_fpr",
+    """
+    SELECT round(coalesce(max(tp/p) FILTER (fp/n <= 0.01), 0), 4) AS mia_tpr_at_fpr FROM (
+      SELECT (count(*) FILTER (is_member) OVER (ORDER BY score DESC))::DOUBLE AS tp, (count(*) FILTER (NOT is_member) OVER (ORDER BY score DESC))::DOUBLE AS fp,
+        (count(*) FILTER (is_member) OVER ())::DOUBLE AS p, (count(*) FILTER (NOT is_member) OVER ())::DOUBLE AS n FROM w_mia)
+    """,
+)
+
+# ---- generators ----------------------------------------------------------------------------
+view("w_indexed", f"SELECT *, row_number() OVER ({_order('boot')}) AS idx FROM w_real")
+view("w_n", "SELECT count(*) AS n FROM w_real")
+
+
+def _boot(noise: float, clip: bool) -> str:
+    cells = []
+    for i, c in enumerate(S.DURATION_COLUMNS):
+        e = q6(f"r.{c} + {noise}::DOUBLE * s.{c} * {gauss('draw_id', f'jitter{i//4}', '42', i%4)}")
+        low = {"capture_latency_days": 0, "transit_duration_days": 0.01, "promised_transit_days": 0.01}.get(c)
+        cells.append((f"CASE WHEN {e} < {low} THEN {low}::DOUBLE ELSE {e} END" if clip and low is not None else e) + f" AS {c}")
+    return ", ".join(cells)
+
+
+def _draws(count: str, noise: float, clip: bool = False) -> str:
+    return f"""
+    SELECT draw_id, {_boot(noise, clip)}, r.delay_label, r.last_scac, r.carrier_service_code, r.distance_km,
+      r.date_order_capture, r.date_ship_last_shipment, r.date_delivery_last_shipment, r.date_promise_shipment, r.date_promise_delivery
+    FROM (SELECT i AS draw_id, floor({u('i', 'pick')} * (SELECT n FROM w_n))::BIGINT + 1 AS idx FROM range((SELECT {count} FROM w_n)) t(i))
+    JOIN w_indexed r USING (idx), w_spread s
+    """
+
+
+_shown_cols = ", ".join(f"round({c},6) AS {c}" for c in S.DURATION_COLUMNS)
+view("w_boot_one", _draws("n", 0.03))
+oracle("bootstrap_synth", f"SELECT draw_id, {_shown_cols}, delay_label FROM w_boot_one")
+view("w_boot_clip", _draws("n", 0.15, True))
+oracle("bootstrap_clipped", f"SELECT draw_id, {_shown_cols}, delay_label FROM w_boot_clip")
+_REJ = """coalesce(transit_duration_days > 0 AND delay_label IN (0,1,2) AND last_scac NOT IN ('','nan','None','NaN')
+  AND carrier_service_code NOT IN ('','nan','None','NaN') AND date_order_capture <= date_ship_last_shipment
+  AND date_ship_last_shipment <= date_delivery_last_shipment, false)"""
+view("w_boot_two", _draws("8*n", 0.02))
+view("w_boot_kept", f"SELECT *, {_REJ} AS ok FROM w_boot_two")
+oracle(
+    "resample_to_target",
+    f"SELECT draw_id, {_shown_cols}, delay_label FROM (SELECT *, row_number() OVER (ORDER BY draw_id) AS r FROM w_boot_kept WHERE ok) WHERE r <= (SELECT n FROM w_n)",
+)
+
+
+def _loop(name: str, kept: str) -> str:
+    """Draw sizes of the resampling loop as a recursive query over cumulative counts."""
+    view(
+        f"{name}_cum",
+        f"SELECT draw_id, (sum(ok::INTEGER) OVER (ORDER BY draw_id))::BIGINT AS c, (sum((delay_label=2)::INTEGER) OVER (ORDER BY draw_id))::BIGINT AS l2 FROM {kept}",
+    )
+    view(
+        f"{name}_loop",
+        f"""
+        SELECT n AS drawn, c AS survived, l2 FROM w_n JOIN {name}_cum ON draw_id = n - 1
+        UNION ALL
+        SELECT x.drawn + x.size, k.c, k.l2 FROM (SELECT drawn, survived,
+            least(8*n - drawn, floor((n - survived)/greatest(survived::DOUBLE/drawn, 0.02))::BIGINT + 1) AS size
+          FROM {name}_loop, w_n WHERE survived < n AND drawn < 8*n) x JOIN {name}_cum k ON k.draw_id = x.drawn + x.size - 1
+        """,
+    )
+    return f"""
+        SELECT n AS n_target, drawn, survived, round(survived::DOUBLE/drawn, 4) AS survival_rate, survived < n AS cap_hit,
+          round(l2::DOUBLE/drawn, 4) AS raw_label2_rate,
+          (SELECT count(*) FROM (SELECT delay_label, row_number() OVER (ORDER BY draw_id) AS r FROM {kept}, (SELECT max(drawn) AS md FROM {name}_loop) WHERE ok AND draw_id < md), w_n WHERE r <= n AND delay_label = 2) AS kept_label2_n
+        FROM {name}_loop, w_n ORDER BY drawn DESC LIMIT 1
+        """
+
+
+oracle("resample_stats", _loop("w_res", "w_boot_kept"))
+view("w_boot_three", _draws("8*n", 0.03))
+view("w_fit_pairs", "SELECT DISTINCT last_scac, carrier_service_code, true AS hit FROM w_real")
+_levels_sql = []
+for _name, _cond in [
+    ("none", "true"),
+    ("temporal", _T),
+    ("moderate", _M),
+    ("strict", f"{_M} AND (last_scac IS NULL OR carrier_service_code IS NULL OR hit)"),
+    ("strict_reject", f"{_M} AND (last_scac IS NULL OR carrier_service_code IS NULL OR hit) AND {_REJ}"),
+]:
+    view(
+        f"w_lv_{_name}",
+        f"SELECT draw_id, delay_label, ({_cond}) AS ok FROM w_boot_three LEFT JOIN w_fit_pairs USING (last_scac, carrier_service_code)",
+    )
+    _levels_sql.append(
+        f"SELECT *, '{_name.replace('_', '+')}' AS level FROM (" + _loop(f"w_lp_{_name}", f"w_lv_{_name}") + ")"
+    )
+oracle("generate_levels", " UNION ALL ".join(_levels_sql))
+_cop = ["transit_duration_days", "promised_transit_days", "shipment_buffer_days", "sla_buffer"]
+_sc = ", ".join(
+    ppf(f"u{i}") + f" AS {c}" for i, c in enumerate(_cop)
+)
+_us = ", ".join(
+    f"greatest(1e-4::DOUBLE, least(0.9999::DOUBLE, (rank() OVER (ORDER BY coalesce({c},0)) + (count(*) OVER (PARTITION BY coalesce({c},0)) - 1)/2.0::DOUBLE)/(count(*) OVER () + 1))) AS u{i}"
+    for i, c in enumerate(_cop)
+)
+view("w_ranks", f"SELECT {_us} FROM w_real")
+view("w_normals", f"SELECT {_sc} FROM w_ranks")
+oracle(
+    "copula_fit",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS left_field, '{b}' AS right_field, round(corr({a},{b}), 4) AS corr FROM w_normals"
+        for i, a in enumerate(_cop) for b in _cop[i + 1 :]
+    ),
+)
