@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 20_000
@@ -45,3 +47,18 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     cell = F.struct(*[c.alias(n) for n, c in columns.items()])
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(cell)))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names; a local one only where none is named."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="waybill-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, so later passes read it instead of redoing it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

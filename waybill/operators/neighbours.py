@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill import schema as S
+from waybill.functions.small import shuffle_width
 
 BROADCAST_REFERENCES = 100_000
 CELL_ROWS = 4_096
 MAX_CELLS = 32_768
 SAMPLE_PER_CELL = 16
 QUERIES_PER_TASK = 20_000
-_LEAF = 64
+_LEAF = 256
 
 
 def nearest_in_block(queries: np.ndarray, refs: np.ndarray, bound=None) -> np.ndarray:
@@ -163,7 +164,9 @@ def nearest_distance(
     """
     columns = list(columns)
     points = references.select(*columns).distinct()
-    asked = queries.select(F.col(key).alias("_key"), *columns)
+    # The search is far heavier than a narrow shuffle: spread the queries over all tasks.
+    tasks = max(shuffle_width(queries), queries.sparkSession.sparkContext.defaultParallelism)
+    asked = queries.select(F.col(key).alias("_key"), *columns).repartition(tasks, "_key")
     kind = dict(queries.dtypes)[key]
 
     sample_rows = points.limit(broadcast_rows + 1)

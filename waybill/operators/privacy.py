@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions.coerce import Fields
+from waybill.functions.small import materialised
 from waybill.operators.derive import scale_stats
 from waybill.operators.distribution import histogram, value_summary
 from waybill.operators.ecdf import add_range_buckets, running_counts
@@ -52,7 +53,7 @@ def dcr_distances(
     r, s = _scaled([real, synth], real, columns)
     if cap is not None:
         r, s = hash_sample(r, cap, "dcr-real", seed), hash_sample(s, cap, "dcr-synth", seed)
-    return nearest_distance(s, r, columns)
+    return materialised(nearest_distance(s, r, columns))
 
 
 def dcr_summary(distances: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def nnaa_distances(
         r, train = hash_sample(r, cap, "nnaa-real", seed), hash_sample(train, cap, "nnaa-train", seed)
     to_real = nearest_distance(test, r, columns, out="d_real")
     to_synth = nearest_distance(test, train, columns, out="d_synth")
-    return to_real.join(to_synth, S.ROW_ID)
+    return materialised(to_real.join(to_synth, S.ROW_ID))
 
 
 def nnaa_score(distances: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def mia_scores(
         part = hash_sample(table, int(k), "mia-query", seed).withColumn("is_member", F.lit(flag))
         asked = part if asked is None else asked.unionByName(part)
     tagged = asked.withColumn("_tag", F.concat(F.when(F.col("is_member"), "m").otherwise("n"), S.ROW_ID))
-    found = nearest_distance(tagged, refs, columns, key="_tag")
+    found = materialised(nearest_distance(tagged, refs, columns, key="_tag"))
     return found.select(
         F.expr("substring(_tag, 2)").alias(S.ROW_ID),
         (F.substring("_tag", 1, 1) == "m").alias("is_member"),

@@ -17,7 +17,7 @@ from waybill import schema as S
 from waybill.functions.coerce import Fields, quantised
 from waybill.functions.hashing import normal, uniform
 from waybill.functions.normal import normal_cdf, normal_quantile
-from waybill.functions.small import computed_once, shuffle_width
+from waybill.functions.small import computed_once, materialised, shuffle_width
 from waybill.operators.ecdf import long_values, running_counts
 from waybill.operators.ranking import hash_rank
 
@@ -240,7 +240,10 @@ def copula(train: DataFrame, seed: int = 42) -> Draw:
         matrix[i, j] = matrix[j, i] = 0.0 if corr is None else corr
     factor = np.linalg.cholesky(matrix)
     total = train.count()
-    runs = value_runs(numbers, usable, []).unionByName(value_runs(train, [], discrete))
+    # Every draw reads the runs; they are worked out once.
+    runs = materialised(
+        value_runs(numbers, usable, []).unionByName(value_runs(train, [], discrete))
+    )
     width = shuffle_width(train)
 
     def draw(first: int, n: int) -> DataFrame:

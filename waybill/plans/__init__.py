@@ -1,6 +1,12 @@
 """Registered queries and composed jobs."""
 
-from waybill.plans import registered, registered_metrics, registered_privacy  # noqa: F401
+from waybill.plans import (  # noqa: F401
+    registered,
+    registered_metrics,
+    registered_models,
+    registered_privacy,
+    registered_sources,
+)
 from waybill.plans.registered import QUERIES
 
 __all__ = ["QUERIES"]

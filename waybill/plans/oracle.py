@@ -309,8 +309,8 @@ oracle(
 )
 
 # ---- derived features --------------------------------------------------------------
-_D = ", ".join(f"round({c}, 6) AS {c}" for c in S.DURATION_COLUMNS)
-oracle("derived_features", f"SELECT row_id, {_D}, round(transit_duration_days,6) AS transit_duration, distance_km, delay_label FROM w_real")
+_D = ", ".join(f"round({c}, 9) AS {c}" for c in S.DURATION_COLUMNS)
+oracle("derived_features", f"SELECT row_id, {_D}, round(transit_duration_days,9) AS transit_duration, distance_km, delay_label FROM w_real")
 oracle("label_from_sla", "SELECT row_id, CASE WHEN sla_buffer IS NULL OR sla_buffer>=0 THEN 0 WHEN -sla_buffer<=2 THEN 1 ELSE 2 END::INTEGER AS delay_label FROM w_base")
 oracle(
     "label_from_transit",
@@ -357,13 +357,13 @@ oracle("encode_categoricals", f"SELECT row_id, {_codes} FROM w_real")
 oracle(
     "feature_matrix",
     f"SELECT row_id, distance_km, coalesce(promised_transit_days,0) AS promised_transit_days, {_codes.replace('::BIGINT', '::DOUBLE')}, delay_label FROM w_real".replace(
-        "promised_transit_days,0) AS promised_transit_days", "round(promised_transit_days,6),0) AS promised_transit_days"
+        "promised_transit_days,0) AS promised_transit_days", "round(promised_transit_days,9),0) AS promised_transit_days"
     ),
 )
 oracle(
     "standardise",
     "SELECT row_id, "
-    + ", ".join(f"round((coalesce(s.{c},0) - m.{c}_m)/m.{c}_s, 6) AS {c}" for c in S.DURATION_COLUMNS)
+    + ", ".join(f"round((coalesce(s.{c},0) - m.{c}_m)/m.{c}_s, 9) AS {c}" for c in S.DURATION_COLUMNS)
     + " FROM w_synth s, (SELECT "
     + ", ".join(
         f"avg(coalesce({c},0)) AS {c}_m, CASE WHEN stddev_pop(coalesce({c},0))=0 THEN 1 ELSE stddev_pop(coalesce({c},0)) END AS {c}_s"
@@ -464,10 +464,10 @@ oracle(
     """
     SELECT row_id, strftime(c3, '%Y-%m-%d %H:%M:%S') AS date_order_capture, strftime(s3, '%Y-%m-%d %H:%M:%S') AS date_ship_last_shipment,
       strftime(CASE WHEN date_delivery_last_shipment < s3 THEN s3 ELSE date_delivery_last_shipment END, '%Y-%m-%d %H:%M:%S') AS date_delivery_last_shipment,
-      round(greatest(coalesce(capture_latency_days,0),0),6) AS capture_latency_days,
-      round(greatest(coalesce(transit_duration_days,0.01),0.01),6) AS transit_duration_days,
-      round(greatest(coalesce(promised_transit_days,0),0),6) AS promised_transit_days,
-      round(coalesce(shipment_buffer_days,0),6) AS shipment_buffer_days, round(coalesce(sla_buffer,0),6) AS sla_buffer, delay_label
+      round(greatest(coalesce(capture_latency_days,0),0),9) AS capture_latency_days,
+      round(greatest(coalesce(transit_duration_days,0.01),0.01),9) AS transit_duration_days,
+      round(greatest(coalesce(promised_transit_days,0),0),9) AS promised_transit_days,
+      round(coalesce(shipment_buffer_days,0),9) AS shipment_buffer_days, round(coalesce(sla_buffer,0),9) AS sla_buffer, delay_label
     FROM (SELECT *, CASE WHEN date_ship_last_shipment < c3 THEN c3 ELSE date_ship_last_shipment END AS s3 FROM (
       SELECT *, CASE WHEN date_order_capture < date_order_created_omni THEN date_order_created_omni ELSE date_order_capture END AS c3 FROM w_audited))
     WHERE delay_label IN (0,1,2)
@@ -525,7 +525,7 @@ oracle(
     ),
 )
 _show = ", ".join(
-    f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" if c.startswith("date_") else (f"round({c},6) AS {c}" if c in S.DURATION_COLUMNS else c)
+    f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" if c.startswith("date_") else (f"round({c},9) AS {c}" if c in S.DURATION_COLUMNS else c)
     for c in [*S.DATE_COLUMNS, *S.SANITY_CATEGORICALS, *S.DURATION_COLUMNS, S.LABEL]
 )
 oracle("sanity_flagged_examples", f"SELECT row_id, {_show} FROM w_sane WHERE flagged ORDER BY row_id LIMIT 10")
@@ -570,7 +570,7 @@ view("w_synth_values", _unpivot("w_synth"))
 oracle(
     "duration_quantiles",
     " UNION ALL ".join(
-        f"SELECT field, {p}::DOUBLE AS prob, round(quantile_cont(value, {p}), 6) AS quantile FROM w_values GROUP BY field"
+        f"SELECT field, {p}::DOUBLE AS prob, round(quantile_cont(value, {p}), 9) AS quantile FROM w_values GROUP BY field"
         for p in (0.005, 0.05, 0.25, 0.5, 0.75, 0.95, 0.995)
     ),
 )
@@ -1008,7 +1008,7 @@ def _draws(count: str, noise: float, clip: bool = False) -> str:
     """
 
 
-_shown_cols = ", ".join(f"round({c},6) AS {c}" for c in S.DURATION_COLUMNS)
+_shown_cols = ", ".join(f"round({c},9) AS {c}" for c in S.DURATION_COLUMNS)
 view("w_boot_one", _draws("n", 0.03))
 oracle("bootstrap_synth", f"SELECT draw_id, {_shown_cols}, delay_label FROM w_boot_one")
 view("w_boot_clip", _draws("n", 0.15, True))
@@ -1084,3 +1084,73 @@ oracle(
         for i, a in enumerate(_cop) for b in _cop[i + 1 :]
     ),
 )
+
+# ---- sources and streams ---------------------------------------------------------------------
+def _result_sql(source: str) -> str:
+    dates = ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in S.DATE_COLUMNS)
+    return f"""
+    SELECT row_id, {dates}, dpe_id, last_shipnode, last_scac, line_type, round(t,9) AS transit_duration_days, round(p,9) AS promised_transit_days,
+      round(s,9) AS sla_buffer, CASE WHEN s IS NULL OR s>=0 THEN 0 WHEN -s<=2 THEN 1 ELSE 2 END::INTEGER AS delay_label
+    FROM (SELECT *, {_days('date_ship_last_shipment','date_delivery_last_shipment')} AS t, {_days('date_promise_shipment','date_promise_delivery')} AS p,
+      {_days('date_delivery_last_shipment','date_promise_delivery')} AS s FROM ({source}))
+    """
+
+
+oracle(
+    "adapt_order_lines",
+    _result_sql("""
+    SELECT row_id, o AS date_order_created_omni, o AS date_order_capture, sh AS date_ship_last_shipment, sh AS date_promise_shipment,
+      sh + to_days(greatest(h%9-1, 0)::INTEGER) AS date_delivery_last_shipment, sh + to_days((h%4)::INTEGER) AS date_promise_delivery,
+      'UNK' AS dpe_id, 'UNK' AS last_shipnode, coalesce(last_scac, 'nan') AS last_scac, line_type
+    FROM (SELECT *, date_trunc('minute', date_order_created_omni) AS o, date_trunc('minute', date_order_created_omni) + to_days((h%5)::INTEGER) AS sh FROM w_real)
+    WHERE h%71 <> 0 AND h%73 <> 0
+    """),
+)
+oracle(
+    "adapt_legacy",
+    _result_sql("""
+    SELECT row_id, date_order_created_omni, date_order_created_omni + to_hours(2) AS date_order_capture, date_ship_last_shipment,
+      date_order_created_omni + to_hours(8) AS date_promise_shipment, CASE WHEN h%97<>0 THEN date_delivery_last_shipment END AS date_delivery_last_shipment,
+      date_promise_delivery, 'UNKNOWN' AS dpe_id, 'SN_UNKNOWN' AS last_shipnode, coalesce(last_scac, 'nan') AS last_scac, 'NORMAL' AS line_type
+    FROM w_base
+    """),
+)
+
+
+def _pu(salt: str, lane: int = 0) -> str:
+    return u("i", f"proxy-{salt}", "42", lane)
+
+
+def _micro(days: str) -> str:
+    return f"to_microseconds(floor(({days}) * 86400e6::DOUBLE)::BIGINT)"
+
+
+_root = f"({1.0 - 1.0 / (9.0 * 2.3)!r}::DOUBLE + {gauss('i', 'proxy-transit')} * {1.0 / (3.0 * 2.3**0.5)!r}::DOUBLE)"
+oracle(
+    "proxy_deliveries",
+    _result_sql(f"""
+    SELECT 'P' || i AS row_id, cr AS date_order_created_omni, ca AS date_order_capture, sh AS date_ship_last_shipment, sh + {_micro('tr')} AS date_delivery_last_shipment,
+      ps AS date_promise_shipment, ps + {_micro('greatest(0.25::DOUBLE, tr - sl)')} AS date_promise_delivery,
+      'DPE_' || lpad((floor({_pu('ids', 0)}*50.0::DOUBLE)+1)::BIGINT::VARCHAR, 3, '0') AS dpe_id,
+      'SN_' || lpad((floor({_pu('ids', 3)}*70.0::DOUBLE)+1)::BIGINT::VARCHAR, 3, '0') AS last_shipnode,
+      ['DHL','UPS','FDX','DPD','USPS'][(floor({_pu('carrier', 0)}*5.0::DOUBLE)+1)::INTEGER] AS last_scac,
+      CASE WHEN {_pu('types', 0)} < 0.86::DOUBLE THEN 'NORMAL' WHEN {_pu('types', 0)} < {0.86 + 0.09!r}::DOUBLE THEN 'BACKORDER' ELSE 'PREORDER' END AS line_type
+    FROM (SELECT *, ca + {_micro(f"{0.05!r}::DOUBLE + {1.2 - 0.05!r}::DOUBLE * {_pu('created', 3)}")} AS sh, ca + {_micro(f"0.0::DOUBLE + 0.6::DOUBLE * {_pu('promise', 0)}")} AS ps FROM (
+      SELECT *, cr + {_micro(f"{0.01!r}::DOUBLE + {0.8 - 0.01!r}::DOUBLE * {_pu('created', 2)}")} AS ca FROM (
+        SELECT i, TIMESTAMP '2025-01-01' + to_hours((floor({_pu('created', 0)}*180.0::DOUBLE)*24 + floor({_pu('created', 1)}*24.0::DOUBLE))::BIGINT) AS cr,
+          greatest(0.08::DOUBLE, {2.3 * 0.8!r}::DOUBLE * {_root} * {_root} * {_root}) AS tr, -0.25::DOUBLE + 1.0::DOUBLE * {_pu('promise', 1)} AS sl
+        FROM range((SELECT count(*) FROM lineitem)) x(i))))
+    """),
+)
+oracle(
+    "stream_audit",
+    f"SELECT quarantined, count(*) AS n, count(DISTINCT row_id) AS ids FROM (SELECT *, {' OR '.join(_HARD)} AS quarantined FROM w_flags) GROUP BY 1",
+)
+oracle(
+    "stream_window_rate",
+    f"""
+    SELECT strftime(make_timestamp((floor(epoch(date_order_created_omni)/604800)*604800*1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') AS window_start,
+      count(*) AS n, count(*) FILTER ({' OR '.join(_HARD)}) AS violations FROM w_flags GROUP BY 1
+    """,
+)
+oracle("stream_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")

@@ -21,10 +21,11 @@ def query(fn):
     return fn
 
 
-def _six(df: DataFrame, columns) -> list:
-    """`columns` of `df`, doubles among `columns` rounded to six digits."""
+def _nine(df: DataFrame, columns) -> list:
+    """`columns` of `df`, doubles rounded to nine digits: seconds as days never end in a 5
+    there, so both engines round alike."""
     kinds = dict(df.dtypes)
-    return [F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in columns]
+    return [F.round(c, 9).alias(c) if kinds[c] == "double" else F.col(c) for c in columns]
 
 
 # ---- audits --------------------------------------------------------------------------
@@ -137,7 +138,7 @@ def derived_features(spark, sf_dir):
     out = derive.derive_features(raw)
     return out.select(
         S.ROW_ID,
-        *_six(out, [*S.DURATION_COLUMNS, "transit_duration"]),
+        *_nine(out, [*S.DURATION_COLUMNS, "transit_duration"]),
         S.DISTANCE,
         S.LABEL,
     )
@@ -200,14 +201,14 @@ def encode_categoricals(spark, sf_dir):
 @query
 def feature_matrix(spark, sf_dir):
     out = derive.feature_matrix(D.canonical(spark, sf_dir))
-    return out.select(S.ROW_ID, *_six(out, S.FEATURE_COLUMNS), S.LABEL)
+    return out.select(S.ROW_ID, *_nine(out, S.FEATURE_COLUMNS), S.LABEL)
 
 
 @query
 def standardise(spark, sf_dir):
     real, synth = D.canonical(spark, sf_dir, []), D.synthetic(spark, sf_dir, [])
     out = derive.standardise(synth, real, S.DURATION_COLUMNS)
-    return out.select(S.ROW_ID, *_six(out, S.DURATION_COLUMNS))
+    return out.select(S.ROW_ID, *_nine(out, S.DURATION_COLUMNS))
 
 
 # ---- filters, repair, ladder, gates ----------------------------------------------------
@@ -272,7 +273,7 @@ def strictness_levels(spark, sf_dir):
 def deterministic_repair(spark, sf_dir):
     out = records(repair.deterministic_repair(D.audited(spark, sf_dir, [])))
     shown = [S.CAPTURE, S.SHIP, S.DELIVERY, *S.DURATION_COLUMNS, S.LABEL]
-    return out.select(S.ROW_ID, *_six(out, shown))
+    return out.select(S.ROW_ID, *_nine(out, shown))
 
 
 @query
@@ -290,20 +291,20 @@ def sanity_flagged_examples(spark, sf_dir):
     out = records(
         checks.flagged_examples(D.synthetic(spark, sf_dir), D.canonical(spark, sf_dir))
     )
-    return out.select(*_six(out, out.columns))
+    return out.select(*_nine(out, out.columns))
 
 
 @query
 def sanity_sample(spark, sf_dir):
     out = records(checks.sanity_sample(D.synthetic(spark, sf_dir)))
-    return out.select(*_six(out, out.columns))
+    return out.select(*_nine(out, out.columns))
 
 
 @query
 def record_export(spark, sf_dir):
     df = D.canonical(spark, sf_dir)
     out = records(df.select(S.ROW_ID, *checks.display_columns(df)))
-    return out.select(*_six(out, out.columns))
+    return out.select(*_nine(out, out.columns))
 
 
 @query

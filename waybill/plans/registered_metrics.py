@@ -35,7 +35,7 @@ def combo_cardinality(spark, sf_dir):
 def duration_quantiles(spark, sf_dir):
     probs = [0.005, 0.05, 0.25, 0.5, 0.75, 0.95, 0.995]
     out = exact_quantiles(D.canonical(spark, sf_dir, []), S.DURATION_COLUMNS, probs)
-    return out.withColumn("quantile", F.round("quantile", 6))
+    return out.withColumn("quantile", F.round("quantile", 9))
 
 
 @query

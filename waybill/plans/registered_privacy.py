@@ -84,7 +84,7 @@ def _rows_of(spark, sf_dir) -> int:
 def _shown(df):
     return df.select(
         "draw_id",
-        *[F.round(c, 6).alias(c) for c in S.DURATION_COLUMNS if c in df.columns],
+        *[F.round(c, 9).alias(c) for c in S.DURATION_COLUMNS if c in df.columns],
         S.LABEL,
     )
 
@@ -123,8 +123,9 @@ def resample_stats(spark, sf_dir):
 def generate_levels(spark, sf_dir):
     real = D.canonical(spark, sf_dir, _CARRIER)
     n = _rows_of(spark, sf_dir)
+    draw = gen.generator(real, "TVAE")
     parts = [
-        gen.generate(real, level, "TVAE", n)[1].withColumn("level", F.lit(level))
+        gen.generate(real, level, "TVAE", n, draw=draw)[1].withColumn("level", F.lit(level))
         for level, _, _ in S.STRICTNESS
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -147,9 +148,10 @@ def mechanism_levels(spark, sf_dir):
     """Rows kept, label share and integrity per rejection tier of copula draws."""
     real = D.canonical(spark, sf_dir, _CARRIER)
     n = _rows_of(spark, sf_dir)
+    draw = synth.copula(real)
     parts = []
     for level in ("none", "moderate", "strict"):
-        kept = gen.overdraw(real, level, n)
+        kept = gen.overdraw(draw, level, n)
         parts.append(
             kept.agg(
                 F.lit(level).alias("level"),

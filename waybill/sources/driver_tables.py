@@ -41,12 +41,15 @@ def _hours(base: Column, hours: Column) -> Column:
     return _later(base, hours * 3600)
 
 
-def deliveries(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
-    """Raw delivery rows (dates, categories, `h`); `columns` limits what is joined and read."""
+def deliveries(spark: SparkSession, sf_dir: str, columns=None, lines=None) -> DataFrame:
+    """Raw delivery rows (dates, categories, `h`); `columns` limits what is joined and read.
+
+    `lines` replaces the stored order lines, for instance by a stream of them.
+    """
     wanted = set(columns or [*S.DATE_COLUMNS, *S.CATEGORICAL_COLUMNS])
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
     )
     orders = table(spark, sf_dir, "orders").select(
@@ -149,10 +152,10 @@ def _with_durations(df: DataFrame) -> DataFrame:
     ).withColumn(S.DISTANCE, F.lit(0.0))
 
 
-def audited(spark: SparkSession, sf_dir: str, categories=None) -> DataFrame:
+def audited(spark: SparkSession, sf_dir: str, categories=None, lines=None) -> DataFrame:
     """Canonical rows with planted violations and damaged labels: input of the audits."""
     cats = ["last_scac", "carrier_service_code"] if categories is None else categories
-    df = deliveries(spark, sf_dir, [*S.DATE_COLUMNS, *cats])
+    df = deliveries(spark, sf_dir, [*S.DATE_COLUMNS, *cats], lines)
     return _with_durations(df).withColumn(S.LABEL, audited_label()).drop("h", "l_suppkey")
 
 
