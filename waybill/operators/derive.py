@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions.coerce import Fields, days_between
-from waybill.functions.small import broadcast_if_small, scalar
+from waybill.functions.small import BROADCAST_ROWS, broadcast_if_small, scalar
 from waybill.operators.ecdf import exact_quantiles
 
-_NONE = F.lit
-
 
 def add_durations(df: DataFrame) -> DataFrame:
     """Dates as timestamps and the five durations in days; NULL where an input is missing."""
@@ -134,7 +132,9 @@ def category_codes(df: DataFrame, columns=None) -> DataFrame:
     Values meet in one plan for all columns. Ranks are running counts over prefix buckets
     rather than one window per column, so a high-cardinality column spreads over tasks.
     """
-    columns = S.shared_columns(columns or S.CATEGORICAL_COLUMNS, df.columns)
+    columns = S.shared_columns(
+        S.CATEGORICAL_COLUMNS if columns is None else columns, df.columns
+    )
     f = Fields(df)
     cells = F.array(
         *[
@@ -143,6 +143,12 @@ def category_codes(df: DataFrame, columns=None) -> DataFrame:
         ]
     )
     values = df.select(F.explode(cells).alias("cell")).select("cell.*").distinct()
+    held = values.limit(BROADCAST_ROWS + 1).collect()
+    if len(held) <= BROADCAST_ROWS:
+        # Few values in all: ranked where they are, without another pass over the rows.
+        local = df.sparkSession.createDataFrame(held, values.schema)
+        rank = F.row_number().over(Window.partitionBy("column_name").orderBy("value")) - 1
+        return local.withColumn("code", rank.cast("bigint"))
     return text_ranks(values, ["column_name"], "value").withColumnRenamed("_rank", "code")
 
 
@@ -169,7 +175,11 @@ def text_ranks(values: DataFrame, by, text: str, edges_per_group: int = 16) -> D
 def encode_categories(df: DataFrame, codes: DataFrame | None = None, columns=None) -> DataFrame:
     """Adds `<column>_enc`. `codes` from another table keeps one meaning per code; a value
     it lacks gets the next free code."""
-    columns = S.shared_columns(columns or S.CATEGORICAL_COLUMNS, df.columns)
+    columns = S.shared_columns(
+        S.CATEGORICAL_COLUMNS if columns is None else columns, df.columns
+    )
+    if not columns:
+        return df
     codes = category_codes(df, columns) if codes is None else codes
     sizes = scalar(
         codes.groupBy().agg(

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill import schema as S
@@ -189,17 +189,20 @@ def _by_broadcast(asked, refs: np.ndarray, columns, kind, key, out) -> DataFrame
     return result.select(F.col("_key").alias(key), F.nanvl("_d", F.lit(None)).alias(out))
 
 
-def _by_cells(asked, points, columns, kind, key, out, cell_rows) -> DataFrame:
+def _tree(points: DataFrame, columns, cell_rows: int) -> CellTree:
+    """Cells balanced on a bounded hash sample, the same one in every recomputation."""
     n = points.count()
     wanted = max(2, min(MAX_CELLS, -(-n // cell_rows)))
     share = min(1.0, 1.3 * wanted * SAMPLE_PER_CELL / n)
-    # A hash sample, so that recomputed tasks see the same tree inputs.
     marked = points.where(
         F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)
     )
-    tree = CellTree.build(
-        _matrix(marked.limit(2 * wanted * SAMPLE_PER_CELL).toPandas(), columns), wanted
-    )
+    sample = marked.select(*columns).limit(2 * wanted * SAMPLE_PER_CELL).toPandas()
+    return CellTree.build(_matrix(sample, columns), wanted)
+
+
+def _by_cells(asked, points, columns, kind, key, out, cell_rows) -> DataFrame:
+    tree = _tree(points, columns, cell_rows)
     fields = ", ".join(f"`{c}` double" for c in columns)
 
     def with_cell(batches):
@@ -266,3 +269,186 @@ def _visit(asked: DataFrame, refs: DataFrame, columns, kind) -> DataFrame:
         .cogroup(copies.groupBy("_cell", "_slice"))
         .applyInPandas(scan, f"_key {kind}, {fields}, _best double")
     )
+
+
+# ---- k nearest rows ---------------------------------------------------------------------
+def nearest_rows_in_block(queries, refs, ids, k, dist=None, found=None):
+    """(squared distances, ids) of the k nearest rows per query, nearest first, ties by id.
+
+    `dist` and `found` carry in the result of blocks searched before.
+    """
+    n = len(queries)
+    dist = np.full((n, k), np.inf) if dist is None else np.array(dist, dtype=float)
+    found = np.full((n, k), "", dtype=object) if found is None else np.array(found, dtype=object)
+    if not len(refs) or not n:
+        return dist, found
+    stack = [(np.arange(n), np.arange(len(refs)), None)]
+    while stack:
+        rows, part, gate = stack.pop()
+        if gate is not None:
+            # at equal distance a smaller id may still come in
+            rows = rows[gate <= dist[rows, -1]]
+        if not len(rows):
+            continue
+        block = refs[part]
+        spread = block.max(axis=0) - block.min(axis=0)
+        if len(part) <= _LEAF or not spread.any():
+            for start in range(0, len(rows), 1024):
+                some = rows[start : start + 1024]
+                total = np.zeros((len(some), len(part)))
+                for j in range(refs.shape[1]):
+                    diff = queries[some, j][:, None] - block[:, j][None, :]
+                    total += diff * diff
+                all_d = np.concatenate([dist[some], total], axis=1)
+                names = np.broadcast_to(ids[part], (len(some), len(part)))
+                all_n = np.concatenate([found[some], names], axis=1)
+                order = np.lexsort((all_n.astype(str), all_d), axis=1)[:, :k]
+                dist[some] = np.take_along_axis(all_d, order, axis=1)
+                found[some] = np.take_along_axis(all_n, order, axis=1)
+            continue
+        axis = int(spread.argmax())
+        order = np.argpartition(block[:, axis], len(part) // 2)
+        half = len(part) // 2
+        low, high = part[order[:half]], part[order[half:]]
+        low_top, high_bottom = refs[low, axis].max(), refs[high, axis].min()
+        x = queries[rows, axis]
+        near_low = x <= (low_top + high_bottom) / 2
+        to_low = np.maximum(x - low_top, 0.0) ** 2
+        to_high = np.maximum(high_bottom - x, 0.0) ** 2
+        stack.append((rows[near_low], high, to_high[near_low]))
+        stack.append((rows[~near_low], low, to_low[~near_low]))
+        stack.append((rows[near_low], low, to_low[near_low]))
+        stack.append((rows[~near_low], high, to_high[~near_low]))
+    return dist, found
+
+
+def _few_copies(references: DataFrame, columns, k: int, salts: int = 64) -> DataFrame:
+    """At most k rows per identical vector, the smallest ids: no other copy can be among the
+    k nearest. Two rounds, so that a vector held by many rows is thinned in parallel."""
+    salt = F.pmod(F.xxhash64("_id"), F.lit(salts))
+    first = Window.partitionBy(*columns, "_salt").orderBy("_id")
+    second = Window.partitionBy(*columns).orderBy("_id")
+    return (
+        references.withColumn("_salt", salt)
+        .withColumn("_r", F.row_number().over(first))
+        .where(F.col("_r") <= k)
+        .withColumn("_r", F.row_number().over(second))
+        .where(F.col("_r") <= k)
+        .drop("_salt", "_r")
+    )
+
+
+def nearest_rows(
+    queries: DataFrame,
+    references: DataFrame,
+    columns,
+    k: int,
+    key: str = S.ROW_ID,
+    broadcast_rows: int = BROADCAST_REFERENCES,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """(key, neighbours): the keys of the k nearest reference rows, nearest first.
+
+    Keys are strings. Exact on both paths, as for `nearest_distance`.
+    """
+    columns = list(columns)
+    tasks = max(shuffle_width(queries), queries.sparkSession.sparkContext.defaultParallelism)
+    asked = queries.select(F.col(key).alias("_key"), *columns).repartition(tasks, "_key")
+    points = _few_copies(references.select(F.col(key).alias("_id"), *columns), columns, k)
+    fields = ", ".join(f"`{c}` double" for c in columns)
+    state = "_d array<double>, _n array<string>"
+    held = points.limit(broadcast_rows + 1).toPandas()
+
+    def pack(batch, dist, found):
+        out = batch[["_key", *columns]].copy()
+        out["_d"], out["_n"] = list(dist), [list(row) for row in found]
+        return out
+
+    if len(held) <= broadcast_rows:
+        shared = queries.sparkSession.sparkContext.broadcast(
+            (_matrix(held, columns), held["_id"].to_numpy(dtype=object))
+        )
+
+        def scan(batches):
+            refs, ids = shared.value
+            for batch in batches:
+                yield pack(batch, *nearest_rows_in_block(_matrix(batch, columns), refs, ids, k))
+
+        best = asked.mapInPandas(scan, f"_key string, {fields}, {state}")
+        return best.select(F.col("_key").alias(key), _real_ids().alias("neighbours"))
+
+    tree = _tree(points, columns, cell_rows)
+
+    def with_cell(batches):
+        for batch in batches:
+            batch["_cell"] = tree.locate(_matrix(batch, columns))
+            yield batch
+
+    refs = points.mapInPandas(with_cell, f"_id string, {fields}, _cell long")
+
+    def visit(visitors: DataFrame) -> DataFrame:
+        load = F.broadcast(
+            visitors.groupBy("_cell").agg(
+                F.ceil(F.count(F.lit(1)) / F.lit(QUERIES_PER_TASK)).cast("int").alias("_slices")
+            )
+        )
+        slice_of = F.pmod(F.xxhash64("_key"), F.col("_slices")).cast("int")
+        left = visitors.join(load, "_cell").withColumn("_slice", slice_of)
+        right = refs.join(load, "_cell").withColumn(
+            "_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
+        )
+
+        def scan(asked_rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked_rows):
+                return pd.DataFrame(columns=["_key", *columns, "_d", "_n"])
+            return pack(
+                asked_rows,
+                *nearest_rows_in_block(
+                    _matrix(asked_rows, columns),
+                    _matrix(block, columns),
+                    block["_id"].to_numpy(dtype=object),
+                    k,
+                    np.stack(asked_rows["_d"]),
+                    np.stack(asked_rows["_n"]),
+                ),
+            )
+
+        return (
+            left.drop("_slices")
+            .groupBy("_cell", "_slice")
+            .cogroup(right.drop("_slices").groupBy("_cell", "_slice"))
+            .applyInPandas(scan, f"_key string, {fields}, {state}")
+        )
+
+    start = asked.withColumns(
+        {
+            "_d": F.array_repeat(F.lit(float("inf")), k),
+            "_n": F.array_repeat(F.lit(""), k),
+        }
+    )
+    own = visit(start.mapInPandas(with_cell, f"_key string, {fields}, {state}, _cell long"))
+
+    def other_cells(batches):
+        for batch in batches:
+            at = _matrix(batch, columns)
+            reach = np.nextafter(np.stack(batch["_d"])[:, -1], np.inf)
+            home = tree.locate(at)
+            rows, cells = tree.within(at, reach)
+            other = cells != home[rows]
+            more = batch.iloc[rows[other]].copy()
+            more["_cell"] = cells[other]
+            yield more
+
+    more = visit(own.mapInPandas(other_cells, f"_key string, {fields}, {state}, _cell long"))
+    # A visit returns the carried rows too; the same neighbour then counts once.
+    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("_d", "_n"))))
+    best = F.slice(F.array_sort(pairs), 1, k)
+    merged = own.unionByName(more).groupBy("_key").agg(best.alias("_best"))
+    kept = F.filter(F.col("_best"), lambda p: p["_n"] != "")
+    return merged.select(
+        F.col("_key").alias(key), F.transform(kept, lambda p: p["_n"]).alias("neighbours")
+    )
+
+
+def _real_ids():
+    return F.filter("_n", lambda name: name != "")

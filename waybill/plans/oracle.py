@@ -363,7 +363,7 @@ oracle(
 oracle(
     "standardise",
     "SELECT row_id, "
-    + ", ".join(f"round((coalesce(s.{c},0) - m.{c}_m)/m.{c}_s, 9) AS {c}" for c in S.DURATION_COLUMNS)
+    + ", ".join(f"round((coalesce(s.{c},0) - m.{c}_m)/m.{c}_s, 6) AS {c}" for c in S.DURATION_COLUMNS)
     + " FROM w_synth s, (SELECT "
     + ", ".join(
         f"avg(coalesce({c},0)) AS {c}_m, CASE WHEN stddev_pop(coalesce({c},0))=0 THEN 1 ELSE stddev_pop(coalesce({c},0)) END AS {c}_s"
@@ -1086,11 +1086,11 @@ oracle(
 )
 
 # ---- sources and streams ---------------------------------------------------------------------
-def _result_sql(source: str) -> str:
+def _result_sql(source: str, digits: int = 9) -> str:
     dates = ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in S.DATE_COLUMNS)
     return f"""
-    SELECT row_id, {dates}, dpe_id, last_shipnode, last_scac, line_type, round(t,9) AS transit_duration_days, round(p,9) AS promised_transit_days,
-      round(s,9) AS sla_buffer, CASE WHEN s IS NULL OR s>=0 THEN 0 WHEN -s<=2 THEN 1 ELSE 2 END::INTEGER AS delay_label
+    SELECT row_id, {dates}, dpe_id, last_shipnode, last_scac, line_type, round(t,{digits}) AS transit_duration_days, round(p,{digits}) AS promised_transit_days,
+      round(s,{digits}) AS sla_buffer, CASE WHEN s IS NULL OR s>=0 THEN 0 WHEN -s<=2 THEN 1 ELSE 2 END::INTEGER AS delay_label
     FROM (SELECT *, {_days('date_ship_last_shipment','date_delivery_last_shipment')} AS t, {_days('date_promise_shipment','date_promise_delivery')} AS p,
       {_days('date_delivery_last_shipment','date_promise_delivery')} AS s FROM ({source}))
     """
@@ -1140,7 +1140,7 @@ oracle(
         SELECT i, TIMESTAMP '2025-01-01' + to_hours((floor({_pu('created', 0)}*180.0::DOUBLE)*24 + floor({_pu('created', 1)}*24.0::DOUBLE))::BIGINT) AS cr,
           greatest(0.08::DOUBLE, {2.3 * 0.8!r}::DOUBLE * {_root} * {_root} * {_root}) AS tr, -0.25::DOUBLE + 1.0::DOUBLE * {_pu('promise', 1)} AS sl
         FROM range((SELECT count(*) FROM lineitem)) x(i))))
-    """),
+    """, 6),
 )
 oracle(
     "stream_audit",
@@ -1154,3 +1154,23 @@ oracle(
     """,
 )
 oracle("stream_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+oracle(
+    "workflow_audit",
+    " UNION ALL ".join(
+        f"SELECT '{i}' AS id, '{key}' AS audit_key, count(*) FILTER ({_flag}) AS violations, count(*) AS n, 'evaluated' AS status FROM w_work"
+        for (i, _, _, _, _, _, key), _flag in zip(_CATALOG, ["f_r1", "f_r2", "f_r3", "f_rpt", "f_r5", "f_r6", "f_r7", "f_r8"])
+    ),
+)
+view(
+    "w_work",
+    """
+    SELECT NOT coalesce(date_order_capture <= date_ship_last_shipment AND date_ship_last_shipment <= date_delivery_last_shipment
+        AND coalesce(date_promise_shipment <= date_promise_delivery, true), false) AS f_r1,
+      coalesce(transit_duration_days <= 0, false) AS f_r2, coalesce(promised_transit_days < 0, false) AS f_rpt,
+      coalesce(capture_latency_days < -(1.0::DOUBLE/86400.0::DOUBLE), false) AS f_r3,
+      delay_label <> (CASE WHEN sla_buffer>=0 THEN 0 WHEN -sla_buffer<=2 THEN 1 ELSE 2 END) AS f_r7,
+      last_scac IS NULL OR last_scac = '' AS f_r5, delay_label NOT IN (0,1,2) AS f_r6,
+      coalesce(isodow(date_delivery_last_shipment)-1 = 6 OR (last_scac='DPD' AND isodow(date_delivery_last_shipment)-1 = 5), false) AS f_r8
+    FROM w_real
+    """,
+)

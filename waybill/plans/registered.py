@@ -208,7 +208,7 @@ def feature_matrix(spark, sf_dir):
 def standardise(spark, sf_dir):
     real, synth = D.canonical(spark, sf_dir, []), D.synthetic(spark, sf_dir, [])
     out = derive.standardise(synth, real, S.DURATION_COLUMNS)
-    return out.select(S.ROW_ID, *_nine(out, S.DURATION_COLUMNS))
+    return out.select(S.ROW_ID, *[F.round(c, 6).alias(c) for c in S.DURATION_COLUMNS])
 
 
 # ---- filters, repair, ladder, gates ----------------------------------------------------

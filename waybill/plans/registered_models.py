@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waybill.operators import models
+from waybill import schema as S
+from waybill.operators import derive, models, oversample
 from waybill.plans import sweep
 from waybill.plans.registered import query
 from waybill.sources import driver_tables as D
@@ -85,3 +86,18 @@ def workflow_audit(spark, sf_dir):
     return out.select("id", "audit_key", "violations", "n", "status").orderBy(F.col("id"))
 
 
+
+
+@query
+def smote_rows(spark, sf_dir):
+    """Rows needed to balance the labels, interpolated on the durations."""
+    matrix = derive.feature_matrix(
+        D.canonical(spark, sf_dir, []), [S.LATENCY, S.TRANSIT, S.PROMISED, S.BUFFER]
+    )
+    return oversample.smote_rows(matrix, [S.LATENCY, S.TRANSIT, S.PROMISED, S.BUFFER])
+
+
+@query
+def smote_baseline(spark, sf_dir):
+    real = D.canonical(spark, sf_dir)
+    return oversample.smote_baseline(real, models.trtr_baseline(real, **SIZE), **SIZE)

@@ -16,10 +16,10 @@ from waybill.streaming import audit_stream as A
 _SHOWN = [S.ROW_ID, *S.DATE_COLUMNS, "dpe_id", "last_shipnode", "last_scac", "line_type"]
 
 
-def _result(df):
+def _result(df, digits=9):
     out = records(df)
     return out.select(
-        *_SHOWN, *[F.round(c, 9).alias(c) for c in (S.TRANSIT, S.PROMISED, S.SLA)], S.LABEL
+        *_SHOWN, *[F.round(c, digits).alias(c) for c in (S.TRANSIT, S.PROMISED, S.SLA)], S.LABEL
     )
 
 
@@ -73,7 +73,7 @@ def adapt_legacy(spark, sf_dir):
 def proxy_deliveries(spark, sf_dir):
     """As many proxy rows as there are order lines."""
     n = D.table(spark, sf_dir, "lineitem").count()
-    return _result(make_proxy(spark, n))
+    return _result(make_proxy(spark, n), 6)
 
 
 # ---- streams -----------------------------------------------------------------------------
