@@ -4,28 +4,43 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waybill.functions.small import computed_once
+
 
 def digest(key: Column, salt: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", key.cast("string"), F.lit(salt), F.lit(str(seed))))
 
 
-def uniform(key: Column, salt: str, seed: int = 42, lane: int = 0) -> Column:
-    """Uniform in (0, 1). One digest carries four independent lanes."""
-    word = F.substring(digest(key, salt, seed), 8 * lane + 1, 8)
+def lane_uniform(hashed: Column, lane: int = 0) -> Column:
+    """Uniform in (0, 1) from one of the four lanes of a digest."""
+    word = F.substring(hashed, 8 * lane + 1, 8)
     return (F.conv(word, 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
 
 
-def normal(key: Column, salt: str, seed: int = 42, lane: int = 0) -> Column:
-    """Standard normal by Box-Muller; lanes 0-3 share one digest."""
+def lane_normal(hashed: Column, lane: int = 0) -> Column:
+    """Standard normal by Box-Muller; a digest gives four, lanes 0-3."""
     pair = lane // 2
-    radius = F.sqrt(F.lit(-2.0) * F.ln(uniform(key, salt, seed, 2 * pair)))
-    angle = F.lit(2.0 * math.pi) * uniform(key, salt, seed, 2 * pair + 1)
+    radius = F.sqrt(F.lit(-2.0) * F.ln(lane_uniform(hashed, 2 * pair)))
+    angle = F.lit(2.0 * math.pi) * lane_uniform(hashed, 2 * pair + 1)
     return radius * (F.cos(angle) if lane % 2 == 0 else F.sin(angle))
 
 
+def uniform(key: Column, salt: str, seed: int = 42, lane: int = 0) -> Column:
+    return lane_uniform(digest(key, salt, seed), lane)
+
+
+def normal(key: Column, salt: str, seed: int = 42, lane: int = 0) -> Column:
+    return lane_normal(digest(key, salt, seed), lane)
+
+
+def with_digests(df: DataFrame, key: Column, salts: dict[str, str], seed: int = 42) -> DataFrame:
+    """Adds digest columns, worked out once per row however many lanes are read."""
+    return computed_once(df, {name: digest(key, salt, seed) for name, salt in salts.items()})
+
+
 def hash_bucket(hashed: Column, digits: int = 4) -> Column:
     """Order-preserving bucket of a hex digest; uniform whatever the keys look like."""
     return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("int")

@@ -37,6 +37,18 @@ def shuffle_width(df: DataFrame, least: int = 8, most: int = 4096) -> int:
     return max(least, min(most, width))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deals out the rows of a scan that has fewer files than the session has cores.
+
+    One large row group is one task, and everything up to the next shuffle stays in it.
+    Tables of many files are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or len(scan.inputFiles()) >= cores:
+        return scan
+    return scan.repartition(cores)
+
+
 def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Adds derived columns behind a one-row generator.
 

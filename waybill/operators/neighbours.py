@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill import schema as S
-from waybill.functions.small import shuffle_width
+from waybill.functions.small import materialised, shuffle_width
 
 BROADCAST_REFERENCES = 100_000
 CELL_ROWS = 4_096
@@ -27,6 +27,16 @@ QUERIES_PER_TASK = 20_000
 _LEAF = 256
 
 
+def _widest_axis(points: np.ndarray) -> int:
+    """Axis of the largest interquartile range, so that a few outliers do not make every
+    cut fall on an axis where the mass of the points is narrow."""
+    some = np.sort(points[:: max(1, len(points) // 256)], axis=0)
+    middle = some[(3 * len(some)) // 4] - some[len(some) // 4]
+    if middle.any():
+        return int(middle.argmax())
+    return int((points.max(axis=0) - points.min(axis=0)).argmax())
+
+
 def nearest_in_block(queries: np.ndarray, refs: np.ndarray, bound=None) -> np.ndarray:
     """Smallest squared distance of each query to `refs`, at most `bound` (squared).
 
@@ -53,7 +63,7 @@ def nearest_in_block(queries: np.ndarray, refs: np.ndarray, bound=None) -> np.nd
                     total += diff * diff
                 best[some] = np.minimum(best[some], total.min(axis=1))
             continue
-        axis = int(spread.argmax())
+        axis = _widest_axis(part)
         order = np.argpartition(part[:, axis], len(part) // 2)
         half = len(part) // 2
         low, high = part[order[:half]], part[order[half:]]
@@ -90,9 +100,14 @@ class CellTree:
             node = len(axis)
             axis.append(-1), cut.append(0.0), left.append(-1), right.append(-1)
             spread = points.max(axis=0) - points.min(axis=0) if len(points) else np.zeros(1)
-            a = int(spread.argmax())
+            a = _widest_axis(points) if len(points) else 0
             c = float(np.median(points[:, a])) if len(points) else 0.0
             below = points[:, a] < c if len(points) else np.zeros(0, dtype=bool)
+            if spread.any() and not below.any():
+                # the median is the smallest value: cut above it, on an axis with spread
+                a = int(spread.argmax())
+                c = float(points[:, a].mean())
+                below = points[:, a] < c
             if budget <= 1 or not spread.any() or not below.any():
                 left[node], leaves = leaves, leaves + 1
                 return node
@@ -174,7 +189,8 @@ def nearest_distance(
     if len(held) <= broadcast_rows:
         refs = _matrix(held, columns)
         return _by_broadcast(asked, refs, columns, kind, key, out)
-    return _by_cells(asked, points, columns, kind, key, out, cell_rows)
+    # Read for the tree and by every visit: worked out once.
+    return _by_cells(asked, materialised(points), columns, kind, key, out, cell_rows)
 
 
 def _by_broadcast(asked, refs: np.ndarray, columns, kind, key, out) -> DataFrame:
@@ -214,7 +230,7 @@ def _by_cells(asked, points, columns, kind, key, out, cell_rows) -> DataFrame:
     first = asked.mapInPandas(with_cell, f"_key {kind}, {fields}, _cell long").withColumn(
         "_best", F.lit(float("inf"))
     )
-    best = _visit(first, refs, columns, kind)
+    best = materialised(_visit(first, refs, columns, kind))
 
     def other_cells(batches):
         for batch in batches:
@@ -306,7 +322,7 @@ def nearest_rows_in_block(queries, refs, ids, k, dist=None, found=None):
                 dist[some] = np.take_along_axis(all_d, order, axis=1)
                 found[some] = np.take_along_axis(all_n, order, axis=1)
             continue
-        axis = int(spread.argmax())
+        axis = _widest_axis(block)
         order = np.argpartition(block[:, axis], len(part) // 2)
         half = len(part) // 2
         low, high = part[order[:half]], part[order[half:]]
@@ -377,6 +393,7 @@ def nearest_rows(
         best = asked.mapInPandas(scan, f"_key string, {fields}, {state}")
         return best.select(F.col("_key").alias(key), _real_ids().alias("neighbours"))
 
+    points = materialised(points)
     tree = _tree(points, columns, cell_rows)
 
     def with_cell(batches):
@@ -426,7 +443,9 @@ def nearest_rows(
             "_n": F.array_repeat(F.lit(""), k),
         }
     )
-    own = visit(start.mapInPandas(with_cell, f"_key string, {fields}, {state}, _cell long"))
+    own = materialised(
+        visit(start.mapInPandas(with_cell, f"_key string, {fields}, {state}, _cell long"))
+    )
 
     def other_cells(batches):
         for batch in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions.coerce import Fields, quantised
-from waybill.functions.hashing import normal, uniform
+from waybill.functions.hashing import lane_normal, normal, uniform, with_digests
 from waybill.functions.normal import normal_cdf, normal_quantile
 from waybill.functions.small import computed_once, materialised, shuffle_width
 from waybill.operators.ecdf import long_values, running_counts
@@ -55,14 +55,15 @@ def bootstrap(real: DataFrame, architecture: str = "TVAE", seed: int = 42) -> Dr
         wanted = F.floor(uniform(key, "pick", seed) * F.lit(float(total))).cast("bigint") + 1
         asked = draw_ids(real.sparkSession, first, n, width).withColumn("_index", wanted)
         rows = asked.join(indexed, "_index").drop("_index", S.ROW_ID)
+        rows = with_digests(rows, key, {"_j0": "jitter0", "_j1": "jitter1"}, seed)
         noisy = {}
         for i, c in enumerate(columns):
-            shift = F.lit(noise * spread[c]) * normal(key, f"jitter{i // 4}", seed, i % 4)
+            shift = F.lit(noise * spread[c]) * lane_normal(F.col(f"_j{i // 4}"), i % 4)
             value = quantised(Fields(real).number(c) + shift)
             if architecture == CLIPPED and c in CLIPS:
                 value = F.when(value < CLIPS[c], CLIPS[c]).otherwise(value)
             noisy[c] = value
-        return computed_once(rows, noisy).withColumn(
+        return computed_once(rows, noisy).drop("_j0", "_j1").withColumn(
             S.ROW_ID, F.concat(F.lit("S"), key.cast("string"))
         )
 

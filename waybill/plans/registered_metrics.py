@@ -132,8 +132,11 @@ def top_features(spark, sf_dir):
 
 
 # ---- fidelity ------------------------------------------------------------------------------
-def _sides(spark, sf_dir, categories=()):
-    return D.canonical(spark, sf_dir, categories), D.synthetic(spark, sf_dir, categories)
+def _sides(spark, sf_dir, categories=(), durations=True):
+    return (
+        D.canonical(spark, sf_dir, categories),
+        D.synthetic(spark, sf_dir, categories, durations),
+    )
 
 
 @query
@@ -153,7 +156,9 @@ def fidelity_js(spark, sf_dir):
 
 @query
 def fidelity_tvd(spark, sf_dir):
-    return fidelity.tvd_complement(*_sides(spark, sf_dir, S.CATEGORICAL_COLUMNS))
+    return fidelity.tvd_complement(
+        *_sides(spark, sf_dir, S.CATEGORICAL_COLUMNS, durations=False)
+    )
 
 
 @query

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions.coerce import days_between, quantised
-from waybill.functions.hashing import normal
-from waybill.functions.small import computed_once, scalar
+from waybill.functions.hashing import lane_normal, with_digests
+from waybill.functions.small import computed_once, scalar, spread
 
 _FROM_CUSTOMER = {"order_type", "dpe_id"}
 _FROM_PART = {"line_type", "item_id"}
@@ -49,9 +49,8 @@ def deliveries(spark: SparkSession, sf_dir: str, columns=None, lines=None) -> Da
     wanted = set(columns or [*S.DATE_COLUMNS, *S.CATEGORICAL_COLUMNS])
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
-    lines = (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
-    )
+    lines = table(spark, sf_dir, "lineitem") if lines is None else lines
+    lines = spread(lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
     )
@@ -172,19 +171,27 @@ def canonical(spark: SparkSession, sf_dir: str, categories=None, keep_h=False) -
     return df.drop("l_suppkey") if keep_h else df.drop("h", "l_suppkey")
 
 
-def synthetic(spark: SparkSession, sf_dir: str, categories=None) -> DataFrame:
-    """A synthetic counterpart of every row: noisy durations, some changed categories."""
+def synthetic(
+    spark: SparkSession, sf_dir: str, categories=None, durations: bool = True
+) -> DataFrame:
+    """A synthetic counterpart of every row: noisy durations, some changed categories.
+
+    `durations=False` leaves the durations as they are, for uses that do not read them.
+    """
     real = canonical(spark, sf_dir, categories, keep_h=True)
-    h, rid = F.col("h"), F.col(S.ROW_ID)
-    spread = scalar(
-        real.agg(*[F.round(F.stddev_samp(c), 6).alias(c) for c in S.DURATION_COLUMNS])
-    )
-    noisy = {}
-    for i, c in enumerate(S.DURATION_COLUMNS):
-        noise = normal(rid, f"noise{i // 4}", 42, i % 4)
-        noisy[c] = quantised(F.col(c) + F.lit(0.03) * spread[c] * noise)
+    h = F.col("h")
     columns = real.columns
-    real = computed_once(real, noisy).select(*columns)
+    if durations:
+        size = scalar(
+            real.agg(*[F.round(F.stddev_samp(c), 6).alias(c) for c in S.DURATION_COLUMNS])
+        )
+        real = with_digests(real, F.col(S.ROW_ID), {"_n0": "noise0", "_n1": "noise1"})
+        noisy = {}
+        for i, c in enumerate(S.DURATION_COLUMNS):
+            noise = lane_normal(F.col(f"_n{i // 4}"), i % 4)
+            noisy[c] = quantised(F.col(c) + F.lit(0.03) * size[c] * noise)
+        real = computed_once(real, noisy)
+    real = real.select(*columns)
     changes = {}
     changes[S.LABEL] = (
         F.when(h % 19 == 0, (F.col(S.LABEL) + 1) % 3).otherwise(F.col(S.LABEL)).cast("int")
