@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def broadcast_up_to(stored_rows: DataFrame, max_rows: int) -> DataFrame:
+    """A broadcast hint for rows counted to be at most `max_rows`; more rows go unhinted.
+
+    For tables read back from storage: the count reads no column, nothing is collected.
+    """
+    small = stored_rows.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(stored_rows) if small else stored_rows
+
+
 def scalar(one_row: DataFrame) -> dict[str, Column]:
     """The columns of a one-row table (a global aggregate) as literals.
 
@@ -62,15 +73,43 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the session names; a local one only where none is named."""
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Only a session inside one process may go without the setting; it gets a temporary
+    folder, which its executor threads do share. Elsewhere a missing setting is an error.
+    """
     context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="waybill-shared-")
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="waybill-checkpoint-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read back.
+
+    Later passes read the files instead of redoing the work, and a lost executor loses
+    nothing. The files go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/waybill-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder, so later passes read it instead of redoing it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df)
