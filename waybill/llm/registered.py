@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waybill.llm import ngram_join, quality_rules, secret_scans
+from waybill.llm import mixing, ngram_join, quality_rules, secret_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": ngram_join.op2,
     "op4_secret_scans": secret_scans.op4,
     "op6_quality_rules": quality_rules.op6,
+    "op10_mixing": mixing.op10,
 }
 
 ORACLE_SQL = {
     "op2_ngram_join": ngram_join.OP2_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "op10_mixing": mixing.OP10_SQL,
 }
