@@ -1,11 +1,15 @@
-"""From raw documents to packed training sequences, one operator per stage."""
+"""From raw documents to packed training sequences, one operator per stage.
+
+Every stage but the last returns the columns of documents. Packing has no SQL form, so
+ORACLE_SQL is None; the tests hold run() against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from waybill.functions.small import stored
-from waybill.llm import quality_rules
+from waybill.llm import mixing, ngram_join, packing, quality_rules, secret_scans
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,10 +17,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.cascade(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at 0.8, the document with the smallest id stays."""
+    return ngram_join.one_per_component(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked."""
+    return secret_scans.redacted(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken, up to twice, as the budget of their source allows."""
+    return mixing.mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return packing.packed(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("ngram_join", near_duplicates),
+    ("secret_scans", secrets),
+    ("mixing", mixture),
+    ("packing", packing_stage),
 ]
 
+ORACLE_SQL = None
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
