@@ -13,9 +13,9 @@ tokens stay within the rest. The digest at which a leaf stops is found from toke
 bucket and the rows of one bucket, so no leaf is ever sorted as a whole, and the texts never move.
 
 Defined results: a null level value is the empty name; a weight that isn't named is 1, a weight
-of 0 takes nothing; a null or blank text has no tokens and is in every epoch its leaf finishes or
-reaches; rows that repeat an id fall on the same side of the cut; without tokens nothing is
-budgeted; an empty table gives an empty table.
+of 0 takes nothing; a null or blank text has no tokens and is in every epoch its leaf finishes, and
+in the last by its digest; a leaf without tokens is taken once; rows that repeat an id fall on the
+same side of the cut; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def cuts(items: DataFrame, mix: Mix, key: str = "doc_id") -> DataFrame:
     leaves = stored(quotas(stored(items.groupBy(*at).agg(F.sum("tokens").alias("tokens"))), mix))
     leaves = leaves.withColumns(
         {
-            "_full": F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(F.lit(0)),
+            "_full": F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(F.lit(1)),
             "_rest": F.when(F.col("tokens") > 0, F.expr("quota % tokens")).otherwise(F.lit(0)),
         }
     ).select(*at, "_full", "_rest")
@@ -153,7 +153,7 @@ def cuts(items: DataFrame, mix: Mix, key: str = "doc_id") -> DataFrame:
     return stored(
         leaves.join(cut, at, "left")
         .join(last, at, "left")
-        .select(*at, "_full", F.coalesce("_last", F.col("_cut")["b"], F.lit("g")).alias("_upto"))
+        .select(*at, "_full", F.when(F.col("_rest") > 0, F.coalesce("_last", F.col("_cut")["b"])).otherwise("").alias("_upto"))
     )
 
 
@@ -247,7 +247,7 @@ WITH items AS (
         ]
     )
     + r""", cut AS (
-  SELECT domain, language, leaf, CASE WHEN tokens > 0 THEN (budget // tokens)::INT ELSE 0 END AS ful,
+  SELECT domain, language, leaf, CASE WHEN tokens > 0 THEN (budget // tokens)::INT ELSE 1 END AS ful,
          CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest
   FROM leaf_n
 ), ordered AS (
@@ -257,7 +257,7 @@ WITH items AS (
   FROM items JOIN cut USING (domain, language, leaf)
 )
 SELECT doc_id, domain, language, leaf, tokens AS n_tokens,
-       unnest(range(0, ful + CASE WHEN up <= rest THEN 1 ELSE 0 END))::INT AS epoch
+       unnest(range(0, ful + CASE WHEN rest > 0 AND up <= rest THEN 1 ELSE 0 END))::INT AS epoch
 FROM ordered
 """
 )

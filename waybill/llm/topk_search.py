@@ -14,7 +14,7 @@ blocks win; ties go to the smaller id.
 Defined results: a vector that is null, empty or holds a null or non-finite component takes no
 part; vectors of another length than the query's are no candidates; a row repeated with the same
 vector counts once; all rows with the query's id count as its own; rows without an id take no
-part. Scores are exact; one beyond a long is given as the nearest long.
+part. Scores are exact; one beyond a long counts as the nearest long.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ BLOCK_VECTORS = 2048
 CHUNK_QUERIES = 512
 #: Components up to here multiply and add exactly in floats and 64-bit integers.
 EXACT = 1 << 20
+LEAST, MOST = -(2**63), 2**63 - 1
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -55,7 +56,7 @@ class SortedLists:
 
     def _resolved(self, query: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(id, score) of the best k of some rows, ties to the smaller id."""
-        scores = [int(s) for s in (self.values[rows] * query).sum(axis=1)]
+        scores = [max(LEAST, min(MOST, int(s))) for s in (self.values[rows] * query).sum(axis=1)]
         return sorted(zip(self.ids[rows].tolist(), scores, strict=True), key=lambda x: (-x[1], x[0]))[:k]
 
     def best(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
@@ -96,7 +97,7 @@ def _meeting(k: int):
             lists = SortedLists(block["vec_id"].to_numpy(), quantised(block["vector"]))
             for query_id, query in zip(queries["vec_id"].tolist(), quantised(queries["vector"]), strict=True):
                 for vec_id, score in lists.best(query, query_id, k):
-                    out.append((query_id, vec_id, max(-(2**63), min(2**63 - 1, score))))
+                    out.append((query_id, vec_id, score))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
