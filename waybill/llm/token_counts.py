@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words a task remembers, and the longest it does: a bound on memory, not on the texts.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 PRODUCTION_MODEL = "piece_bpe_32k.model"
 
 
@@ -158,7 +158,7 @@ def counted(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)
         for batch in batches:
-            counts = [counter.text(t) for t in batch.column(0).to_pylist()]
+            counts = [counter.text(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(counts, pa.int64())], names=["row", "count"])
 
     # The caller's columns travel in one struct, so their names can't clash.

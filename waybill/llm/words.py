@@ -24,7 +24,7 @@ class WordHashes(dict):
     The limit bounds memory only: a forgotten word is hashed again.
     """
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
