@@ -10,14 +10,30 @@ from pyspark.sql import functions as F
 from waybill.functions.small import computed_once
 
 
+LANE_DIGITS = 13
+
+
 def digest(key: Column, salt: str, seed: int = 42) -> Column:
-    return F.md5(F.concat_ws("|", key.cast("string"), F.lit(salt), F.lit(str(seed))))
+    """Digest to order rows by."""
+    return F.md5(_seeded(key, salt, seed))
+
+
+def wide_digest(key: Column, salt: str, seed: int = 42) -> Column:
+    """Digest with room for four lanes of 52 bits."""
+    return F.sha2(_seeded(key, salt, seed), 256)
+
+
+def _seeded(key: Column, salt: str, seed: int) -> Column:
+    return F.concat_ws("|", key.cast("string"), F.lit(salt), F.lit(str(seed)))
 
 
 def lane_uniform(hashed: Column, lane: int = 0) -> Column:
-    """Uniform in (0, 1) from one of the four lanes of a digest."""
-    word = F.substring(hashed, 8 * lane + 1, 8)
-    return (F.conv(word, 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    """Uniform in (0, 1) from one of the four lanes of a wide digest.
+
+    52 bits and a half are all a double holds; an index drawn from 4.5e15 rows can be any of them.
+    """
+    word = F.substring(hashed, LANE_DIGITS * lane + 1, LANE_DIGITS)
+    return (F.conv(word, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**LANE_DIGITS))
 
 
 def lane_normal(hashed: Column, lane: int = 0) -> Column:
@@ -29,16 +45,16 @@ def lane_normal(hashed: Column, lane: int = 0) -> Column:
 
 
 def uniform(key: Column, salt: str, seed: int = 42, lane: int = 0) -> Column:
-    return lane_uniform(digest(key, salt, seed), lane)
+    return lane_uniform(wide_digest(key, salt, seed), lane)
 
 
 def normal(key: Column, salt: str, seed: int = 42, lane: int = 0) -> Column:
-    return lane_normal(digest(key, salt, seed), lane)
+    return lane_normal(wide_digest(key, salt, seed), lane)
 
 
 def with_digests(df: DataFrame, key: Column, salts: dict[str, str], seed: int = 42) -> DataFrame:
-    """Adds digest columns, worked out once per row however many lanes are read."""
-    return computed_once(df, {name: digest(key, salt, seed) for name, salt in salts.items()})
+    """Adds wide digest columns, worked out once per row however many lanes are read."""
+    return computed_once(df, {name: wide_digest(key, salt, seed) for name, salt in salts.items()})
 
 
 def hash_bucket(hashed: Column, digits: int = 4) -> Column:

@@ -107,6 +107,8 @@ def add_distance(
         F.col("latitude").cast("double").alias("_lat"),
         F.col("longitude").cast("double").alias("_lon"),
     )
+    # A code listed twice counts once, at the mean of its places.
+    spots = spots.groupBy("_zip5").agg(F.avg("_lat").alias("_lat"), F.avg("_lon").alias("_lon"))
     joined = df.withColumn("_zip5", zip5(F.col(zip_column))).join(
         broadcast_if_small(spots, 100_000), "_zip5", "left"
     )

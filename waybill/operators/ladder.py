@@ -11,20 +11,7 @@ from waybill import schema as S
 from waybill.functions.coerce import Fields
 from waybill.functions.small import broadcast_if_small
 
-# ---- Fixed values ----------------------------------------------------------------
-ORDERED_PAIRS = [
-    (S.CAPTURE, S.SHIP),
-    (S.SHIP, S.DELIVERY),
-    (S.PROMISE_SHIP, S.PROMISE_DELIVERY),
-]
-LOWER_BOUNDS = [
-    (S.TRANSIT, 0.01),
-    (S.LATENCY, 0.0),
-    (S.PROMISED, 0.0),
-    (S.BUFFER, 0.0),
-    (S.DISTANCE, 0.0),
-]
-MAX_COMBINATIONS = 200
+PAIR = ("last_scac", "carrier_service_code")
 
 
 @dataclass(frozen=True)
@@ -41,37 +28,35 @@ class Spec:
         return f"{self.kind}({','.join(self.columns)})"
 
 
+# ---- Fixed values: the ladder. A level has the rows of its own name and of those above. ----
+LADDER_SPECS = (
+    Spec("temporal", "ScalarInequality", (S.TRANSIT,), 0.01),
+    Spec("temporal", "Inequality", (S.CAPTURE, S.SHIP)),
+    Spec("temporal", "Inequality", (S.SHIP, S.DELIVERY)),
+    Spec("temporal", "Inequality", (S.PROMISE_SHIP, S.PROMISE_DELIVERY)),
+    Spec("moderate", "ScalarInequality", (S.LATENCY,), 0.0),
+    Spec("moderate", "ScalarInequality", (S.PROMISED,), 0.0),
+    Spec("moderate", "ScalarInequality", (S.BUFFER,), 0.0),
+    Spec("moderate", "ScalarInequality", (S.DISTANCE,), 0.0),
+    Spec("strict", "FixedCombinations", PAIR),
+)
+
+
+def depth_of(level: str | None) -> int:
+    """Place of a level on the ladder; names it doesn't know ask for nothing."""
+    name = (level or "").lower()
+    return S.LADDER.index(name) if name in S.LADDER else 0
+
+
 def build_specs(train: DataFrame, level: str) -> list[Spec]:
-    """Specs of a level. A column takes part only if it holds any value in `train`."""
-    level = (level or "none").lower()
-    level = "none" if level == "relaxed" else level
-    if level not in S.LADDER or level == "none":
+    """The ladder's specs up to a level whose columns all hold some value in `train`."""
+    asked = [s for s in LADDER_SPECS if S.LADDER.index(s.level) <= depth_of(level)]
+    columns = {c for s in asked for c in s.columns if c in train.columns}
+    if not columns:
         return []
-    depth = S.LADDER.index(level)
-    pair = ("last_scac", "carrier_service_code")
-    used = {c for p in ORDERED_PAIRS for c in p} | {c for c, _ in LOWER_BOUNDS} | set(pair)
-    present = [c for c in train.columns if c in used]
-    seen = train.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in present]).first()
-    filled = {c for c in present if seen[c]}
-
-    transit, least = LOWER_BOUNDS[0]
-    specs = []
-    if transit in filled:
-        specs.append(Spec("temporal", "ScalarInequality", (transit,), least))
-    specs += [
-        Spec("temporal", "Inequality", p) for p in ORDERED_PAIRS if filled.issuperset(p)
-    ]
-    if depth >= 2:
-        specs += [
-            Spec("moderate", "ScalarInequality", (c,), v)
-            for c, v in LOWER_BOUNDS[1:]
-            if c in filled
-        ]
-    if depth >= 3 and filled.issuperset(pair):
-        n = train.select(*pair).distinct().limit(MAX_COMBINATIONS + 1).count()
-        if n <= MAX_COMBINATIONS:
-            specs.append(Spec("strict", "FixedCombinations", pair))
-    return specs
+    row = train.agg(*[F.count(c).alias(c) for c in sorted(columns)]).first()
+    filled = {c for c in columns if row[c]}
+    return [s for s in asked if filled.issuperset(s.columns)]
 
 
 def spec_table(train: DataFrame) -> DataFrame:
@@ -91,18 +76,20 @@ def spec_table(train: DataFrame) -> DataFrame:
 _COMBO = "_combo_known"
 
 
-def _with_combinations(df: DataFrame, specs, train: DataFrame | None) -> DataFrame:
-    """Marks rows whose fixed combination occurs in `train`; missing values form pairs too."""
-    combos = [s for s in specs if s.kind == "FixedCombinations"]
-    if not combos or train is None:
+def known_combinations(train: DataFrame, specs) -> DataFrame | None:
+    """Distinct pairs of `train`, however many; None where no spec asks for them."""
+    if not any(s.kind == "FixedCombinations" for s in specs):
+        return None
+    return broadcast_if_small(train.select(*PAIR).distinct())
+
+
+def _with_combinations(df: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Marks rows whose pair is among the known ones; a pair with a missing value needs no mark."""
+    if known is None or not set(PAIR) <= set(df.columns):
         return df
-    names = combos[0].columns
-    known = broadcast_if_small(train.select(*names).distinct(), MAX_COMBINATIONS)
-    known = known.select(*[F.col(c).alias(f"_k_{c}") for c in names], F.lit(True).alias(_COMBO))
-    same = F.lit(True)
-    for c in names:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return df.join(known, same, "left").drop(*[f"_k_{c}" for c in names])
+    seen = known.select(*[F.col(c).alias(f"_k_{c}") for c in PAIR], F.lit(True).alias(_COMBO))
+    same = (F.col(PAIR[0]) == F.col(f"_k_{PAIR[0]}")) & (F.col(PAIR[1]) == F.col(f"_k_{PAIR[1]}"))
+    return df.join(seen, same, "left").drop(*[f"_k_{c}" for c in PAIR])
 
 
 def _holds(f: Fields, spec: Spec) -> Column:
@@ -117,27 +104,52 @@ def _holds(f: Fields, spec: Spec) -> Column:
     return F.coalesce(ok, F.lit(True))
 
 
-def ladder_filter(
-    df: DataFrame, level: str, train: DataFrame | None = None, specs=None
-) -> DataFrame:
-    """Keeps the rows on which every spec of `level` (learned on `train`) holds."""
-    train = df if train is None else train
-    specs = build_specs(train, level) if specs is None else specs
-    columns = df.columns
-    marked = _with_combinations(df, specs, train)
-    f = Fields(marked)
+def passes(df: DataFrame, specs, level: str = "strict") -> Column:
+    """Whether the specs up to a level hold; `df` is marked with its combinations."""
+    f = Fields(df)
     keep = F.lit(True)
     for s in specs:
-        if f.has(*s.columns):
+        if S.LADDER.index(s.level) <= depth_of(level) and f.has(*s.columns):
             keep = keep & _holds(f, s)
-    return marked.where(keep).select(*columns)
+    return keep
+
+
+def ladder_filter(df: DataFrame, level: str, train: DataFrame | None = None) -> DataFrame:
+    """Keeps the rows on which every spec of `level` (learned on `train`) holds."""
+    train = df if train is None else train
+    specs = build_specs(train, level)
+    marked = _with_combinations(df, known_combinations(train, specs))
+    return marked.where(passes(marked, specs)).select(*df.columns)
+
+
+def level_marks(train: DataFrame, levels, prefix: str = "_keep_"):
+    """A function that adds one boolean column per strictness level, with specs and pairs learned once.
+
+    levels: (name, ladder level, whether rejection follows).
+    """
+    from waybill.operators.repair import rejection_predicate
+
+    deepest = max((level for _, level, _ in levels), key=depth_of, default="none")
+    specs = build_specs(train, deepest)
+    known = known_combinations(train, specs)
+
+    def mark(df: DataFrame) -> DataFrame:
+        marked = _with_combinations(df, known)
+        rejects = rejection_predicate(df)
+        columns = {
+            f"{prefix}{name}": passes(marked, specs, level) & rejects if reject else passes(marked, specs, level)
+            for name, level, reject in levels
+        }
+        return marked.withColumns(columns).select(*df.columns, *columns)
+
+    return mark
 
 
 def spec_drop_counts(df: DataFrame, level: str, train: DataFrame | None = None) -> DataFrame:
     """(spec, dropped, n): how many rows each spec of a level would drop on its own."""
     train = df if train is None else train
     specs = build_specs(train, level)
-    marked = _with_combinations(df, specs, train)
+    marked = _with_combinations(df, known_combinations(train, specs))
     f = Fields(marked)
     names = [s.name for s in specs]
     one = marked.agg(
@@ -150,25 +162,7 @@ def spec_drop_counts(df: DataFrame, level: str, train: DataFrame | None = None)
 
 def strictness_survivors(df: DataFrame, train: DataFrame | None = None) -> DataFrame:
     """(level, position, survivors) for every strictness level, from one aggregation."""
-    from waybill.operators.repair import rejection_predicate
-
-    train = df if train is None else train
-    specs = build_specs(train, "strict")
-    marked = _with_combinations(df, specs, train)
-    f = Fields(marked)
-
-    def passes(level: str) -> Column:
-        depth = S.LADDER.index(level)
-        keep = F.lit(True)
-        for s in specs:
-            if S.LADDER.index(s.level) <= depth:
-                keep = keep & _holds(f, s)
-        return keep
-
-    counted = {
-        name: F.count_if(passes(level) & rejection_predicate(marked) if reject else passes(level))
-        for name, level, reject in S.STRICTNESS
-    }
-    one = marked.agg(*[c.alias(f"s{i}") for i, c in enumerate(counted.values())])
-    lines = ", ".join(f"'{name}', {i}L, s{i}" for i, name in enumerate(counted))
-    return one.selectExpr(f"stack({len(counted)}, {lines}) as (level, position, survivors)")
+    marked = level_marks(df if train is None else train, S.STRICTNESS)(df)
+    one = marked.agg(*[F.count_if(f"_keep_{name}").alias(f"s{i}") for i, (name, _, _) in enumerate(S.STRICTNESS)])
+    lines = ", ".join(f"'{name}', {i}L, s{i}" for i, (name, _, _) in enumerate(S.STRICTNESS))
+    return one.selectExpr(f"stack({len(S.STRICTNESS)}, {lines}) as (level, position, survivors)")

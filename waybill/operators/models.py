@@ -35,7 +35,19 @@ def _balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", weight.otherwise(1.0))
 
 
-def fit_forest(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 42):
+def fitted_on(train: DataFrame, fit_rows: int | None, seed: int = 42) -> DataFrame:
+    """A sample of about `fit_rows` labelled rows to fit a classifier on; all rows without a bound."""
+    if fit_rows is None:
+        return train
+    n = train.count()
+    return train if n <= fit_rows else materialised(train.sample(False, fit_rows / n, seed))
+
+
+def fit_forest(
+    train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 42, fit_rows: int | None = None
+):
+    """A balanced forest. Only the fit is ever bounded, by `fit_rows`; scores cover all rows."""
+    train = fitted_on(train, fit_rows, seed)
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", maxMemoryInMB=512
     )
@@ -74,7 +86,7 @@ def with_folds(vectors: DataFrame, strategy: str = "temporal", k: int = FOLDS) -
 
 
 def baseline_folds(
-    real: DataFrame, features=None, strategy="temporal", trees=TREES, depth=DEPTH, k=FOLDS
+    real: DataFrame, features=None, strategy="temporal", trees=TREES, depth=DEPTH, k=FOLDS, fit_rows=None
 ) -> DataFrame:
     """Train on real, test on real: metrics per fold."""
     vectors, _, _ = prepared(real, None, features)
@@ -82,7 +94,7 @@ def baseline_folds(
     scored = None
     for i in range(1, k + 1):
         train = folded.where(F.col("fold") < i if strategy == "temporal" else F.col("fold") != i)
-        part = score(fit_forest(train, trees, depth), folded.where(F.col("fold") == i), ["fold"])
+        part = score(fit_forest(train, trees, depth, fit_rows=fit_rows), folded.where(F.col("fold") == i), ["fold"])
         scored = part if scored is None else scored.unionByName(part)
     return utility.fold_metrics(materialised(scored))
 
@@ -108,10 +120,10 @@ def _fold_means(per_fold: DataFrame) -> DataFrame:
     )
 
 
-def tstr_scored(real, synth, features=None, strategy="temporal", trees=TREES, depth=DEPTH, k=FOLDS):
+def tstr_scored(real, synth, features=None, strategy="temporal", trees=TREES, depth=DEPTH, k=FOLDS, fit_rows=None):
     """Train on synthetic once, score every real fold: (fold, y_true, y_pred, proba)."""
     vectors, made, _ = prepared(real, synth, features)
-    model = fit_forest(made, trees, depth)
+    model = fit_forest(made, trees, depth, fit_rows=fit_rows)
     tested = with_folds(vectors, strategy, k).where(F.col("fold") > 0)
     return materialised(score(model, tested, ["fold"]))
 
@@ -129,7 +141,7 @@ def tstr_evaluate(real: DataFrame, synth: DataFrame, baseline: DataFrame, **opti
 
 
 def transfer_curve(
-    real: DataFrame, synth: DataFrame, fractions=FRACTIONS, features=None, trees=TREES, depth=DEPTH, seed=42
+    real: DataFrame, synth: DataFrame, fractions=FRACTIONS, features=None, trees=TREES, depth=DEPTH, seed=42, fit_rows=None
 ) -> DataFrame:
     """(training, fraction, weighted_f1, business_utility) on the latest fifth of real rows."""
     vectors, made, _ = prepared(real, synth, features)
@@ -148,7 +160,7 @@ def transfer_curve(
                 "real_only": some,
             }
         for name, train in runs.items():
-            part = score(fit_forest(train, trees, depth), test).withColumns(
+            part = score(fit_forest(train, trees, depth, fit_rows=fit_rows), test).withColumns(
                 {"training": F.lit(name), "fraction": F.lit(float(fraction))}
             )
             scored = part if scored is None else scored.unionByName(part)
@@ -158,12 +170,12 @@ def transfer_curve(
 
 
 def boosted_tstr(
-    real: DataFrame, synth: DataFrame, base_f1: float, features=None, rounds=BOOST_ROUNDS, k=FOLDS
+    real: DataFrame, synth: DataFrame, base_f1: float, features=None, rounds=BOOST_ROUNDS, k=FOLDS, fit_rows=None
 ) -> DataFrame:
     """One row: F1 of boosted trees, one model per class, trained on synthetic rows."""
     vectors, made, _ = prepared(real, synth, features)
     trees = GBTClassifier(maxIter=rounds, maxDepth=BOOST_DEPTH, stepSize=BOOST_STEP, seed=42)
-    model = OneVsRest(classifier=trees, parallelism=3).fit(made.select("features", "label"))
+    model = OneVsRest(classifier=trees, parallelism=3).fit(fitted_on(made, fit_rows).select("features", "label"))
     tested = with_folds(vectors, "temporal", k).where(F.col("fold") > 0)
     per_fold = utility.weighted_f1(materialised(score(model, tested, ["fold"])), ["fold"])
     return per_fold.agg(F.round(F.avg("weighted_f1"), 4).alias("weighted_f1")).withColumn(
@@ -171,16 +183,16 @@ def boosted_tstr(
     )
 
 
-def feature_importance(real: DataFrame, features=None, trees=TREES, depth=DEPTH) -> DataFrame:
+def feature_importance(real: DataFrame, features=None, trees=TREES, depth=DEPTH, fit_rows=None) -> DataFrame:
     """(feature, score): impurity importance of the balanced forest."""
     vectors, _, names = prepared(real, None, features)
-    weights = fit_forest(vectors, trees, depth).featureImportances.toArray()
+    weights = fit_forest(vectors, trees, depth, fit_rows=fit_rows).featureImportances.toArray()
     return real.sparkSession.createDataFrame(
         [(n, round(float(w), 4)) for n, w in zip(names, weights)], "feature string, score double"
     )
 
 
-def permutation_importance(real: DataFrame, features=None, trees=TREES, depth=DEPTH, seed=42) -> DataFrame:
+def permutation_importance(real: DataFrame, features=None, trees=TREES, depth=DEPTH, seed=42, fit_rows=None) -> DataFrame:
     """(feature, score): loss of F1 when one feature is shuffled among the test rows.
 
     The shuffle gives each row the value of its successor in digest order.
@@ -188,7 +200,8 @@ def permutation_importance(real: DataFrame, features=None, trees=TREES, depth=DE
     names = S.resolve_features(real.columns, features)
     codes = category_codes(real, [c[:-4] for c in names if c.endswith("_enc")])
     split = materialised(time_holdout(feature_matrix(real, names, codes)))
-    model = fit_forest(_vectors(split.where(~F.col("is_test")), names), trees, depth)
+    train = _vectors(split.where(~F.col("is_test")), names)
+    model = fit_forest(train, trees, depth, fit_rows=fit_rows)
     test = split.where("is_test")
     n = test.count()
     ranked = materialised(hash_rank(test, "permute", seed))

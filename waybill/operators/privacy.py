@@ -16,7 +16,6 @@ from waybill.operators.ranking import hash_rank, hash_sample
 
 TRAIN_SHARE = 0.8
 LOW_FPR = 0.01
-MIN_QUERIES = 5
 
 
 def _columns(*tables: DataFrame, wanted=None):
@@ -118,22 +117,20 @@ def mia_scores(
 ) -> DataFrame:
     """(row_id, is_member, score): minus the distance to the nearest synthetic row.
 
-    Scaling is learned on the members. Both query sets have the same size: the smaller of
-    the two (and of `max_query`), chosen by digest.
+    Scaling is learned on the members. All rows of both sides are asked, whatever their sizes;
+    `max_query` samples each side by digest.
     """
     columns = _columns(members, non_members, synth, wanted=columns)
-    k = min(members.count(), non_members.count(), max_query or float("inf"))
-    if k < MIN_QUERIES or not columns:
+    if not columns:
         return members.sparkSession.createDataFrame(
             [], f"{S.ROW_ID} string, is_member boolean, score double"
         )
     inside, outside, refs = _scaled([members, non_members, synth], members, columns)
     if max_synth is not None:
         refs = hash_sample(refs, max_synth, "mia-synth", seed)
-    asked = None
-    for table, flag in ((inside, True), (outside, False)):
-        part = hash_sample(table, int(k), "mia-query", seed).withColumn("is_member", F.lit(flag))
-        asked = part if asked is None else asked.unionByName(part)
+    if max_query is not None:
+        inside, outside = (hash_sample(side, max_query, "mia-query", seed) for side in (inside, outside))
+    asked = inside.withColumn("is_member", F.lit(True)).unionByName(outside.withColumn("is_member", F.lit(False)))
     tagged = asked.withColumn("_tag", F.concat(F.when(F.col("is_member"), "m").otherwise("n"), S.ROW_ID))
     found = materialised(nearest_distance(tagged, refs, columns, key="_tag"))
     return found.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waybill import schema as S
 from waybill.functions.coerce import Fields
 from waybill.functions.hashing import digest, hash_bucket
+from waybill.functions.small import broadcast_if_small
 from waybill.operators.ecdf import add_range_buckets, running_counts
 
 
@@ -65,7 +66,8 @@ def member_split(
     ranked = hash_rank(df, "member", seed, by, key)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     if by:
-        sizes = sizes.withColumnRenamed(label, "_label")
+        # Labels are few: their sizes go to the rows, not the rows to their labels.
+        sizes = broadcast_if_small(sizes.withColumnRenamed(label, "_label"))
         ranked = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
     else:
         ranked = ranked.withColumn("_n", sizes.scalar())
@@ -81,7 +83,7 @@ def stratified_cap(
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     ranked = hash_rank(df, "cap", seed, [label], key).join(
-        sizes, F.col(label).eqNullSafe(F.col("_label"))
+        broadcast_if_small(sizes), F.col(label).eqNullSafe(F.col("_label"))
     )
     quota = F.when(total <= cap, F.col("_n")).otherwise(
         F.floor(F.lit(float(cap)) * F.col("_n") / total)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,26 +45,32 @@ def deterministic_repair(df: DataFrame, rederive: bool = False) -> DataFrame:
     return df.withColumns(changes).where(in_label_domain(Fields(df)))
 
 
-def rejection_predicate(df: DataFrame) -> Column:
-    """TRUE on rows the rejection filter keeps; a NULL in any tested column rejects."""
+# Name of a rejection rule, the columns it needs, and the test a kept row passes.
+REJECTION_RULES = {
+    "transit": ((S.TRANSIT,), lambda f: f.number(S.TRANSIT) > 0),
+    "label": ((S.LABEL,), in_label_domain),
+    "carrier": (("last_scac",), lambda f: ~absent(f, "last_scac")),
+    "service": (("carrier_service_code",), lambda f: ~absent(f, "carrier_service_code")),
+    "order": (
+        tuple(S.REQUIRED_DATES),
+        lambda f: (f.stamp(S.CAPTURE) <= f.stamp(S.SHIP)) & (f.stamp(S.SHIP) <= f.stamp(S.DELIVERY)),
+    ),
+}
+
+
+def rejection_predicate(df: DataFrame, rules=None) -> Column:
+    """TRUE on rows the rejection filter keeps; a NULL in any tested column rejects.
+
+    rules: names of REJECTION_RULES, all by default. A rule whose columns are missing doesn't apply.
+    """
     f = Fields(df)
-    keep = F.lit(True)
-    if f.has(S.TRANSIT):
-        keep = keep & (f.number(S.TRANSIT) > 0)
-    if f.has(S.LABEL):
-        keep = keep & in_label_domain(f)
-    for name in ("last_scac", "carrier_service_code"):
-        if f.has(name):
-            keep = keep & ~absent(f, name)
-    if f.has(*S.REQUIRED_DATES):
-        keep = keep & (f.stamp(S.CAPTURE) <= f.stamp(S.SHIP)) & (
-            f.stamp(S.SHIP) <= f.stamp(S.DELIVERY)
-        )
-    return F.coalesce(keep, F.lit(False))
+    names = REJECTION_RULES if rules is None else rules
+    tests = [test(f) for columns, test in (REJECTION_RULES[n] for n in names) if f.has(*columns)]
+    return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
 
 
-def rejection_filter(df: DataFrame) -> DataFrame:
-    return df.where(rejection_predicate(df))
+def rejection_filter(df: DataFrame, rules=None) -> DataFrame:
+    return df.where(rejection_predicate(df, rules))
 
 
 def tiered_rejection(df: DataFrame, level: str) -> DataFrame:

@@ -47,7 +47,8 @@ def bootstrap(real: DataFrame, architecture: str = "TVAE", seed: int = 42) -> Dr
     ).first()
     total = stats["n"]
     spread = {c: float(stats[c] or 0.0) for c in columns}
-    indexed = hash_rank(real, "boot", seed).withColumnRenamed("_rank", "_index")
+    # Every batch of every level reads the index; it is worked out once.
+    indexed = materialised(hash_rank(real, "boot", seed).withColumnRenamed("_rank", "_index"))
     width = shuffle_width(real)
 
     def draw(first: int, n: int) -> DataFrame:

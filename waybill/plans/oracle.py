@@ -133,8 +133,8 @@ view(
 
 def u(key: str, salt: str, seed: str = "42", lane: int = 0) -> str:
     return (
-        f"((('0x' || substr(md5(concat_ws('|', {key}, '{salt}', '{seed}')), {8*lane+1}, 8))::BIGINT + 0.5)"
-        " / 4294967296.0::DOUBLE)"
+        f"((('0x' || substr(sha256(concat_ws('|', {key}, '{salt}', '{seed}')), {13*lane+1}, 13))::BIGINT + 0.5::DOUBLE)"
+        " / 4503599627370496.0::DOUBLE)"
     )
 
 
@@ -296,6 +296,10 @@ def _catalog_sql(custom_row: str = "") -> str:
 
 
 oracle("catalog_audit", _catalog_sql())
+oracle(
+    "constraint_catalog",
+    f"SELECT id, name, category, type, severity, on_violation, audit_key, violations FROM ({_catalog_sql()})",
+)
 oracle(
     "custom_constraint",
     _catalog_sql(
@@ -434,8 +438,6 @@ for _depth, _level in enumerate(S.LADDER):
     for _i, _lv, _kind, _cols, _val in _SPECS:
         if S.LADDER.index(_lv) <= _depth:
             _guard = " AND ".join(f"max({c}) IS NOT NULL" for c in _cols.split(","))
-            if _kind == "FixedCombinations":
-                _guard += " AND count(DISTINCT (last_scac, carrier_service_code)) <= 200"
             _rows.append(
                 f"SELECT '{_level}' AS level, {_i}::BIGINT AS position, '{_kind}' AS kind, '{_cols}' AS column_names,"
                 f" {_val} AS value FROM w_audited HAVING {_guard}"
@@ -957,14 +959,7 @@ _stats_view("w_st_in", "w_in")
 view("w_made", "SELECT * FROM w_synth WHERE row_id IN (SELECT row_id FROM w_in)")
 _scaled("w_z_made", "w_made", "w_st_in")
 _scaled("w_z_all", "w_members", "w_st_in")
-view("w_mia_k", "SELECT least(count(*) FILTER (is_member), count(*) FILTER (NOT is_member)) AS k FROM w_members")
-view(
-    "w_mia_q",
-    f"""
-    SELECT z.*, is_member FROM w_z_all z JOIN (SELECT row_id, is_member, row_number() OVER (PARTITION BY is_member {_order('mia-query')}) AS r FROM w_members) USING (row_id), w_mia_k
-    WHERE r <= k
-    """,
-)
+view("w_mia_q", "SELECT z.*, is_member FROM w_z_all z JOIN (SELECT row_id, is_member FROM w_members) USING (row_id)")
 nearest("w_nn_mia", "w_mia_q", "w_z_made")
 view("w_mia", "SELECT row_id, is_member, -distance AS score FROM w_nn_mia JOIN (SELECT row_id, is_member FROM w_mia_q) USING (row_id)")
 oracle("mia_scores", "SELECT row_id, is_member, round(score, 6) AS score FROM w_mia")
@@ -1024,31 +1019,23 @@ oracle(
 )
 
 
-def _loop(name: str, kept: str) -> str:
-    """Draw sizes of the resampling loop as a recursive query over cumulative counts."""
+def _until(name: str, kept: str) -> str:
+    """Draws up to the one with which n rows have survived, at most 8 n of them."""
     view(
         f"{name}_cum",
-        f"SELECT draw_id, (sum(ok::INTEGER) OVER (ORDER BY draw_id))::BIGINT AS c, (sum((delay_label=2)::INTEGER) OVER (ORDER BY draw_id))::BIGINT AS l2 FROM {kept}",
-    )
-    view(
-        f"{name}_loop",
-        f"""
-        SELECT n AS drawn, c AS survived, l2 FROM w_n JOIN {name}_cum ON draw_id = n - 1
-        UNION ALL
-        SELECT x.drawn + x.size, k.c, k.l2 FROM (SELECT drawn, survived,
-            least(8*n - drawn, floor((n - survived)/greatest(survived::DOUBLE/drawn, 0.02))::BIGINT + 1) AS size
-          FROM {name}_loop, w_n WHERE survived < n AND drawn < 8*n) x JOIN {name}_cum k ON k.draw_id = x.drawn + x.size - 1
-        """,
+        f"SELECT draw_id, delay_label, ok, sum(ok::INTEGER) OVER (ORDER BY draw_id) AS c FROM {kept}",
     )
+    view(f"{name}_cut", f"SELECT coalesce(min(draw_id) FILTER (c >= n), max(draw_id)) AS last FROM {name}_cum, w_n")
     return f"""
-        SELECT n AS n_target, drawn, survived, round(survived::DOUBLE/drawn, 4) AS survival_rate, survived < n AS cap_hit,
-          round(l2::DOUBLE/drawn, 4) AS raw_label2_rate,
-          (SELECT count(*) FROM (SELECT delay_label, row_number() OVER (ORDER BY draw_id) AS r FROM {kept}, (SELECT max(drawn) AS md FROM {name}_loop) WHERE ok AND draw_id < md), w_n WHERE r <= n AND delay_label = 2) AS kept_label2_n
-        FROM {name}_loop, w_n ORDER BY drawn DESC LIMIT 1
+        SELECT any_value(n) AS n_target, count(*) AS drawn, count(*) FILTER (ok) AS survived,
+          round(count(*) FILTER (ok)::DOUBLE/count(*), 4) AS survival_rate, count(*) FILTER (ok) < any_value(n) AS cap_hit,
+          round(count(*) FILTER (delay_label=2)::DOUBLE/count(*), 4) AS raw_label2_rate,
+          count(*) FILTER (ok AND delay_label=2) AS kept_label2_n
+        FROM {name}_cum, {name}_cut, w_n WHERE draw_id <= last
         """
 
 
-oracle("resample_stats", _loop("w_res", "w_boot_kept"))
+oracle("resample_stats", _until("w_res", "w_boot_kept"))
 view("w_boot_three", _draws("8*n", 0.03))
 view("w_fit_pairs", "SELECT DISTINCT last_scac, carrier_service_code, true AS hit FROM w_real")
 _levels_sql = []
@@ -1064,9 +1051,20 @@ for _name, _cond in [
         f"SELECT draw_id, delay_label, ({_cond}) AS ok FROM w_boot_three LEFT JOIN w_fit_pairs USING (last_scac, carrier_service_code)",
     )
     _levels_sql.append(
-        f"SELECT *, '{_name.replace('_', '+')}' AS level FROM (" + _loop(f"w_lp_{_name}", f"w_lv_{_name}") + ")"
+        f"SELECT *, '{_name.replace('_', '+')}' AS level FROM (" + _until(f"w_lp_{_name}", f"w_lv_{_name}") + ")"
     )
 oracle("generate_levels", " UNION ALL ".join(_levels_sql))
+view("w_boot_wide", _draws("16*n", 0.03))
+oracle(
+    "generate_rows",
+    f"""
+    SELECT draw_id, {_shown_cols}, delay_label FROM (
+      SELECT b.*, row_number() OVER (ORDER BY draw_id) AS r
+      FROM w_boot_wide b LEFT JOIN w_fit_pairs USING (last_scac, carrier_service_code)
+      WHERE {_M} AND (last_scac IS NULL OR carrier_service_code IS NULL OR hit) AND {_REJ})
+    WHERE r <= (SELECT n FROM w_n)
+    """,
+)
 _cop = ["transit_duration_days", "promised_transit_days", "shipment_buffer_days", "sla_buffer"]
 _sc = ", ".join(
     ppf(f"u{i}") + f" AS {c}" for i, c in enumerate(_cop)
@@ -1139,7 +1137,7 @@ oracle(
       SELECT *, cr + {_micro(f"{0.01!r}::DOUBLE + {0.8 - 0.01!r}::DOUBLE * {_pu('created', 2)}")} AS ca FROM (
         SELECT i, TIMESTAMP '2025-01-01' + to_hours((floor({_pu('created', 0)}*180.0::DOUBLE)*24 + floor({_pu('created', 1)}*24.0::DOUBLE))::BIGINT) AS cr,
           greatest(0.08::DOUBLE, {2.3 * 0.8!r}::DOUBLE * {_root} * {_root} * {_root}) AS tr, -0.25::DOUBLE + 1.0::DOUBLE * {_pu('promise', 1)} AS sl
-        FROM range((SELECT count(*) FROM lineitem)) x(i))))
+        FROM (SELECT (l_orderkey * 10 + l_linenumber)::BIGINT AS i FROM lineitem))))
     """, 6),
 )
 oracle(

@@ -73,38 +73,37 @@ def catalog_audit(spark, sf_dir):
 @query
 def custom_constraint(spark, sf_dir):
     df, vocabulary = _audit_input(spark, sf_dir)
-    custom.clear_constraints()
-
-    @custom.constraint(
-        id="transit_below_four_days",
-        name="Transit below four days",
-        category="arithmetic",
-        type="soft",
-        severity="low",
-    )
-    def below_four_days(table):
-        return F.col(S.TRANSIT) < 4
-
-    @custom.constraint(
-        id="promise_covers_buffer",
-        name="Promise covers buffer",
-        category="arithmetic",
-        pandas_columns=[S.PROMISED, S.BUFFER],
-    )
-    def covers_buffer(promised, buffer):
-        return promised + buffer > 0
+    with custom.own_constraints():
+
+        @custom.constraint(
+            id="transit_below_four_days",
+            name="Transit below four days",
+            category="arithmetic",
+            type="soft",
+            severity="low",
+        )
+        def below_four_days(table):
+            return F.col(S.TRANSIT) < 4
+
+        @custom.constraint(
+            id="promise_covers_buffer",
+            name="Promise covers buffer",
+            category="arithmetic",
+            pandas_columns=[S.PROMISED, S.BUFFER],
+        )
+        def covers_buffer(promised, buffer):
+            return promised + buffer > 0
 
-    try:
         return audit.catalog_audit(df, load_catalog(spark), vocabulary)
-    finally:
-        custom.clear_constraints()
 
 
 @query
 def constraint_catalog(spark, sf_dir):
-    """Catalog entries with the number of input rows each applies to."""
-    n = D.table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n")).scalar()
-    return load_catalog(spark).withColumn("n", n)
+    """Catalog entries in full, each with the rows that violate it."""
+    counts = audit.audit_counts(*_audit_input(spark, sf_dir)).select("audit_key", "violations")
+    return load_catalog(spark).join(counts, "audit_key").select(
+        "id", "name", "category", "type", "severity", "on_violation", "audit_key", "violations"
+    )
 
 
 @query

@@ -105,7 +105,9 @@ def bootstrap_clipped(spark, sf_dir):
 def _resampled(spark, sf_dir):
     real = D.canonical(spark, sf_dir, _CARRIER)
     return resample.resample_to_target(
-        synth.bootstrap(real, "CopulaGAN"), _rows_of(spark, sf_dir), repair.rejection_filter
+        synth.bootstrap(real, "CopulaGAN"),
+        _rows_of(spark, sf_dir),
+        mark=lambda df: df.withColumn(f"{resample.KEEP}kept", repair.rejection_predicate(df)),
     )
 
 
@@ -122,13 +124,16 @@ def resample_stats(spark, sf_dir):
 @query
 def generate_levels(spark, sf_dir):
     real = D.canonical(spark, sf_dir, _CARRIER)
-    n = _rows_of(spark, sf_dir)
     draw = gen.generator(real, "TVAE")
-    parts = [
-        gen.generate(real, level, "TVAE", n, draw=draw)[1].withColumn("level", F.lit(level))
-        for level, _, _ in S.STRICTNESS
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    levels = [level for level, _, _ in S.STRICTNESS]
+    return gen.generate_stats(real, levels, _rows_of(spark, sf_dir), draw, max_factor=8)
+
+
+@query
+def generate_rows(spark, sf_dir):
+    """The rows of the strictest level, as many as there are real ones."""
+    real = D.canonical(spark, sf_dir, _CARRIER)
+    return _shown(gen.generate(real, "strict+reject", "TVAE", _rows_of(spark, sf_dir))[0])
 
 
 @query

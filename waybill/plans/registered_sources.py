@@ -9,7 +9,7 @@ from waybill.operators.rules import carrier_vocabulary
 from waybill.plans.registered import query
 from waybill.sources import driver_tables as D
 from waybill.sources import order_lines as O
-from waybill.sources.proxy import proxy_deliveries as make_proxy
+from waybill.sources.proxy import proxies_for
 from waybill.sources.sinks import records
 from waybill.streaming import audit_stream as A
 
@@ -71,9 +71,9 @@ def adapt_legacy(spark, sf_dir):
 
 @query
 def proxy_deliveries(spark, sf_dir):
-    """As many proxy rows as there are order lines."""
-    n = D.table(spark, sf_dir, "lineitem").count()
-    return _result(make_proxy(spark, n), 6)
+    """A proxy row for each order line, derived from its order and line numbers."""
+    lines = D.table(spark, sf_dir, "lineitem")
+    return _result(proxies_for(lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("id"))), 6)
 
 
 # ---- streams -----------------------------------------------------------------------------

@@ -68,11 +68,11 @@ def run_sweep(
             for level in levels:
                 rows, stats = generate(real, level, architecture, n, seed, draw)
                 synth = materialised(rows)
-                if synth.isEmpty():
-                    continue
-                measured = evaluate_synth(real, synth, baseline, **options)
+                measured = _stat_rows(stats)
+                if not synth.isEmpty():
+                    measured = evaluate_synth(real, synth, baseline, **options).unionByName(measured)
                 parts.append(
-                    measured.unionByName(_stat_rows(stats)).select(
+                    measured.select(
                         F.lit(architecture).alias("architecture"),
                         F.lit(level).alias("level"),
                         F.lit(int(seed)).alias("seed"),

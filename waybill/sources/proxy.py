@@ -60,13 +60,19 @@ def _shift(base: Column, days: Column) -> Column:
 
 
 def proxy_deliveries(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """n proxy rows, numbered from 0."""
+    return proxies_for(spark.range(n), seed)
+
+
+def proxies_for(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """A proxy row for each `id` of a table; the row is a function of the id and the seed."""
     key = F.col("id")
 
     def u(salt: str, lane: int = 0) -> Column:
         return uniform(key, f"proxy-{salt}", seed, lane)
 
     lags = computed_once(
-        spark.range(n),
+        ids.select("id"),
         {
             "_created": F.floor(u("created", 0) * F.lit(float(CREATED_DAYS))) * 24
             + F.floor(u("created", 1) * F.lit(float(CREATED_HOURS))),
