@@ -196,6 +196,7 @@ class TestTopK:
 
     def test_against_brute_force(self, spark, monkeypatch):
         monkeypatch.setattr(topk_search, "BLOCK_VECTORS", 60)
+        monkeypatch.setattr(topk_search, "LIST_VECTORS", 25)
         monkeypatch.setattr(topk_search, "CHUNK_QUERIES", 7)
         rng = random.Random(9)
         rows = [(i, [rng.choice([-0.01, 0.0, 0.01, 0.5, rng.gauss(0, 1)]) for _ in range(6)]) for i in range(220)]
@@ -206,8 +207,12 @@ class TestTopK:
         assert Counter(map(tuple, got.collect())) == self.want(rows, 5, lambda i: i % 10 == 0)
 
     def test_large_components_and_small_tables(self, spark):
-        rows = [(0, [1e9, 3.0]), (1, [2e9, 1.0]), (2, [3e38, 0.0]), (3, [-3e38, 0.0])]
+        rows = [(0, [1e9, 3.0]), (1, [2e9, 1.0]), (2, [3e38, 0.0]), (3, [-3e38, 0.0])] + [(i, [i / 7, -i / 9]) for i in range(4, 30)]
         frame = spark.createDataFrame(rows, self.SCHEMA)
+        got = topk_search.top_k(frame, F.col("vec_id") == 5)
+        assert Counter(map(tuple, got.collect())) == self.want(rows, 5, lambda i: i == 5)
+        few = topk_search.top_k(frame, F.col("vec_id").isin(1, 9))
+        assert Counter(map(tuple, few.collect())) == self.want(rows, 5, lambda i: i in (1, 9))
         got = topk_search.top_k(frame, F.lit(True))
         assert Counter(map(tuple, got.collect())) == self.want(rows, 5, lambda i: True)
         assert topk_search.top_k(frame.limit(0), F.lit(True)).count() == 0
@@ -215,13 +220,15 @@ class TestTopK:
 
     def test_reading_in_order_equals_scoring_all(self):
         rng = np.random.default_rng(1)
-        for _ in range(30):
-            values = np.floor(rng.normal(0, 20, (150, 8))) // 4
-            ids = rng.permutation(150)
-            lists = topk_search.SortedLists(ids, values)
+        for _ in range(40):
+            values = np.floor(rng.normal(0, 20, (450, 8))) // 4
+            ids = rng.permutation(450)
             query = np.floor(rng.normal(0, 20, 8)) // 4
-            scores = sorted(((-int(s), int(i)) for s, i in zip(values @ query, ids, strict=True) if i != 3))[:5]
-            assert lists.best(query, 3, 5) == [(i, -s) for s, i in scores]
+            scores = sorted((-int(s), int(i)) for s, i in zip(values @ query, ids, strict=True) if i != 3)[:5]
+            found, share = [], 0.1
+            for a in range(0, 450, 150):
+                found, share = topk_search.SortedLists(ids[a : a + 150], values[a : a + 150]).best(query, 3, 5, found, share)
+            assert found == [(i, -s) for s, i in scores]
 
 
 class TestWarc:

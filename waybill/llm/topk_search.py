@@ -1,11 +1,13 @@
 """Exact top-k by inner product, with sorted lists that are only read in order.
 
-Each component of the vectors of a block makes one list, sorted by value. A query reads its lists
-in step, from the top where its own component is positive and from the bottom where it is
-negative. What it has read of a vector gives that vector's lower and upper bound: a component not
-yet read is worth at least the end of its list and at most the value the reading has come to.
-Reading stops when no vector outside a small set can reach the k-th lower bound any more, not
-even by a tie; the scores of that set are then resolved exactly.
+Each component of the vectors of a sub-block makes one list, sorted by value. A query reads its
+lists from the top where its own component is positive and from the bottom where it is negative,
+deeper where its component is larger. What it has read of a vector gives that vector's lower and
+upper bound: a component not yet read is worth at least the end of its list and at most the value
+the reading has come to. Reading stops when few vectors are left whose upper bound reaches the
+k-th lower bound, ties included; nothing outside can qualify, and the scores of those few are
+resolved exactly. The k-th score resolved so far is a lower bound for the next sub-block, and the
+depth that one query needed is where it starts there.
 
 Vectors are dealt to blocks and queries to chunks, and every chunk meets every block: the queries
 are a stated share of the rows. Each meeting returns k rows per query, and the best k over the
@@ -28,8 +30,11 @@ from pyspark.sql import functions as F
 
 from waybill.functions.small import stored
 
-BLOCK_VECTORS = 2048
-CHUNK_QUERIES = 512
+#: Vectors of a block, which one task holds, and of a sub-block, which has lists of its own.
+BLOCK_VECTORS, LIST_VECTORS = 16_384, 4_096
+CHUNK_QUERIES = 256
+#: Share of each list read at first, growth of the depth, and the share of vectors left at which reading stops.
+FIRST, GROWTH, LEFT = 0.25, 1.25, 1 / 8
 #: Components up to here multiply and add exactly in floats and 64-bit integers.
 EXACT = 1 << 20
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -45,59 +50,76 @@ def quantised(vectors: pd.Series) -> np.ndarray:
 
 
 class SortedLists:
-    """One list per component over the vectors of a block."""
+    """One list per component over the vectors of a sub-block."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
         self.exact = values.dtype != object
         if self.exact:
-            self.rows = np.argsort(values, axis=0, kind="stable")
-            self.sorted = np.take_along_axis(values, self.rows, axis=0)
-
-    def _resolved(self, query: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(id, score) of the best k of some rows, ties to the smaller id."""
-        scores = [max(LEAST, min(MOST, int(s))) for s in (self.values[rows] * query).sum(axis=1)]
-        return sorted(zip(self.ids[rows].tolist(), scores, strict=True), key=lambda x: (-x[1], x[0]))[:k]
-
-    def best(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+            rows = np.argsort(values, axis=0, kind="stable")
+            self.sorted = np.ascontiguousarray(np.take_along_axis(values, rows, axis=0).T)
+            self.rows = np.ascontiguousarray(rows.T)
+
+    def _resolved(self, query: np.ndarray, rows: np.ndarray, found: list[tuple[int, int]], k: int):
+        """`found` and the exact scores of some rows: the best k, ties to the smaller id."""
+        if self.exact and query.dtype != object:
+            scores = self.values[rows] @ query
+        else:
+            whole = [int(x) for x in query]
+            scores = (sum(int(v) * x for v, x in zip(row, whole, strict=True)) for row in self.values[rows])
+        scores = [max(LEAST, min(MOST, int(s))) for s in scores]
+        both = [*found, *zip(self.ids[rows].tolist(), scores, strict=True)]
+        return sorted(both, key=lambda x: (-x[1], x[0]))[:k]
+
+    def best(
+        self, query: np.ndarray, own: int, k: int, found: list[tuple[int, int]], share: float = FIRST
+    ) -> tuple[list[tuple[int, int]], float]:
+        """The best k (id, score) of `found` and of this sub-block, and the share of the lists it took.
+
+        found: resolved in other sub-blocks, best first.
+        """
         others = self.ids != own
-        if not self.exact or query.dtype == object or others.sum() <= k:
-            return self._resolved(query, np.flatnonzero(others), k)
-        lists = np.flatnonzero(query)
-        if not len(lists):
-            return self._resolved(query, np.flatnonzero(others), k)
+        lists = np.flatnonzero(query) if self.exact and query.dtype != object else []
+        if not len(lists) or others.sum() <= k:
+            return self._resolved(query, np.flatnonzero(others), found, k), share
         weight, count = query[lists], len(self.ids)
         down = weight > 0
-        order = np.where(down, self.rows[::-1, lists], self.rows[:, lists])
-        worth = np.where(down, self.sorted[::-1, lists], self.sorted[:, lists]) * weight
-        least = worth[-1]  # what a component is worth at least
-        known = np.zeros(count)
-        unread = np.ones((count, len(lists)))
-        columns = np.arange(len(lists))
-        depth, step = 0, max(16, count // 16)
-        while depth < count:
-            upto = min(count, depth + step)
-            read = order[depth:upto]
-            known += np.bincount(read.ravel(), worth[depth:upto].ravel(), count)
-            unread[read, columns] = 0
-            depth = upto
-            lower = known + unread @ least
-            upper = known + unread @ worth[depth - 1]
-            bar = np.partition(lower[others], -k)[-k]
+        size = np.abs(weight) / np.abs(weight).mean()
+        least = np.where(down, self.sorted[lists, 0], self.sorted[lists, -1]) * weight
+        while True:
+            depth = np.clip((share * count * size).astype(int), 1, count)
+            reached = np.where(down, self.sorted[lists, count - depth], self.sorted[lists, depth - 1]) * weight
+            rows, worth = [], []
+            for at, upto, top, w in zip(lists.tolist(), depth.tolist(), down.tolist(), weight.tolist(), strict=True):
+                read = slice(count - upto, None) if top else slice(upto)
+                rows.append(self.rows[at, read])
+                worth.append(self.sorted[at, read] * w)
+            rows, worth = np.concatenate(rows), np.concatenate(worth)
+            # Sums of whole numbers below 2**53: exact.
+            upper = reached.sum() + np.bincount(rows, worth - np.repeat(reached, depth), count)
+            if len(found) == k:
+                bar = found[-1][1]
+            else:
+                lower = least.sum() + np.bincount(rows, worth - np.repeat(least, depth), count)
+                bar = np.partition(lower[others], -k)[-k]
             open_rows = np.flatnonzero((upper >= bar) & others)
-            if len(open_rows) <= 8 * k:
-                break
-        return self._resolved(query, open_rows, k)
+            if len(open_rows) <= max(k, LEFT * count) or (depth == count).all():
+                return self._resolved(query, open_rows, found, k), share
+            share *= GROWTH
 
 
 def _meeting(k: int):
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         if len(queries) and len(block):
-            lists = SortedLists(block["vec_id"].to_numpy(), quantised(block["vector"]))
+            ids, values = block["vec_id"].to_numpy(), quantised(block["vector"])
+            cuts = range(0, len(ids), LIST_VECTORS)
+            lists = [SortedLists(ids[a : a + LIST_VECTORS], values[a : a + LIST_VECTORS]) for a in cuts]
             for query_id, query in zip(queries["vec_id"].tolist(), quantised(queries["vector"]), strict=True):
-                for vec_id, score in lists.best(query, query_id, k):
-                    out.append((query_id, vec_id, score))
+                found, share = [], FIRST
+                for part in lists:
+                    found, share = part.best(query, query_id, k, found, share / GROWTH)
+                out += [(query_id, vec_id, score) for vec_id, score in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
