@@ -103,8 +103,32 @@ def test_resampling_reaches_the_target(spark):
     got = stats.first()
     assert rows.count() == 500 and not got.cap_hit and got.drawn > 500
     assert rows.exceptAll(repair.rejection_filter(rows)).isEmpty()
-    _, none = resample.resample_to_target(synth.bootstrap(real), 50, lambda d: d.where("1 = 0"))
-    assert none.first().cap_hit and none.first().drawn == 400
+    for limit, drawn in ((8, 400), (None, resample.PILOT_ROWS)):
+        rows, none = resample.resample_to_target(synth.bootstrap(real), 50, lambda d: d.where("1 = 0"), limit)
+        assert none.first().cap_hit and none.first().drawn == drawn and rows.isEmpty()
+    rows, empty = resample.resample_to_target(synth.bootstrap(real), 0)
+    assert rows.isEmpty() and empty.first().drawn == 0
+    # The n-th survivor ends the draws, wherever batches and blocks end.
+    odd = lambda d: d.where("draw_id % 37 = 5")
+    rows, stats = resample.resample_to_target(synth.bootstrap(real), 300, odd)
+    assert stats.first().drawn == 37 * 299 + 6 and rows.agg(F.max("draw_id")).first()[0] == 37 * 299 + 5
+
+
+def test_uniforms_reach_every_row_of_a_large_table(spark):
+    from waybill.functions.hashing import uniform
+
+    drawn = spark.range(2000).select((F.floor(uniform(F.col("id"), "pick") * F.lit(1e12)) % 1000).alias("low"))
+    # 32 bits would leave gaps of 233: low digits then come in few steps.
+    assert drawn.distinct().count() > 800
+
+
+def test_strict_level_holds_with_many_pairs(spark):
+    from waybill.operators import ladder
+
+    train = spark.range(500).selectExpr("cast(id as string) AS last_scac", "'c' AS carrier_service_code")
+    rows = spark.range(600).selectExpr("cast(id as string) AS last_scac", "'c' AS carrier_service_code")
+    assert ladder.ladder_filter(rows, "moderate", train).count() == 600
+    assert ladder.ladder_filter(rows, "strict", train).count() == 500
 
 
 def test_copula_keeps_shapes(spark, proxy):
