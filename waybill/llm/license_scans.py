@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waybill.llm.words import WordHashes, gram_hashes
+from waybill.llm.words import WordHashes, bounded_batches, gram_hashes
 
 GRAM, WINDOW = 3, 3
 #: Shares of the template's words matched, and of the span's words that match, from which a notice counts.
@@ -257,7 +257,7 @@ def license_matches(text: Column, notices: tuple[tuple[str, str], ...] = NOTICES
 
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = docs.select("doc_id", license_matches(F.col("text")).alias("found"))
+    found = bounded_batches(docs).select("doc_id", license_matches(F.col("text")).alias("found"))
     parts = F.transform(
         "found",
         lambda m: F.concat_ws(

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waybill.llm.words import bounded_batches
+
 WINDOW = 20
 KINDS = ("assign", "access", "hex", "entropy")
 BASE_KINDS = KINDS[:3]
@@ -175,13 +177,13 @@ def span_list(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """All rows and columns, secrets masked; the length column is brought up to date."""
-    out = docs.withColumn(text, masked_text(F.col(text)))
+    out = bounded_batches(docs).withColumn(text, masked_text(F.col(text)))
     return out.withColumn(length, F.char_length(F.col(text)).cast("long")) if length in docs.columns else out
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = docs.select("doc_id", secret_spans("text").alias("found"))
+    found = bounded_batches(docs).select("doc_id", secret_spans("text").alias("found"))
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
 
     def counted(kind: str) -> Column:

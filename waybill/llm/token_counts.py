@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waybill.llm.words import bounded_batches
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words a task remembers, and the longest it does: a bound on memory, not on the texts.
@@ -163,7 +165,7 @@ def counted(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: st
 
     # The caller's columns travel in one struct, so their names can't clash.
     kept = [c for c in docs.columns if c != out]
-    packed = docs.select(F.col(text).cast("string").alias("text"), F.struct(*[F.col(c) for c in kept]).alias("row"))
+    packed = bounded_batches(docs).select(F.col(text).cast("string").alias("text"), F.struct(*[F.col(c) for c in kept]).alias("row"))
     schema = packed.schema["row"].dataType.simpleString()
     return packed.mapInArrow(run, f"row {schema}, count long").select("row.*", F.col("count").alias(out))
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.functions.small import broadcast_up_to, fresh_path, stored
+from waybill.llm.words import bounded_batches
 
 REVISIT_BYTES = 1000
 #: Records of an archive: many small ones, or a few whose payload is larger than `SMALL_BYTES`.
@@ -171,7 +172,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(list(entries(archive, content.as_py())), schema=schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    parsed = files.mapInArrow(parse, ENTRY.replace("url_key", "target"))
+    parsed = bounded_batches(files).mapInArrow(parse, ENTRY.replace("url_key", "target"))
     names = [c.split(" ")[0] for c in ENTRY.split(", ")]
     return parsed.withColumn("url_key", url_key(F.col("target"))).select(*names)
 

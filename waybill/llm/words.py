@@ -6,13 +6,30 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Everything that separates words: the space and the control characters 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch of texts; both sides of the pipe hold a few batches per task.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(rows: DataFrame) -> DataFrame:
+    """`rows`, in a session whose Arrow batches are at most `BATCH_BYTES` large.
+
+    The default, 10,000 rows or 64 MB, suits short rows; for texts it costs each Python worker and
+    the JVM's direct buffers several times that much.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = conf.get(name).lower().removesuffix("b")
+    if not given.isdigit() or int(given) > BATCH_BYTES or int(given) <= 0:
+        conf.set(name, str(BATCH_BYTES))
+    return rows
+
+
 def word_array(text: Column) -> Column:
     """The maximal runs without a space or a control character 9-13; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
