@@ -227,3 +227,39 @@ def test_registered_keys_match():
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries)
     assert len(queries) > 100
+
+
+def test_streams_carry_state_over_batches_and_drop_late_rows(spark, tmp_path):
+    import time
+
+    from waybill.streaming import audit_stream as A
+
+    files = [
+        [("a", "2024-01-01 10:00:00", True), ("b", "2024-01-05 10:00:00", False)],
+        [("a", "2024-01-01 10:00:00", True), ("c", "2024-01-06 10:00:00", True)],
+        [("d", "2024-03-01 10:00:00", False)],
+        # Two months late: its window is closed.
+        [("e", "2024-01-02 10:00:00", True), ("f", "2024-03-02 10:00:00", False)],
+    ]
+    path = str(tmp_path / "rows")
+    for rows in files:
+        frame = spark.createDataFrame(rows, "id string, ts string, quarantined boolean")
+        frame.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # the source takes files by their time
+    stream = A.parquet_stream(spark, path, files_per_batch=1)
+    rates = A.latest_batch(A.run_once(A.window_rates(stream, "ts"), "update"), ["window_start"])
+    got = {str(r.window_start.date()): (r.n, r.violations) for r in rates.collect()}
+    # Counts add up over batches; "e" is dropped.
+    assert got == {"2023-12-28": (2, 2), "2024-01-04": (2, 1), "2024-02-29": (2, 0)}
+    # "a" came twice in batches of its own; "e" is too late to be told from a repeat.
+    once = A.run_once(A.drop_repeats(A.parquet_stream(spark, path, files_per_batch=1), "id", "ts", "1 day"))
+    assert sorted(r.id for r in once.collect()) == ["a", "b", "c", "d", "f"]
+
+
+def test_an_empty_stream_gives_an_empty_table(spark, tmp_path):
+    from waybill.streaming import audit_stream as A
+
+    path = str(tmp_path / "none")
+    spark.createDataFrame([], "ts timestamp, quarantined boolean").coalesce(1).write.parquet(path)
+    out = A.run_once(A.window_rates(A.parquet_stream(spark, path), "ts"), "update")
+    assert out.count() == 0 and "batch" in out.columns

@@ -101,6 +101,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_at(spark: SparkSession, path: str) -> bool | None:
+    """Whether a path is a folder, by whatever store it is in; None if nothing is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.getFileStatus(where).isDirectory() if store.exists(where) else None
+
+
 def fresh_path(spark: SparkSession) -> str:
     """A new folder name in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/waybill-{uuid.uuid4().hex}"

@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from waybill import schema as S
-from waybill.functions.small import shared_folder
+from waybill.functions.small import folder_at, shared_folder
 from waybill.operators.audit import flag_hard
 
 
@@ -47,16 +48,20 @@ def drop_repeats(stream: DataFrame, key: str, time: str, late: str) -> DataFrame
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def parquet_stream(spark: SparkSession, path: str, columns=None) -> DataFrame:
+def parquet_stream(
+    spark: SparkSession, path: str, columns=None, files_per_batch: int | None = None
+) -> DataFrame:
     """A parquet file or folder as a stream, with the schema of the files there now.
 
     The file source watches folders, so a single file is matched by name in its folder.
+    `files_per_batch` cuts a backlog into micro-batches.
     """
     stored = spark.read.parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
-    single = any(f.rstrip("/").endswith(f"/{name}") for f in stored.inputFiles())
     reader = spark.readStream.schema(stored.schema)
-    if single:
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if folder_at(spark, path) is False:
         stream = reader.option("pathGlobFilter", name).parquet(folder)
     else:
         stream = reader.parquet(path)
@@ -83,7 +88,11 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
 
         query = writer.outputMode(mode).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out) if mode == "append" else spark.read.parquet(out)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    if folder_at(spark, out) is None:  # no batch had anything to write
+        return spark.createDataFrame([], T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())]))
+    return spark.read.parquet(out)
 
 
 def latest_batch(rows: DataFrame, keys) -> DataFrame:
