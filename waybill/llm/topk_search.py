@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 from waybill.functions.small import stored
 
 #: Vectors of a block, which one task holds, and of a sub-block, which has lists of its own.
-BLOCK_VECTORS, LIST_VECTORS = 16_384, 4_096
+BLOCK_VECTORS, LIST_VECTORS = 32_768, 4_096
 CHUNK_QUERIES = 256
-#: Share of each list read at first, growth of the depth, and the share of vectors left at which reading stops.
-FIRST, GROWTH, LEFT = 0.25, 1.25, 1 / 8
+#: Share of each list read at first, without and with a bar from other lists; growth of the depth;
+#: and the share of vectors left at which reading stops.
+ALONE, HELPED, GROWTH, LEFT = 0.75, 0.45, 1.15, 1 / 4
 #: Components up to here multiply and add exactly in floats and 64-bit integers.
 EXACT = 1 << 20
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -72,7 +73,7 @@ class SortedLists:
         return sorted(both, key=lambda x: (-x[1], x[0]))[:k]
 
     def best(
-        self, query: np.ndarray, own: int, k: int, found: list[tuple[int, int]], share: float = FIRST
+        self, query: np.ndarray, own: int, k: int, found: list[tuple[int, int]], share: float = ALONE
     ) -> tuple[list[tuple[int, int]], float]:
         """The best k (id, score) of `found` and of this sub-block, and the share of the lists it took.
 
@@ -89,18 +90,20 @@ class SortedLists:
         while True:
             depth = np.clip((share * count * size).astype(int), 1, count)
             reached = np.where(down, self.sorted[lists, count - depth], self.sorted[lists, depth - 1]) * weight
-            rows, worth = [], []
-            for at, upto, top, w in zip(lists.tolist(), depth.tolist(), down.tolist(), weight.tolist(), strict=True):
+            rows, above = [], []
+            plan = zip(lists.tolist(), depth.tolist(), down.tolist(), weight.tolist(), reached.tolist(), strict=True)
+            for at, upto, top, w, end in plan:
                 read = slice(count - upto, None) if top else slice(upto)
                 rows.append(self.rows[at, read])
-                worth.append(self.sorted[at, read] * w)
-            rows, worth = np.concatenate(rows), np.concatenate(worth)
+                above.append(self.sorted[at, read] * w - end)
+            rows, above = np.concatenate(rows), np.concatenate(above)
+            # What is read counts in full, the rest as the value reached or as the least one.
             # Sums of whole numbers below 2**53: exact.
-            upper = reached.sum() + np.bincount(rows, worth - np.repeat(reached, depth), count)
+            upper = reached.sum() + np.bincount(rows, above, count)
             if len(found) == k:
                 bar = found[-1][1]
             else:
-                lower = least.sum() + np.bincount(rows, worth - np.repeat(least, depth), count)
+                lower = least.sum() + np.bincount(rows, above + np.repeat(reached - least, depth), count)
                 bar = np.partition(lower[others], -k)[-k]
             open_rows = np.flatnonzero((upper >= bar) & others)
             if len(open_rows) <= max(k, LEFT * count) or (depth == count).all():
@@ -116,9 +119,11 @@ def _meeting(k: int):
             cuts = range(0, len(ids), LIST_VECTORS)
             lists = [SortedLists(ids[a : a + LIST_VECTORS], values[a : a + LIST_VECTORS]) for a in cuts]
             for query_id, query in zip(queries["vec_id"].tolist(), quantised(queries["vector"]), strict=True):
-                found, share = [], FIRST
-                for part in lists:
-                    found, share = part.best(query, query_id, k, found, share / GROWTH)
+                found, share = [], ALONE
+                for i, part in enumerate(lists):
+                    # A little less than sufficed before; the first bar saves the most.
+                    share = min(share / GROWTH, HELPED if i == 1 else 1.0) if i else ALONE
+                    found, share = part.best(query, query_id, k, found, share)
                 out += [(query_id, vec_id, score) for vec_id, score in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
