@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions.coerce import Fields, days_between
-from waybill.functions.small import BROADCAST_ROWS, broadcast_if_small, scalar
+from waybill.functions.small import BROADCAST_ROWS, broadcast_if_small, scalar, shuffle_width
 from waybill.operators.ecdf import exact_quantiles
 
 
@@ -154,21 +154,21 @@ def category_codes(df: DataFrame, columns=None) -> DataFrame:
     return text_ranks(values, ["column_name"], "value").withColumnRenamed("_rank", "code")
 
 
-def text_ranks(values: DataFrame, by, text: str, edges_per_group: int = 16) -> DataFrame:
+def text_ranks(values: DataFrame, by, text: str, edges: int | None = None) -> DataFrame:
     """0-based rank of distinct texts within `by`, in byte order.
 
-    Bucket edges are a bounded sample (the values with the smallest digests); they only
-    balance the work.
+    Bucket edges are a bounded sample (the values with the smallest digests), as many as the
+    session's shuffles are wide; they only balance the work.
     """
+    edges = edges or shuffle_width(values, 16, 256)
     from waybill.operators.ranking import prefix_rank
 
     sample = (
-        values.select(text).distinct().orderBy(F.md5(text), text).limit(32 * edges_per_group)
+        values.select(text).distinct().orderBy(F.md5(text), text).limit(32 * edges)
     )
     drawn = sorted((r[0] for r in sample.collect()), key=lambda s: s.encode())
-    edges = drawn[32::32]
     bucket = F.lit(0)
-    for edge in edges:
+    for edge in drawn[32::32]:
         bucket = bucket + (F.col(text) >= F.lit(edge)).cast("int")
     ranked = prefix_rank(values, by, bucket, [F.col(text)])
     return ranked.withColumn("_rank", (F.col("_rank") - 1).cast("bigint"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions.coerce import Fields
 from waybill.functions.hashing import digest, hash_bucket
-from waybill.functions.small import broadcast_if_small
+from waybill.functions.small import broadcast_if_small, shuffle_width
 from waybill.operators.ecdf import add_range_buckets, running_counts
 
 
@@ -107,12 +109,14 @@ def time_rank(df: DataFrame, key: str = S.ROW_ID, column: str | None = None) ->
     """Adds `_rank` (1-based) by time, NULL last, ties in digest order.
 
     Distinct (time, digest slice) groups get running counts; only rows of one group are
-    numbered together, so a timestamp shared by many rows is spread over 256 groups.
+    numbered together, so a timestamp shared by many rows is spread over many groups: 256, or
+    more where the session shuffles wider.
     """
     column = column or time_column(df)
+    digits = max(2, math.ceil(math.log(shuffle_width(df), 16)))
     digest_col = F.md5(F.col(key))
     marked = df.withColumn("_digest", digest_col).withColumn(
-        "_slice", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int")
+        "_slice", F.conv(F.substring("_digest", 1, digits), 16, 10).cast("int")
     )
     if column:
         micros = F.unix_micros(Fields(df).stamp(column)).cast("double")
