@@ -193,3 +193,23 @@ def test_confidence_interval(spark):
     assert (got["mean"], got["std"], got["n"]) == (2.0, 1.0, 3)
     single = distribution.confidence_interval(df.limit(1), "v").first()
     assert (single["std"], single["ci95_low"]) == (0.0, 1.0)
+
+
+def test_quality_report_is_four_tables(spark, proxy, tmp_path):
+    from waybill.operators import quality
+    from waybill.sources import sinks
+
+    paths = sinks.write_report(quality.quality_tables(proxy, proxy), str(tmp_path), "parquet")
+    assert set(paths) == {"quality_overall", "column_shapes", "column_pair_trends", "adherence"}
+    for path in paths.values():
+        # A correlation that doesn't exist has no score.
+        scores = [r.score for r in spark.read.parquet(path).collect() if r.score is not None]
+        assert scores and min(scores) == 1.0
+
+
+def test_places_listed_twice_do_not_multiply_rows(spark):
+    from waybill.operators.derive import add_distance
+
+    rows = spark.createDataFrame([("10115",), ("10115",), ("99999",)], "zip_code string")
+    places = spark.createDataFrame([("10115", 52.5, 13.4), ("10115", 52.5, 13.4)], "zip5 string, latitude double, longitude double")
+    assert add_distance(rows, places).count() == 3

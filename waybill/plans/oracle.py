@@ -953,7 +953,9 @@ nearest("w_nn_a", "w_nn_test", "w_z_real")
 nearest("w_nn_s", "w_nn_test", "w_nn_train")
 view("w_nnaa", "SELECT row_id, a.distance AS d_real, s.distance AS d_synth FROM w_nn_a a JOIN w_nn_s s USING (row_id)")
 oracle("nnaa", "SELECT round(avg((d_real < d_synth)::INTEGER), 4) AS nnaa, count(*) AS n FROM w_nnaa")
-oracle("privacy_distributions", f"SELECT field, {_SUM} FROM (" + _unpivot("w_nnaa", ["d_real", "d_synth"]) + ") GROUP BY 1")
+view("w_three", "SELECT 'dcr' AS field, distance AS value FROM w_nn_dcr UNION ALL SELECT 'd_real', d_real FROM w_nnaa UNION ALL SELECT 'd_synth', d_synth FROM w_nnaa")
+oracle("privacy_distributions", f"SELECT field, {_SUM} FROM w_three GROUP BY 1")
+oracle("privacy_histograms", "SELECT field, 20::BIGINT AS bins, count(*) AS n FROM w_three GROUP BY 1")
 view("w_in", "SELECT * FROM w_members WHERE is_member")
 _stats_view("w_st_in", "w_in")
 view("w_made", "SELECT * FROM w_synth WHERE row_id IN (SELECT row_id FROM w_in)")

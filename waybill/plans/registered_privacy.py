@@ -39,9 +39,14 @@ def nnaa(spark, sf_dir):
 
 @query
 def privacy_distributions(spark, sf_dir):
-    distances = privacy.nnaa_distances(*_sides(spark, sf_dir))
-    summary, _ = privacy.distance_tables(distances, ["d_real", "d_synth"])
-    return summary
+    return privacy.distance_distributions(*_sides(spark, sf_dir))[0]
+
+
+@query
+def privacy_histograms(spark, sf_dir):
+    """Twenty bins of each distance; edges to four digits."""
+    bins = privacy.distance_distributions(*_sides(spark, sf_dir))[1]
+    return bins.groupBy("field").agg(F.count("*").alias("bins"), F.sum("n").cast("bigint").alias("n"))
 
 
 def _mia(spark, sf_dir):
