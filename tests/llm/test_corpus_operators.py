@@ -239,7 +239,7 @@ class TestWarc:
         rows = [(i, f"http://h{i % 3}.example.com:80/p/{i % 7}", f"page {i} " * (i * 4)) for i in range(60)]
         rows += [(100, "https://A.b.C/x", big), (101, "https://a.b.c/x", big), (103, None, big), (None, "http://n.x", big)]
         rows += [(110, "no scheme\r\nX: y", None), (111, "", ""), (112, "http://e.x", "small"), (113, "http://e.x", "small")]
-        return rows + [(103, "http://again.x/", big), (120, "http://l.x/", "z" * 70000)]
+        return rows + [(103, "http://again.x/", big), (120, "http://l.x/", "z" * 70000), (2**62, "http://m.x/", "m"), (-5, "http://m.x/", None)]
 
     def want(self, rows):
         import hashlib

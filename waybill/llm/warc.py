@@ -12,7 +12,7 @@ replays one path of the tree, log2(runs) comparisons. The ranges in order are th
 
 Defined results: a null html is an empty payload, a null URL an empty one, a null id is absent;
 rows that repeat the largest id of equal payloads are all responses; among null ids only, too. A
-page has no capture time of its own: it is taken `page_id` seconds after the year 2000 began.
+page has no capture time of its own: it is taken `page_id` seconds, modulo a billion, after 2000 began.
 An empty table gives an empty archive and an empty index.
 """
 
@@ -62,7 +62,8 @@ def _record(page_id: Column, url: Column, html: Column, digest: Column, refers_t
     target = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "\r", "%0D"), "\n", "%0A")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(html))
-    date = F.date_format(F.timestamp_seconds(F.lit(946684800) + F.coalesce(page_id, F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    second = F.lit(946684800) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(10**9))
+    date = F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
