@@ -29,8 +29,7 @@ def broadcast_up_to(stored_rows: DataFrame, max_rows: int) -> DataFrame:
 
     For tables read back from storage: the count reads no column, nothing is collected.
     """
-    small = stored_rows.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(stored_rows) if small else stored_rows
+    return F.broadcast(stored_rows) if stored_rows.count() <= max_rows else stored_rows
 
 
 def scalar(one_row: DataFrame) -> dict[str, Column]:
