@@ -170,6 +170,19 @@ class TestPersonalData:
         rows = {r.id: [(s.kind, s.start, s.stop) for s in r.spans] for r in pii.personal_spans(docs).collect()}
         assert ("generalise", 4, 12) in rows[40] and rows[44] == []
 
+    def test_entities_of_one_or_two_documents_are_judged(self, spark):
+        docs = _frame(spark, ["nothing special happens here today"] * 60 + [
+            "nothing special here zorblatt happens one@q.org today",
+            "special quibbler happens two@q.org today",
+            "special quibbler happens here two@q.org",
+        ])
+        texts = [r.text for r in docs.sort("doc_id").collect()]
+        rows = {r.id: {(texts[r.id][s.start : s.stop], s.kind) for s in r.spans if s.kind in ("generalise", "remove")}
+                for r in pii.personal_spans(docs).collect()}
+        assert {w for w, _ in rows[60]} == {"zorblatt"}
+        assert {w for w, _ in rows[61]} == {w for w, _ in rows[62]} == {"quibbler"}
+        assert not any(rows[i] for i in range(60))
+
     def test_empty_table_and_clashing_columns(self, spark):
         docs = _frame(spark, ["a@b.cd x", "plain"]).selectExpr("*", "1 AS row", "2 AS spans", "3 AS _text", "4 AS base")
         assert pii.sanitised(docs).columns == docs.columns

@@ -5,16 +5,18 @@ enough when other words of the text point to the same person, so terms are judge
 corpus says: a value found by a pattern is an entity c, a word is a term t, and over all documents
 
     information of c:  IC(c) = log2(N / df(c))
-    disclosed by t:    PMI(c; t) = log2(N df(c, t) / (df(c) df(t)))
+    disclosed by t:    PMI(c; t) = log2(P(c | t) / P(c)), P(c) = df(c) / N
 
 A term of a document is removed if it discloses `REMOVE` of the information of an entity of the
-same document, generalised from `GENERALISE` on. Counts below `SUPPORT` documents are no evidence.
-Documents without personal data have nothing to disclose and stay as they are.
+same document, generalised from `GENERALISE` on. Entities of every document frequency are judged.
+As few documents are weak evidence, P(c | t) is smoothed towards P(c) as if `PRIOR` documents more
+had held t: (df(c, t) + PRIOR P(c)) / (df(t) + PRIOR).
 
 Everything is built from DataFrame functions. Regular expressions are possessive and start only
 where a match can, so a text costs time in proportion to its length. Positions come from the
-texts between the matches by prefix sums within the row. Co-occurrences are counted for entities
-with enough documents only, with partial sums before each shuffle; no group is gathered anywhere.
+texts between the matches by prefix sums within the row. Co-occurrences are counted with partial
+sums before each shuffle, for terms rare enough to reach `GENERALISE` if each of an entity's
+documents held them; others can't be flagged. Only the flagged spans of a document are gathered.
 
 Spans count code points, the end exclusive. Defined results: a null or empty text has no spans;
 rows that repeat id and text count as one document and get the same spans each; other columns
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from waybill.functions.small import broadcast_up_to, stored
 from waybill.llm.quality_rules import bound
 
-SUPPORT = 3
+PRIOR = 0.5
 GENERALISE, REMOVE = 0.8, 0.95
 BROADCAST_ROWS = 1_000_000
 
@@ -62,6 +64,7 @@ KINDS: tuple[tuple[str, str, str | None, Callable[[Column], Column]], ...] = (
     ("phone", PHONE, "+", lambda found: F.char_length(_digits(found)).between(9, 15)),
 )
 BASE = tuple(k for k, *_ in KINDS)
+WORDS = "array<struct<start:int,stop:int,term:string>>"
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,entity:bigint>>"
 
 
@@ -136,34 +139,52 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.lower(t)))
 
 
-def _masked(text: Column) -> Column:
-    for _, pattern, _, _ in KINDS:
-        text = F.regexp_replace(text, pattern, " ")
-    return text
+def _judged(total: int, generalise: float, prior: float) -> tuple[Callable[..., Column], Callable[[Column], Column]]:
+    """Strength of a pair from its counts, and the df up to which a term can reach `generalise`."""
 
+    def strength(both: Column, df: Column, df_term: Column) -> Column:
+        share = df / F.lit(float(total))
+        given = (both + F.lit(prior) * share) / (F.greatest(df_term, both) + F.lit(prior))
+        return F.log2(given / share) / -F.log2(share)
 
-def disclosing(holders: DataFrame, terms: DataFrame, all_texts: DataFrame, total: int, support: int) -> DataFrame:
-    """entity, term, strength: the share of the entity's information that the term discloses.
+    def rarest(df: Column) -> Column:
+        share = df / F.lit(float(total))
+        # A little more, so that rounding loses no term.
+        return (df + F.lit(prior) * share) * F.pow(share, F.lit(generalise - 1)) * F.lit(1 + 1e-9) - F.lit(prior)
 
-    holders: row, entity, df (of the entity); terms: row, term; all_texts: text of each document.
+    return strength, rarest
+
+
+def disclosing(
+    holders: DataFrame, terms: DataFrame, other_texts: DataFrame, total: int, generalise: float, prior: float
+) -> tuple[DataFrame, DataFrame]:
+    """(row, entity, term) that can matter, and (entity, term, strength, df_term, both) from `generalise` on.
+
+    holders: row, entity, df (of the entity); terms: row, term of the documents that hold one;
+    other_texts: text of the others. The strength is the share of the entity's information.
     """
-    both = holders.join(terms, "row").groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("df").alias("df"))
-    both = stored(both.where(F.col("both") >= support))
-    known = broadcast_up_to(stored(both.select("term").distinct()), BROADCAST_ROWS)
-    everywhere = all_texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(known, "term", "left_semi")
-    spread = everywhere.groupBy("term").agg(F.count("*").alias("df_term"))
-    n = F.lit(float(total))
-    pmi = F.log2(n * F.col("both") / (F.col("df") * F.greatest(F.col("df_term"), F.col("both"))))
-    information = F.log2(n / F.col("df"))
-    judged = both.join(spread, "term").where(F.col("df") < n)
-    return judged.select("entity", "term", (pmi / information).alias("strength"))
+    strength, rarest = _judged(total, generalise, prior)
+    known = broadcast_up_to(stored(terms.select("term").distinct()), BROADCAST_ROWS)
+    elsewhere = other_texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(known, "term", "left_semi")
+    spread = elsewhere.unionByName(terms.select("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    holders = holders.where(F.col("df") < total)
+    top = holders.agg(F.coalesce(F.max(rarest(F.col("df"))), F.lit(0.0))).first()[0]
+    rare = broadcast_up_to(stored(spread.where(F.col("df_term") <= top)), BROADCAST_ROWS)
+    pairs = holders.join(terms.join(rare, "term"), "row").where(F.col("df_term") <= rarest(F.col("df")))
+    pairs = stored(pairs.select("row", "entity", "term", "df", "df_term"))
+    both = pairs.groupBy("entity", "term").agg(
+        F.count("*").alias("both"), F.first("df").alias("df"), F.first("df_term").alias("df_term")
+    )
+    judged = both.withColumn("strength", strength(F.col("both"), F.col("df"), F.col("df_term")))
+    judged = judged.select("entity", "term", "strength", "df_term", "both")
+    return pairs.select("row", "entity", "term"), stored(judged.where(F.col("strength") >= generalise))
 
 
 def personal_spans(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    support: int = SUPPORT,
+    prior: float = PRIOR,
     generalise: float = GENERALISE,
     remove: float = REMOVE,
 ) -> DataFrame:
@@ -172,50 +193,48 @@ def personal_spans(
     identity = F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.col("text")))
     named = named.withColumn("row", identity)
     base = stored(named.select("row", "id", base_spans(F.col("text")).alias("base")))
-    own = F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"])))
-    holders = base.where(F.size("base") > 0).select("row", own.alias("entity")).distinct()
-    often = holders.groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df") >= support)
-    holders = stored(holders.join(often, "entity"))
+    held = stored(base.where(F.size("base") > 0).select("row", "base").dropDuplicates(["row"]))
+    holders = held.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity"))
+    holders = stored(holders.join(holders.groupBy("entity").agg(F.count("*").alias("df")), "entity"))
     nothing = F.array().cast(SPAN)
     if holders.isEmpty():
         return base.select("row", "id", "base", F.col("base").alias("spans"))
-    rows = broadcast_up_to(stored(holders.select("row").distinct()), BROADCAST_ROWS)
+    rows = broadcast_up_to(held.select("row"), BROADCAST_ROWS)
     texts = named.join(rows, "row", "left_semi").dropDuplicates(["row"])
-    terms = stored(texts.select("row", F.explode(_terms(_masked(F.col("text")))).alias("term")))
-    strong = disclosing(holders, terms, named, base.count(), support).where(F.col("strength") >= generalise)
-    marked = holders.join(terms, "row").join(strong, ["entity", "term"])
-    marked = marked.groupBy("row", "term").agg(F.max("strength").alias("strength"))
-    action = F.when(F.col("strength") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    per_row = stored(
-        marked.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", action.alias("action")))).alias("actions"))
+    free = F.filter(
+        _words(F.col("text")),
+        lambda a: ~F.exists("base", lambda b: (b["start"] < a["stop"]) & (a["start"] < b["stop"])),
     )
-    found = named.join(broadcast_up_to(per_row, BROADCAST_ROWS // 10), "row").dropDuplicates(["row"])
-    found = found.select("row", _term_spans(F.col("text"), F.col("actions")).alias("added"))
-    free = F.filter("added", lambda a: ~F.exists("base", lambda b: (b["start"] < a["stop"]) & (a["start"] < b["stop"])))
+    words = stored(texts.join(held, "row").select("row", F.inline(free)))
+    terms = stored(words.select("row", "term").distinct())
+    others = named.join(rows, "row", "left_anti")
+    pairs, strong = disclosing(holders, terms, others, base.count(), generalise, prior)
+    strong = broadcast_up_to(strong, BROADCAST_ROWS)
+    marked = pairs.join(strong, ["entity", "term"]).groupBy("row", "term").agg(F.max("strength").alias("strength"))
+    gone = F.col("strength") >= remove
+    ranks = (F.when(gone, F.lit(len(BASE) + 1)).otherwise(F.lit(len(BASE))), F.when(gone, F.lit("remove")).otherwise(F.lit("generalise")))
+    added = F.struct("start", ranks[0].alias("rank"), "stop", ranks[1].alias("kind"), F.lit(0).cast("long").alias("entity"))
+    found = words.join(marked, ["row", "term"]).groupBy("row").agg(F.collect_list(added).cast(SPAN).alias("added"))
     return base.join(found, "row", "left").select(
-        "row", "id", "base", F.sort_array(F.concat("base", F.coalesce(free, nothing))).alias("spans")
+        "row", "id", "base", F.sort_array(F.concat("base", F.coalesce("added", nothing))).alias("spans")
     )
 
 
-def _term_spans(text: Column, actions: Column) -> Column:
-    """Spans of the words of a text that `actions` names."""
-    ranks = F.create_map(F.lit("generalise"), F.lit(len(BASE)), F.lit("remove"), F.lit(len(BASE) + 1))
+def _words(text: Column) -> Column:
+    """Every word of a text: start, stop, term."""
 
     def spans(found: Column, starts: Column) -> Column:
         def one(value: Column, i: Column) -> Column:
-            kind = F.try_element_at(actions, F.lower(value))
             start = F.get(starts, i)
             return F.struct(
                 start.cast("int").alias("start"),
-                F.try_element_at(ranks, kind).alias("rank"),
                 (start + F.char_length(value)).cast("int").alias("stop"),
-                kind.alias("kind"),
-                F.lit(0).cast("long").alias("entity"),
+                F.lower(value).alias("term"),
             )
 
-        return F.filter(F.transform(found, one), lambda s: s["kind"].isNotNull()).cast(SPAN)
+        return F.transform(found, one).cast(WORDS)
 
-    return matches(text, TERM, spans, F.array().cast(SPAN))
+    return matches(text, TERM, spans, F.array().cast(WORDS))
 
 
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
