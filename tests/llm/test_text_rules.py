@@ -183,6 +183,15 @@ class TestPersonalData:
         assert {w for w, _ in rows[61]} == {w for w, _ in rows[62]} == {"quibbler"}
         assert not any(rows[i] for i in range(60))
 
+    def test_short_terms_and_documents_without_the_entity(self, spark):
+        holding = [f"{w} wu 李明 b4821 4711 x@q.org" for w in ("a1", "a2", "a3", "a4", "a5", "a6", "a7", "a8")]
+        docs = _frame(spark, ["common wörds stay"] * 1000 + holding + ["common B4821", "common wu 李明 4711"])
+        texts = [r.text for r in docs.sort("doc_id").collect()]
+        rows = {r.id: {texts[r.id][s.start : s.stop] for s in r.spans if s.kind == "remove"} for r in pii.personal_spans(docs).collect()}
+        assert rows[1000] >= {"wu", "李明", "b4821", "4711"}
+        assert rows[1008] == {"B4821"} and rows[1009] == {"wu", "李明", "4711"}
+        assert not any(rows[i] for i in range(1000))
+
     def test_empty_table_and_clashing_columns(self, spark):
         docs = _frame(spark, ["a@b.cd x", "plain"]).selectExpr("*", "1 AS row", "2 AS spans", "3 AS _text", "4 AS base")
         assert pii.sanitised(docs).columns == docs.columns

@@ -8,7 +8,10 @@ corpus says: a value found by a pattern is an entity c, a word is a term t, and
     disclosed by t:    PMI(c; t) = log2(P(c | t) / P(c)), P(c) = df(c) / N
 
 A term of a document is removed if it discloses `REMOVE` of the information of an entity of the
-same document, generalised from `GENERALISE` on. Entities of every document frequency are judged.
+same document, generalised from `GENERALISE` on. What is removed for an entity is removed from every
+document that contains it, as such a term leads to the entity wherever it stands. Terms are all runs
+of letters, marks and digits outside the patterns' spans, of any length; frequent words disclose too
+little to be flagged. Text written without spaces isn't segmented: a run is one term. Entities of every document frequency are judged.
 As few documents are weak evidence, P(c | t) is smoothed towards P(c) as if `PRIOR` documents more
 had held t: (df(c, t) + PRIOR P(c)) / (df(t) + PRIOR).
 
@@ -44,7 +47,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-TERM = r"\p{L}{4,}+"
+TERM = r"[\p{L}\p{M}\p{N}]++"
 
 
 def _digits(found: Column) -> Column:
@@ -210,7 +213,19 @@ def personal_spans(
     others = named.join(rows, "row", "left_anti")
     pairs, strong = disclosing(holders, terms, others, base.count(), generalise, prior)
     strong = broadcast_up_to(strong, BROADCAST_ROWS)
-    marked = pairs.join(strong, ["entity", "term"]).groupBy("row", "term").agg(F.max("strength").alias("strength"))
+    marked = pairs.join(strong, ["entity", "term"]).select("row", "term", "strength")
+    wide = strong.where((F.col("strength") >= remove) & (F.col("df_term") > F.col("both")))
+    wide = stored(wide.groupBy("term").agg(F.max("strength").alias("strength")))
+    if not wide.isEmpty():
+        wide = broadcast_up_to(wide, BROADCAST_ROWS)
+        marked = marked.unionByName(terms.join(wide, "term").select("row", "term", "strength"))
+        having = others.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(wide, "term")
+        having = stored(having.select("row", "term", "strength").distinct())
+        marked = marked.unionByName(having)
+        more = broadcast_up_to(stored(having.select("row").distinct()), BROADCAST_ROWS)
+        more = others.join(more, "row", "left_semi").dropDuplicates(["row"])
+        words = words.unionByName(more.select("row", F.inline(_words(F.col("text")))))
+    marked = marked.groupBy("row", "term").agg(F.max("strength").alias("strength"))
     gone = F.col("strength") >= remove
     ranks = (F.when(gone, F.lit(len(BASE) + 1)).otherwise(F.lit(len(BASE))), F.when(gone, F.lit("remove")).otherwise(F.lit("generalise")))
     added = F.struct("start", ranks[0].alias("rank"), "stop", ranks[1].alias("kind"), F.lit(0).cast("long").alias("entity"))
