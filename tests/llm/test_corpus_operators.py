@@ -146,6 +146,34 @@ class TestPacking:
         capacities = (8, 16, 32, 64)
         assert packing.pack(lengths, capacities) == brute.best_fit(lengths, capacities, packing.attention_cost)
 
+    def test_production_lengths_open_larger_bins_and_shrink_some(self):
+        def total(packed):
+            return sum(map(packing.attention_cost, packed[1]))
+
+        even = [300] * 300
+        assert packing.cheapest(even)[1] == [1024] * 100
+        assert total(packing.cheapest(even)) < total(packing.pack(even))
+        rng = random.Random(4)
+        lengths = sorted((rng.randint(250, 4000) for _ in range(300)), reverse=True)
+        opened = []
+
+        def watched(*given):
+            opened.append(choose(*given))
+            return opened[-1]
+
+        choose, packing.opened_by_fill = packing.opened_by_fill, watched
+        try:
+            places, final = packing.pack(lengths, by_fill=True)
+        finally:
+            packing.opened_by_fill = choose
+        assert total((places, final)) <= total(packing.pack(lengths))
+        first = {}
+        for n, (b, _) in zip(lengths, places, strict=True):
+            first.setdefault(b, n)
+        least = [min(c for c in packing.CAPACITIES if c >= first[b]) for b in range(len(final))]
+        assert any(o > m for o, m in zip(opened, least, strict=True))
+        assert any(f < o for f, o in zip(final, opened, strict=True))
+
     def test_every_token_is_placed_once(self, spark):
         rng = random.Random(6)
         rows = [(i if i % 17 else None, " ".join("w" for _ in range(rng.choice([0, 1, 5, 40, 100, 700])))) for i in range(200)]

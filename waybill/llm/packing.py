@@ -2,10 +2,10 @@
 
 Pieces (whole documents, or what is left of one after cutting off sequences of the largest
 length) are taken from the longest to the shortest. A piece goes to the open bin, of whatever
-length, that it leaves the least room in. If no bin has room, one is opened in the permitted
-length at which a token is cheapest, given that the bin can hold no more than the block still has
-to place. When all pieces are placed, every bin shrinks to the smallest permitted length that
-holds its contents.
+length, that it leaves the least room in. If no bin has room, one is opened: each permitted length
+is filled on trial with the pieces still to place, and the cheapest per token filled is taken. When
+all pieces are placed, every bin shrinks to the smallest permitted length that holds its contents.
+A block is also packed by the cost per token of full bins, and the cheaper packing stays.
 
 Blocks of pieces are packed independently, one task each: a block is a digest range of
 (id, length), so it doesn't depend on the partitioning. Where rows repeat so often that a block
@@ -19,7 +19,7 @@ the pieces of a document cover it exactly once.
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable
 
 import pandas as pd
@@ -54,11 +54,49 @@ def opened(piece: int, left: int, capacities: tuple[int, ...], cost: Callable[[i
     return best
 
 
+class Remaining:
+    """The pieces still to place, by length, and what a bin could hold of them."""
+
+    def __init__(self, lengths: list[int]):
+        self.counts = Counter(lengths)
+        self.mask = sum(1 << n for n in self.counts)
+
+    def take(self, length: int) -> None:
+        self.counts[length] -= 1
+        if not self.counts[length]:
+            self.mask &= ~(1 << length)
+
+    def fill(self, capacity: int) -> int:
+        """Tokens of a bin filled from the longest piece that fits to the shortest."""
+        room, below = capacity, capacity
+        while fitting := self.mask & ((1 << (min(room, below) + 1)) - 1):
+            length = fitting.bit_length() - 1
+            room -= length * min(self.counts[length], room // length)
+            below = length - 1
+        return capacity - room
+
+
+def opened_by_fill(piece: int, remaining: Remaining, capacities: tuple[int, ...], cost: Callable[[int], int]) -> int:
+    """The permitted length for a new bin: least cost per token it would be filled with, then shortest."""
+    fitting = [c for c in capacities if c >= piece]
+    best, held = fitting[0], remaining.fill(fitting[0])
+    for c in fitting[1:]:
+        more = remaining.fill(c)
+        if cost(c) * held < cost(best) * more:
+            best, held = c, more
+    return best
+
+
 def pack(
-    lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], int] = attention_cost
+    lengths: list[int],
+    capacities: tuple[int, ...] = CAPACITIES,
+    cost: Callable[[int], int] = attention_cost,
+    by_fill: bool = False,
 ) -> tuple[list[tuple[int, int]], list[int]]:
     """(bin, offset) of each piece and the final length of each bin; pieces in decreasing order.
 
+    by_fill: new bins are opened by `opened_by_fill`, otherwise by `opened`.
+
     Rooms are kept in a bit mask, so the tightest fit is the lowest set bit at or above a piece;
     of equally tight bins the oldest is taken.
     """
@@ -66,6 +104,7 @@ def pack(
     rooms: list[deque[int]] = [deque() for _ in range(capacities[-1] + 1)]
     mask, used, places = 0, [], []
     left = sum(lengths)
+    remaining = Remaining(lengths) if by_fill else None
     for length in lengths:
         fits = mask >> length
         if fits:
@@ -74,22 +113,35 @@ def pack(
             if not rooms[room]:
                 mask &= ~(1 << room)
         else:
-            room = opened(length, left, capacities, cost)
+            if remaining is None:
+                room = opened(length, left, capacities, cost)
+            else:
+                room = opened_by_fill(length, remaining, capacities, cost)
             target = len(used)
             used.append(0)
         places.append((target, used[target]))
         used[target] += length
         left -= length
+        if remaining is not None:
+            remaining.take(length)
         if room > length:
             rooms[room - length].append(target)
             mask |= 1 << (room - length)
     return places, [next(c for c in capacities if c >= u) for u in used]
 
 
+def cheapest(
+    lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], int] = attention_cost
+) -> tuple[list[tuple[int, int]], list[int]]:
+    """The cheaper of the packings by either rule for new bins."""
+    both = [pack(lengths, capacities, cost, by_fill) for by_fill in (True, False)]
+    return min(both, key=lambda packed: sum(map(cost, packed[1])))
+
+
 def _packer(capacities: tuple[int, ...]):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["n_tokens", "doc_id", "row"], ascending=[False, True, True], kind="stable")
-        places, final = pack(block["n_tokens"].tolist(), capacities)
+        places, final = cheapest(block["n_tokens"].tolist(), capacities)
         name = f"{block['block'].iloc[0]}-{block['part'].iloc[0]}"
         return block.assign(
             bin_id=[f"{name}-{b}" for b, _ in places],
