@@ -61,6 +61,20 @@ def test_training_on_a_copy_is_as_good_as_on_real_rows(labelled):
     assert curve["synth_pretrain", 0.0] > _majority_f1(labelled) and min(curve.values()) > 0.5
 
 
+def test_curve_takes_fractions_of_a_bounded_sample(labelled, monkeypatch):
+    sizes, fit = [], models.fit_forest
+
+    def watched(train, *args, fit_rows=None, **options):
+        sizes.append(models.fitted_on(train, fit_rows).count())
+        return fit(train, *args, fit_rows=fit_rows, **options)
+
+    monkeypatch.setattr(models, "fit_forest", watched)
+    models.transfer_curve(labelled, labelled, fit_rows=100, **SMALL)
+    synth, quarter_both, quarter, all_both, whole = sizes
+    assert (quarter, whole) == (25, 100) and 60 < synth < 150
+    assert (quarter_both, all_both) == (synth + 25, synth + 100)
+
+
 def test_importances(labelled):
     scores = {r.feature: r.score for r in models.feature_importance(labelled, **SMALL).collect()}
     assert sum(scores.values()) == pytest.approx(1, abs=0.01) and min(scores.values()) >= 0

@@ -143,12 +143,16 @@ def tstr_evaluate(real: DataFrame, synth: DataFrame, baseline: DataFrame, **opti
 def transfer_curve(
     real: DataFrame, synth: DataFrame, fractions=FRACTIONS, features=None, trees=TREES, depth=DEPTH, seed=42, fit_rows=None
 ) -> DataFrame:
-    """(training, fraction, weighted_f1, business_utility) on the latest fifth of real rows."""
+    """(training, fraction, weighted_f1, business_utility) on the latest fifth of real rows.
+
+    `fit_rows` bounds the real pool and the synthetic side once, before fractions of the pool are taken.
+    """
     vectors, made, _ = prepared(real, synth, features)
+    made = fitted_on(made, fit_rows, seed)
     split = materialised(hash_rank(time_holdout(vectors), "transfer", seed, ["is_test"]))
     test = split.where("is_test")
     pool = split.where(~F.col("is_test"))
-    size = pool.count()
+    size = pool.count() if fit_rows is None else min(pool.count(), fit_rows)
     columns = ["features", "label", S.LABEL]
     scored = None
     for fraction in fractions:
@@ -160,7 +164,7 @@ def transfer_curve(
                 "real_only": some,
             }
         for name, train in runs.items():
-            part = score(fit_forest(train, trees, depth, fit_rows=fit_rows), test).withColumns(
+            part = score(fit_forest(train, trees, depth), test).withColumns(
                 {"training": F.lit(name), "fraction": F.lit(float(fraction))}
             )
             scored = part if scored is None else scored.unionByName(part)
