@@ -210,6 +210,23 @@ class TestLicenses:
                 assert match[0] == name and match[2] == 1.0
                 assert notice.startswith(match[1]) or match[1] in notice
 
+    def test_versions_and_variants_are_told_apart(self):
+        first = (
+            "This {} is free software; you can redistribute it and/or modify it under the terms of the {} as published by "
+            "the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+        )
+        for name, law, version in (
+            ("GPL-2.0", "GNU General Public License", "2"),
+            ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+            ("AGPL-3.0", "GNU Affero General Public License", "3"),
+        ):
+            assert [m[0] for m in self.found("x " + first.format("program", law, version) + " y")] == [name]
+        bsd = {name: text for name, text in license_scans.NOTICES if name.startswith("BSD") and len(text) > 500}
+        for name, text in bsd.items():
+            (match,) = self.found("x " + text.replace("HOLDERS", "OWNERS") + " y")
+            assert match[0] == name and len(match[1]) > 0.9 * len(text)
+        assert self.found("Licensed under CC BY-NC-ND 3.0.") == []
+
     def test_changed_wording(self):
         text = license_scans.NOTICES[3][1].replace("person", "human being").replace("restriction", "limits")
         (match,) = self.found("x " + text + " y")

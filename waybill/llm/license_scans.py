@@ -57,8 +57,9 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    # The opening alone doesn't tell which.
     (
-        "BSD-3-Clause",
+        "BSD-2-Clause OR BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met",
     ),
@@ -76,6 +77,103 @@ NOTICES: tuple[tuple[str, str], ...] = (
 )
 
 
+_GNU_FIRST = (
+    "This {what} is free software; you can redistribute it and/or modify it under the terms of the {law} as published by "
+    "the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+)
+_GNU_REST = (
+    " This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {law} for more details. You should have "
+    "received a copy of the {law} along with this {what}"
+)
+_GNU_ENDS = (
+    ". If not, see <https://www.gnu.org/licenses/>.",
+    "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+)
+_GNU = (
+    ("GPL-2.0", "program", "GNU General Public License", "2"),
+    ("GPL-3.0", "program", "GNU General Public License", "3"),
+    ("LGPL-2.0", "library", "GNU Library General Public License", "2"),
+    ("LGPL-2.1", "library", "GNU Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "library", "GNU Lesser General Public License", "3"),
+    ("AGPL-3.0", "program", "GNU Affero General Public License", "3"),
+)
+NOTICES += tuple(
+    (name, text.format(what=what, law=law, version=version))
+    for name, what, law, version in _GNU
+    for text in (_GNU_FIRST, *[_GNU_FIRST + _GNU_REST + end for end in _GNU_ENDS])
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. "
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+NOTICES += (
+    ("BSD-2-Clause", _BSD + _BSD_WARRANTY),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_WARRANTY),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+        'IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
+        "specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+)
+#: Words that tell licenses and versions apart: where a template has them, a match must have them in a row.
+TELLING = re.compile(
+    r"gnu (?:lesser |library |affero )?general public license|(?:version|v) \d+(?: \d+)?|cc by(?: [a-z]{2})* \d+ \d+"
+    r"|creative commons [a-z ]+ \d+ \d+|to endorse or promote products"
+)
+#: What a match may not have.
+EXCLUDED = {"BSD-2-Clause": "to endorse or promote products"}
+
+
 class TokenHashes(WordHashes):
     """Hashes of words in lower case."""
 
@@ -118,6 +216,9 @@ class Scanner:
         self.hashes = TokenHashes()
         self.names = [name for name, _ in notices]
         self.templates = [self.hashes.of(_WORD.findall(text)) for _, text in notices]
+        plain = [" ".join(_WORD.findall(text.lower())) for _, text in notices]
+        self.telling = [[self.hashes.of(found.split()) for found in sorted(set(TELLING.findall(text)))] for text in plain]
+        self.excluded = [self.hashes.of(EXCLUDED[n].split()) if n in EXCLUDED else None for n in self.names]
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.templates):
             grams = gram_hashes(words, GRAM)
@@ -142,6 +243,13 @@ class Scanner:
                 diagonals[template].add(hit - place)
         return {t: sorted(d) for t, d in diagonals.items()}
 
+    def _told(self, template: int, span: np.ndarray) -> bool:
+        """Whether a span has the words in a row that tell its license from others."""
+        excluded = self.excluded[template]
+        if excluded is not None and _has(span, excluded):
+            return False
+        return all(_has(span, phrase) for phrase in self.telling[template])
+
     def scan(self, text: str | None) -> list[Match]:
         if not text:
             return []
@@ -159,10 +267,15 @@ class Scanner:
                     first = d
                 last = d
             for low, high in [*groups, (first, last)]:
+                # No more of the template can match than has its word there at all.
+                window = words[max(0, low - band) : max(0, len(body) + high + band)]
+                if np.isin(body, window).sum() < COVERAGE * len(body) or not all(_has(window, x) for x in self.telling[template]):
+                    continue
                 best = aligned(body, words, low - band, high + band)
                 if best is not None:
                     matched, start, end, score = best
-                    if matched >= COVERAGE * len(body) and matched >= IDENTITY * (end - start):
+                    close = matched >= COVERAGE * len(body) and matched >= IDENTITY * (end - start)
+                    if close and self._told(template, words[start:end]):
                         found.append((score, end - start, -template, start, end))
         return self._without_overlaps(text, found, words)
 
@@ -184,6 +297,11 @@ class Scanner:
         return sorted(out, key=lambda m: m.start)
 
 
+def _has(words: np.ndarray, phrase: np.ndarray) -> bool:
+    at = len(words) - len(phrase) + 1
+    return at > 0 and bool(np.logical_and.reduce([words[i : at + i] == p for i, p in enumerate(phrase)]).any())
+
+
 def aligned(body: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int, int] | None:
     """Best alignment of all of `body` within diagonals low..high of `words`.
 
