@@ -283,6 +283,15 @@ class TestWarc:
             out[(key, len(data), hashlib.sha1(data).hexdigest(), "revisit" if other else "response", first if other else None)] += 1
         return out
 
+    def test_one_archive_is_sorted_by_capture_time(self, spark):
+        ids = [2**62, -5, 10**9 + 3, 7, 3, -(10**9), None, 10**9]
+        pages = spark.createDataFrame([(i, "http://m.x/a", "m") for i in ids], "page_id long, url string, html string")
+        path = fresh_path(spark)
+        warc.write_archives(pages.coalesce(1), path)
+        got = [(r.captured, r.page_id) for r in warc.merged_index(warc.read_runs(spark, path)).collect()]
+        assert len(got) == len(ids)
+        assert got == sorted(got, key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+
     @pytest.mark.parametrize("compression", ["gzip", "none"])
     def test_round_trip(self, spark, compression, monkeypatch):
         monkeypatch.setattr(warc, "SMALL_RECORDS", 7)

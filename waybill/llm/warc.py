@@ -54,16 +54,23 @@ def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))
 
 
+def _target(url: Column) -> Column:
+    """Characters that would end a header line are written as in a URL."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "\r", "%0D"), "\n", "%0A")
+
+
+def _second(page_id: Column) -> Column:
+    return F.lit(946684800) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(10**9))
+
+
 def _record(page_id: Column, url: Column, html: Column, digest: Column, refers_to: Column) -> Column:
     """Text of a record, without the blank lines that end it."""
     revisit = refers_to.isNotNull()
     size = F.octet_length(html).cast("string")
-    # Characters that would end a header line are written as in a URL.
-    target = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "\r", "%0D"), "\n", "%0A")
+    target = _target(url)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(html))
-    second = F.lit(946684800) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(10**9))
-    date = F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(_second(page_id)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
@@ -94,10 +101,11 @@ def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> No
     refers = F.when(other, F.col("first"))
     records = joined.select(
         "bytes",
-        url_key(F.col("url")).alias("key"),
+        url_key(_target(F.col("url"))).alias("key"),
+        _second(F.col("page_id")).alias("second"),
         "page_id",
         _record(F.col("page_id"), F.col("url"), F.col("html"), F.col("digest"), refers).alias("value"),
-    ).sortWithinPartitions("key", "page_id")
+    ).sortWithinPartitions("key", "second", "page_id")
     most = facts.agg(F.max("bytes")).first()[0] or 0
     kinds = [("small", F.col("bytes") <= SMALL_BYTES, SMALL_RECORDS)]
     if most > SMALL_BYTES:
@@ -231,7 +239,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = zip(
         table["url_key"].to_pylist(),
         table["captured"].to_pylist(),
-        [-1 if x is None else x for x in table["page_id"].to_pylist()],
+        [-(1 << 63) - 1 if x is None else x for x in table["page_id"].to_pylist()],
         strict=True,
     )
     runs, starts, count = [], [], 0
