@@ -16,6 +16,7 @@ from waybill.llm import (
     packing,
     pii,
     quality_rules,
+    ranked_search,
     secret_scans,
     token_counts,
     topk_search,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": topk_search.op8,
     "op9_warc": warc.op9,
     "op10_mixing": mixing.op10,
+    "op11_ranked_search": ranked_search.op11,
 }
 
 ORACLE_SQL = {
@@ -41,4 +43,5 @@ ORACLE_SQL = {
     "op8_topk_search": topk_search.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
 }
