@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waybill.llm import (
     license_scans,
+    manifest,
     mixing,
     ngram_join,
     packing,
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc.op9,
     "op10_mixing": mixing.op10,
     "op11_ranked_search": ranked_search.op11,
+    "op13_manifest": manifest.op13,
 }
 
 ORACLE_SQL = {
@@ -44,4 +46,5 @@ ORACLE_SQL = {
     "op9_warc": warc.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
     "op11_ranked_search": ranked_search.OP11_SQL,
+    "op13_manifest": manifest.OP13_SQL,
 }
