@@ -21,6 +21,7 @@ from waybill.llm import (
     secret_scans,
     token_counts,
     topk_search,
+    url_filters,
     warc,
 )
 
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc.op9,
     "op10_mixing": mixing.op10,
     "op11_ranked_search": ranked_search.op11,
+    "op12_url_filters": url_filters.op12,
     "op13_manifest": manifest.op13,
 }
 
