@@ -114,7 +114,7 @@ def _batch_of(parts: list[pa.RecordBatch], witnesses: list, roots: list[str]) ->
     return pa.RecordBatch.from_arrays(columns, names=[*rows.column_names, "path", "block_root"])
 
 
-def _appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _appended(batches: Iterator[pa.RecordBatch], levels: int, out_rows: int) -> Iterator[pa.RecordBatch]:
     """Adds to the rows of blocks, given in order, their entries and the block's root."""
     block, now = None, None
     parts: list[pa.RecordBatch] = []
@@ -137,10 +137,10 @@ def _appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if here != now:
                 if block:
                     finish()
-                if len(roots) >= OUT_ROWS:
+                if len(roots) >= out_rows:
                     yield _batch_of(parts, witnesses, roots)
                     parts, witnesses, roots = [], [], []
-                block, now = Appender(min(BLOCK_LEVELS, height(int(sizes[start])))), here
+                block, now = Appender(min(levels, height(int(sizes[start])))), here
             parts.append(batch.slice(start, stop - start))
             for node in nodes[start:stop]:
                 block.append(node)
@@ -154,7 +154,8 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     dealt = nodes.withColumn("block", F.floor(F.col("pos") / SPAN).cast("long"))
     dealt = dealt.repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in dealt.schema)}, path {NO_ENTRIES}, block_root string"
-    return dealt.mapInArrow(_appended, schema)
+    levels, out_rows = BLOCK_LEVELS, OUT_ROWS
+    return dealt.mapInArrow(lambda batches: _appended(batches, levels, out_rows), schema)
 
 
 def climbed(nodes: DataFrame, largest: int) -> tuple[DataFrame, DataFrame]:

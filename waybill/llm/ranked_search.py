@@ -88,13 +88,14 @@ class Items:
     def __init__(self, item_terms: list[np.ndarray], weights: np.ndarray, documents: int, length: int):
         self.item_terms, self.weights = item_terms, weights
         self.documents, self.length = documents, length
+        self.item_tile, self.doc_tile = ITEM_TILE, DOC_TILE
         # An impact is below 10**6, as m is never under 10.
         largest = max(1, int(weights.max(initial=1))) * 10**6
         self.width = max(1, min(TERM_TILE, (EXACT - 1) // largest))
 
     def tiles(self) -> Iterator[tuple[int, list[np.ndarray]]]:
-        for start in range(0, len(self.item_terms), ITEM_TILE):
-            yield start, self.item_terms[start : start + ITEM_TILE]
+        for start in range(0, len(self.item_terms), self.item_tile):
+            yield start, self.item_terms[start : start + self.item_tile]
 
     def damping(self, n: np.ndarray) -> np.ndarray:
         return np.array([10 + 90 * int(x) * self.documents // self.length for x in n], np.int64)
@@ -153,8 +154,8 @@ def _scored(group, k: int):
         items: Items = group.value
         best = [(start, tile, Best(len(tile), k)) for start, tile in items.tiles()]
         for batch in batches:
-            for at in range(0, batch.num_rows, DOC_TILE):
-                part = batch.slice(at, DOC_TILE)
+            for at in range(0, batch.num_rows, items.doc_tile):
+                part = batch.slice(at, items.doc_tile)
                 ids, held, counts = part.column("doc_id"), part.column("terms"), part.column("counts")
                 null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
                 docs = ids.fill_null(0).to_numpy(zero_copy_only=False)
