@@ -6,6 +6,7 @@ import heapq
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -207,14 +208,14 @@ class TestTopK:
     SCHEMA = "vec_id long, embedding array<float>"
 
     def want(self, rows, k, asks):
-        good = {}
+        good = []
         for key, v in rows:
             if key is not None and v and all(x is not None and np.isfinite(x) for x in v):
-                good[(key, tuple(np.float32(v)))] = [int(np.floor(256 * float(np.float32(x)))) for x in v]
+                good.append((key, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
         out = Counter()
-        for (q, _), a in {x: y for x, y in good.items() if asks(x[0])}.items():
+        for q, a in (x for x in good if asks(x[0])):
             scores = []
-            for (c, _), b in good.items():
+            for c, b in good:
                 if c != q and len(a) == len(b):
                     exact = sum(x * y for x, y in zip(a, b, strict=True))
                     scores.append((-max(-(2**63), min(2**63 - 1, exact)), c))
@@ -230,6 +231,7 @@ class TestTopK:
         rows = [(i, [rng.choice([-0.01, 0.0, 0.01, 0.5, rng.gauss(0, 1)]) for _ in range(6)]) for i in range(220)]
         rows += [(300, None), (301, []), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (303, [float("nan")] * 6), (304, [float("inf")] * 6)]
         rows += [(None, [1.0] * 6), (310, [0.0] * 6), (311, [-0.0] * 6), (312, [1.0, 2.0]), (330, [2.0, 1.0]), rows[10], rows[11]]
+        rows += [(331, [9.0] * 6)] * 3 + [(332, [8.0] * 6)] * 9 + [(20, [1.0] * 6)] + [(40, rows[40][1])] * 2
         frame = spark.createDataFrame(rows, self.SCHEMA).selectExpr("*", "1 AS block", "2 AS score")
         got = topk_search.top_k(frame, F.col("vec_id") % 10 == 0)
         assert Counter(map(tuple, got.collect())) == self.want(rows, 5, lambda i: i % 10 == 0)
@@ -246,6 +248,16 @@ class TestTopK:
         assert topk_search.top_k(frame.limit(0), F.lit(True)).count() == 0
         assert topk_search.top_k(frame, F.lit(False)).count() == 0
 
+    def test_repeated_rows_as_in_sql(self, spark, tmp_path):
+        rows = [(50 * (i % 2) + i, [i / 3, -i / 5, float(i % 4)]) for i in range(60)]
+        rows += [rows[3]] * 2 + [rows[50]] + [rows[59]] * 7 + [(100, [0.5, 0.5, 0.5]), (100, [0.5, 0.0, 0.5]), (7, None), (8, [])]
+        spark.createDataFrame(rows, self.SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        got = Counter(map(tuple, topk_search.op8(spark, str(tmp_path)).collect()))
+        assert got == Counter(con.sql(topk_search.OP8_SQL).fetchall())
+        assert got == self.want(rows, 5, lambda i: i % 50 == 0)
+
     def test_reading_in_order_equals_scoring_all(self):
         rng = np.random.default_rng(1)
         for _ in range(40):

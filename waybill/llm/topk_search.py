@@ -14,9 +14,10 @@ are a stated share of the rows. Each meeting returns k rows per query, and the b
 blocks win; ties go to the smaller id.
 
 Defined results: a vector that is null, empty or holds a null or non-finite component takes no
-part; vectors of another length than the query's are no candidates; a row repeated with the same
-vector counts once; all rows with the query's id count as its own; rows without an id take no
-part. Scores are exact; one beyond a long counts as the nearest long.
+part; vectors of another length than the query's are no candidates; a repeated row is a candidate as
+often as it occurs, and as a query it is answered as often; two vectors under one id are two
+queries; all rows with the query's id count as its own; rows without an id take no part. Scores
+are exact; one beyond a long counts as the nearest long.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ from waybill.functions.small import stored
 
 #: Vectors of a block, which one task holds, and of a sub-block, which has lists of its own.
 BLOCK_VECTORS, LIST_VECTORS = 32_768, 4_096
-CHUNK_QUERIES = 256
+CHUNK_QUERIES = 4_096
 #: Share of each list read at first, without and with a bar from other lists; growth of the depth;
 #: and the share of vectors left at which reading stops.
 ALONE, HELPED, GROWTH, LEFT = 0.75, 0.45, 1.15, 1 / 4
 #: Components up to here multiply and add exactly in floats and 64-bit integers.
 EXACT = 1 << 20
 LEAST, MOST = -(2**63), 2**63 - 1
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_no long, copies long, query_id long, vec_id long, score long"
 
 
 def quantised(vectors: pd.Series) -> np.ndarray:
@@ -113,19 +114,20 @@ class SortedLists:
 
 def _meeting(k: int):
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int, int]] = []
         if len(queries) and len(block):
             ids, values = block["vec_id"].to_numpy(), quantised(block["vector"])
             cuts = range(0, len(ids), LIST_VECTORS)
             lists = [SortedLists(ids[a : a + LIST_VECTORS], values[a : a + LIST_VECTORS]) for a in cuts]
-            for query_id, query in zip(queries["vec_id"].tolist(), quantised(queries["vector"]), strict=True):
+            names = zip(queries["query_no"].tolist(), queries["copies"].tolist(), queries["vec_id"].tolist(), strict=True)
+            for (query_no, copies, query_id), query in zip(names, quantised(queries["vector"]), strict=True):
                 found, share = [], ALONE
                 for i, part in enumerate(lists):
                     # A little less than sufficed before; the first bar saves the most.
                     share = min(share / GROWTH, HELPED if i == 1 else 1.0) if i else ALONE
                     found, share = part.best(query, query_id, k, found, share)
-                out += [(query_id, vec_id, score) for vec_id, score in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out += [(query_no, copies, query_id, vec_id, score) for vec_id, score in found]
+        return pd.DataFrame(out, columns=["query_no", "copies", "query_id", "vec_id", "score"])
 
     return run
 
@@ -143,24 +145,28 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     )
     vectors = vectors.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     # Arrays of doubles as keys: -0.0 and 0.0 are one value.
-    vectors = stored(vectors.groupBy("vec_id", "vector").agg(F.max("asks").alias("asks")))
+    groups = vectors.groupBy("vec_id", "vector").agg(F.max("asks").alias("asks"), F.count("*").alias("copies"))
+    vectors = stored(groups.withColumn("query_no", F.monotonically_increasing_id()))
     blocks = max(1, math.ceil(vectors.count() / BLOCK_VECTORS))
     chunks = max(1, math.ceil(vectors.where("asks").count() / CHUNK_QUERIES))
 
-    def numbers(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    def numbers(least: int, most: int | Column) -> Column:
+        return F.explode(F.sequence(F.lit(least), F.lit(most)))
 
     spot = F.xxhash64("vec_id", "vector")
-    held = vectors.select("vec_id", "vector", F.size("vector").alias("dim"), F.pmod(spot, F.lit(blocks)).cast("int").alias("block"))
+    held = vectors.select("vec_id", "vector", F.size("vector").alias("dim"), F.pmod(spot, F.lit(blocks)).cast("int").alias("block"), "copies")
+    # More than k copies of a candidate can't all be among the k best.
+    held = held.withColumn("copy", numbers(1, F.least(F.col("copies"), F.lit(k)).cast("int"))).drop("copies", "copy")
     asked = vectors.where("asks").select(
-        "vec_id", "vector", F.size("vector").alias("dim"), F.pmod(spot, F.lit(chunks)).cast("int").alias("chunk")
+        "query_no", "copies", "vec_id", "vector", F.size("vector").alias("dim"), F.pmod(spot, F.lit(chunks)).cast("int").alias("chunk")
     )
-    held, asked = held.withColumn("chunk", numbers(chunks)), stored(asked).withColumn("block", numbers(blocks))
+    held, asked = held.withColumn("chunk", numbers(0, chunks - 1)), asked.withColumn("block", numbers(0, blocks - 1))
     at = ["dim", "chunk", "block"]
     found = asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(_meeting(k), FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    answers = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return answers.select("query_id", "rank", "vec_id", "score")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -170,14 +176,14 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+  SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
 )
-SELECT * FROM r WHERE rank <= 5
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
