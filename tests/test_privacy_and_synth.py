@@ -52,6 +52,40 @@ def test_nearest_rows_are_exact(clouds, limit, cell):
     assert [list(v) for v in got.sort_values("row_id").neighbours] == want
 
 
+def test_groups_are_searched_apart(spark, clouds):
+    refs, queries, r, q = clouds
+    group = F.pmod(F.xxhash64("row_id"), F.lit(3)).cast("int")
+    left, right = q.withColumn("g", group), r.withColumn("g", group).where("g < 2")
+    of_q = left.orderBy("row_id").toPandas()["g"].to_numpy()
+    of_r = r.withColumn("g", group).orderBy("row_id").toPandas()["g"].to_numpy()
+    dist = np.sqrt(((queries[:, None] - refs[None]) ** 2).sum(2))
+    dist[(of_q[:, None] != of_r[None]) | (of_r[None] == 2)] = np.inf
+    for limit, cell in ((100_000, 4096), (10, 40)):
+        got = neighbours.nearest_distance(left, right, AXES, group="g", broadcast_rows=limit, cell_rows=cell)
+        got = got.toPandas().sort_values("row_id").distance.fillna(np.inf).to_numpy()
+        assert np.allclose(got, dist.min(1), atol=1e-12)
+
+
+def test_a_far_query_visits_few_cells(spark):
+    """References in a cube, queries far outside: only cells on the near side can matter."""
+    rng = np.random.default_rng(8)
+    points = rng.random((6000, 3))
+    far = np.concatenate([rng.random((20, 3)) + [1000, 0, 0], rng.random((20, 3)) * 0.2 - [50, 50, 50]])
+    table = lambda x: spark.createDataFrame(pd.DataFrame(x, columns=AXES))
+    asked = table(far).withColumn("_key", F.monotonically_increasing_id().cast("string"))
+    got = neighbours.visited(asked, table(points), AXES, cell_rows=30).toPandas()
+    want = np.sort(((far[:, None] - points[None]) ** 2).sum(2).min(1))
+    assert np.allclose(np.sort(got["_best"]), want, rtol=1e-12)
+    assert got["_visits"].max() < 100  # of more than 200 cells
+
+
+def test_large_cells_are_split_again(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "FAN", 4)
+    points = spark.createDataFrame(pd.DataFrame(np.random.default_rng(2).normal(size=(3000, 3)) ** 3, columns=AXES))
+    sizes = neighbours._cells(points, AXES, 40).groupBy("_cell").count().toPandas()["count"]
+    assert sizes.sum() == 3000 and sizes.max() <= 40 and len(sizes) > 4 * 4 * 4
+
+
 def test_nearest_without_references(clouds):
     _, _, r, q = clouds
     got = neighbours.nearest_distance(q, r.limit(0), AXES)

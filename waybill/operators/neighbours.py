@@ -1,32 +1,42 @@
-"""Exact nearest-neighbour distances in a few dimensions.
-
-Small reference sets (row count checked) are broadcast. Larger ones are cut into k-d
-cells: queries visit their own cell first, then only cells closer than the distance
-already found, so no all-pairs work arises and the result stays exact. Reference copies
-are removed first and crowded cells are split over several tasks, so neither a repeated
-vector nor a dense region ends in one task.
+"""Exact nearest neighbours in a few dimensions.
+
+References are made distinct first. A set that fits `BROADCAST_BYTES` is broadcast. Larger ones are
+cut into cells: a k-d split of a bounded sample, repeated inside every cell that still holds more
+than `cell_rows`. What the search needs of a cell is its bounding box. Queries visit cells in
+rounds, nearest box first: a round asks for the next few boxes that are nearer than the best found
+so far, and the bound shrinks before the next one, so a query never lists the cells it might need.
+Each (cell, slice of its visitors) is one task; inside it the references form leaves with bounding
+boxes of their own, visited in the same order. Results are exact on every path.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill import schema as S
-from waybill.functions.small import materialised, shuffle_width
+from waybill.functions.small import shuffle_width, stored
 
-BROADCAST_REFERENCES = 100_000
-CELL_ROWS = 4_096
-MAX_CELLS = 32_768
+BROADCAST_BYTES = 8 << 20
+CELL_ROWS = 65_536
+#: Cells that one split makes; cells in all: beyond, cells grow with the references.
+FAN, MOST_CELLS = 1_024, 1 << 20
 SAMPLE_PER_CELL = 16
 QUERIES_PER_TASK = 20_000
-_LEAF = 256
+#: References of a leaf, leaves of a group, queries handled together.
+LEAF, GROUP, CHUNK = 48, 16, 2_048
+#: Boxes looked at in order of distance before all that remain are listed.
+FIRST = 8
+#: Distance between neighbouring groups on the axis that keeps them apart.
+APART = 1e100
 
 
+# ---- Inside a task -------------------------------------------------------------------------
 def _widest_axis(points: np.ndarray) -> int:
     """Axis of the largest interquartile range, so that a few outliers do not make every
     cut fall on an axis where the mass of the points is narrow."""
@@ -37,310 +47,406 @@ def _widest_axis(points: np.ndarray) -> int:
     return int((points.max(axis=0) - points.min(axis=0)).argmax())
 
 
-def nearest_in_block(queries: np.ndarray, refs: np.ndarray, bound=None) -> np.ndarray:
-    """Smallest squared distance of each query to `refs`, at most `bound` (squared).
-
-    Splits the references in halves along their widest axis; a query enters the far half
-    only if the splitting plane is closer than its best distance so far.
-    """
-    best = np.full(len(queries), np.inf) if bound is None else np.array(bound, dtype=float)
-    if not len(refs) or not len(queries):
-        return best
-    stack = [(np.arange(len(queries)), refs, None)]
+def _leaf_order(points: np.ndarray, size: int) -> np.ndarray:
+    """Row order in which each run of `size` rows is a leaf of a k-d tree."""
+    order, stack = np.arange(len(points)), [(0, len(points))]
     while stack:
-        rows, part, gate = stack.pop()
-        if gate is not None:
-            rows = rows[gate < best[rows]]
-        if not len(rows):
+        start, stop = stack.pop()
+        if stop - start <= size:
             continue
-        spread = part.max(axis=0) - part.min(axis=0)
-        if len(part) <= _LEAF or not spread.any():
-            for start in range(0, len(rows), 4096):
-                some = rows[start : start + 4096]
-                total = np.zeros((len(some), len(part)))
-                for j in range(part.shape[1]):
-                    diff = queries[some, j][:, None] - part[:, j][None, :]
+        part = points[order[start:stop]]
+        half = -(-(stop - start) // size) // 2 * size
+        order[start:stop] = order[start:stop][np.argpartition(part[:, _widest_axis(part)], half)]
+        stack += [(start, start + half), (start + half, stop)]
+    return order
+
+
+def _gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to boxes: the same ones, or its own row of them."""
+    total = np.zeros((len(points), low.shape[-2]))
+    for j in range(points.shape[1]):
+        x = points[:, j][:, None]
+        gap = np.maximum(np.maximum(low[..., j] - x, x - high[..., j]), 0.0)
+        total += gap * gap
+    return total
+
+
+def _in_order(gaps: np.ndarray, reach: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, boxes): step by step each row's next nearest box, while it is within the row's reach."""
+    rows, boxes = gaps.shape
+    first = min(FIRST, boxes)
+    near = np.argpartition(gaps, first - 1, axis=1)[:, :first] if first < boxes else np.tile(np.arange(boxes), (rows, 1))
+    near = np.take_along_axis(near, np.argsort(np.take_along_axis(gaps, near, 1), axis=1, kind="stable"), 1)
+    for step in range(first):
+        at = np.take_along_axis(gaps, near[:, step : step + 1], 1)[:, 0]
+        some = np.flatnonzero(at <= reach())
+        if not len(some):
+            return
+        yield some, near[some, step]
+    if first == boxes:
+        return
+    left = gaps <= reach()[:, None]
+    np.put_along_axis(left, near, False, 1)
+    row, box = np.nonzero(left)
+    order = np.lexsort((gaps[row, box], row))
+    row, box = row[order], box[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    for step in range(place.max(initial=-1) + 1):
+        at = np.flatnonzero(place == step)
+        at = at[gaps[row[at], box[at]] <= reach()[row[at]]]
+        if len(at):
+            yield row[at], box[at]
+
+
+class Block:
+    """References of a task as leaves and groups of leaves with their bounding boxes."""
+
+    def __init__(self, refs: np.ndarray):
+        size = LEAF * GROUP
+        count, width = refs.shape
+        groups = max(1, -(-count // size))
+        self.rows = np.full(groups * size, -1)
+        order = _leaf_order(refs, size)
+        for g in range(groups):
+            part = order[g * size : (g + 1) * size]
+            self.rows[g * size : g * size + len(part)] = part[_leaf_order(refs[part], LEAF)]
+        filled = self.rows >= 0
+        points = np.full((groups * size, width), np.inf)
+        points[filled] = refs[self.rows[filled]]
+        self.leaves = points.reshape(-1, LEAF, width)
+        tops = np.where(np.isinf(self.leaves), -np.inf, self.leaves)
+        self.low = self.leaves.min(axis=1).reshape(groups, GROUP, width)
+        self.high = tops.max(axis=1).reshape(groups, GROUP, width)
+
+    def visits(self, points: np.ndarray, reach: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, leaves, squared distances to the references of the leaves), nearest boxes first."""
+        gaps = _gaps(points, self.low.min(axis=1)[None], self.high.max(axis=1)[None])
+        for rows, groups in _in_order(gaps, reach):
+            inside = _gaps(points[rows], self.low[groups], self.high[groups])
+            order = np.argsort(inside, axis=1)
+            for step in range(GROUP):
+                leaf = order[:, step]
+                some = np.flatnonzero(inside[np.arange(len(rows)), leaf] <= reach()[rows])
+                if not len(some):
+                    break
+                leaves = groups[some] * GROUP + leaf[some]
+                held = self.leaves[leaves]
+                total = np.zeros(held.shape[:2])
+                for j in range(points.shape[1]):
+                    diff = held[:, :, j] - points[rows[some], j][:, None]
                     total += diff * diff
-                best[some] = np.minimum(best[some], total.min(axis=1))
-            continue
-        axis = _widest_axis(part)
-        order = np.argpartition(part[:, axis], len(part) // 2)
-        half = len(part) // 2
-        low, high = part[order[:half]], part[order[half:]]
-        low_top, high_bottom = low[:, axis].max(), high[:, axis].min()
-        x = queries[rows, axis]
-        near_low = x <= (low_top + high_bottom) / 2
-        to_low = np.maximum(x - low_top, 0.0) ** 2
-        to_high = np.maximum(high_bottom - x, 0.0) ** 2
-        # Popped in reverse: near halves first, far halves once `best` has shrunk.
-        stack.append((rows[near_low], high, to_high[near_low]))
-        stack.append((rows[~near_low], low, to_low[~near_low]))
-        stack.append((rows[near_low], low, to_low[near_low]))
-        stack.append((rows[~near_low], high, to_high[~near_low]))
-    return best
-
-
-@dataclass(frozen=True)
-class CellTree:
-    """A k-d tree over a bounded sample: inner nodes split, leaves are cell numbers."""
-
-    axis: np.ndarray
-    cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    cells: int
-
-    @staticmethod
-    def build(sample: np.ndarray, cells: int) -> CellTree:
-        axis, cut, left, right = [], [], [], []
-        leaves = 0
-
-        def grow(points: np.ndarray, budget: int) -> int:
-            nonlocal leaves
-            node = len(axis)
-            axis.append(-1), cut.append(0.0), left.append(-1), right.append(-1)
-            spread = points.max(axis=0) - points.min(axis=0) if len(points) else np.zeros(1)
-            a = _widest_axis(points) if len(points) else 0
-            c = float(np.median(points[:, a])) if len(points) else 0.0
-            below = points[:, a] < c if len(points) else np.zeros(0, dtype=bool)
-            if spread.any() and not below.any():
-                # the median is the smallest value: cut above it, on an axis with spread
-                a = int(spread.argmax())
-                c = float(points[:, a].mean())
-                below = points[:, a] < c
-            if budget <= 1 or not spread.any() or not below.any():
-                left[node], leaves = leaves, leaves + 1
-                return node
-            axis[node], cut[node] = a, c
-            left[node] = grow(points[below], budget // 2)
-            right[node] = grow(points[~below], budget - budget // 2)
-            return node
+                yield rows[some], leaves, total
+
+    def nearest(self, queries: np.ndarray, bound: np.ndarray | None = None) -> np.ndarray:
+        """Smallest squared distance of each query to the references, at most its `bound` (squared)."""
+        best = np.full(len(queries), np.inf) if bound is None else np.array(bound, dtype=float)
+        for start in range(0, len(queries), CHUNK):
+            now = best[start : start + CHUNK]
+            # What is exactly as far as the best can't improve it.
+            for rows, _, found in self.visits(queries[start : start + CHUNK], lambda now=now: np.nextafter(now, -1.0)):
+                now[rows] = np.minimum(now[rows], found.min(axis=1))
+        return best
+
+    def nearest_rows(self, queries: np.ndarray, ids: np.ndarray, dist: np.ndarray, found: np.ndarray):
+        """(squared distances, ids) of the k nearest rows per query, nearest first, ties by id.
+
+        `dist` and `found` (queries x k) carry in the result of blocks searched before.
+        """
+        dist, found = np.array(dist, dtype=float), np.array(found, dtype=object)
+        k = dist.shape[1]
+        for start in range(0, len(queries), CHUNK):
+            some = slice(start, start + CHUNK)
+            d, n = dist[some], found[some]
+            # At equal distance a smaller id may still come in.
+            for rows, leaves, total in self.visits(queries[some], lambda d=d: d[:, -1]):
+                held = self.rows.reshape(-1, LEAF)[leaves]
+                names = np.where(held >= 0, ids[held], "")
+                all_d = np.concatenate([d[rows], total], axis=1)
+                all_n = np.concatenate([n[rows], names], axis=1)
+                order = np.lexsort((all_n.astype(str), all_d), axis=1)[:, :k]
+                d[rows] = np.take_along_axis(all_d, order, axis=1)
+                n[rows] = np.take_along_axis(all_n, order, axis=1)
+        return dist, found
 
-        grow(sample, cells)
-        return CellTree(np.array(axis), np.array(cut), np.array(left), np.array(right), leaves)
-
-    def locate(self, points: np.ndarray) -> np.ndarray:
-        """Cell of each point."""
-        out = np.zeros(len(points), dtype=np.int64)
-        stack = [(0, np.arange(len(points)))]
-        while stack:
-            node, rows = stack.pop()
-            if not len(rows):
-                continue
-            if self.axis[node] < 0:
-                out[rows] = self.left[node]
-                continue
-            below = points[rows, self.axis[node]] < self.cut[node]
-            stack += [(self.left[node], rows[below]), (self.right[node], rows[~below])]
-        return out
-
-    def within(self, points: np.ndarray, squared: np.ndarray):
-        """(row, cell) for every cell whose region is closer than the row's distance."""
-        rows_out, cells_out = [], []
-        gaps = np.zeros_like(points)
-        stack = [(0, np.arange(len(points)), gaps)]
-        while stack:
-            node, rows, gap = stack.pop()
-            near = (gap * gap).sum(axis=1) < squared[rows]
-            rows, gap = rows[near], gap[near]
-            if not len(rows):
-                continue
-            a = self.axis[node]
-            if a < 0:
-                rows_out.append(rows)
-                cells_out.append(np.full(len(rows), self.left[node]))
-                continue
-            offset = points[rows, a] - self.cut[node]
-            low, high = gap.copy(), gap.copy()
-            low[:, a] = np.maximum(gap[:, a], np.maximum(offset, 0.0))
-            high[:, a] = np.maximum(gap[:, a], np.maximum(-offset, 0.0))
-            stack += [(self.left[node], rows, low), (self.right[node], rows, high)]
-        if not rows_out:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        return np.concatenate(rows_out), np.concatenate(cells_out)
+
+def _split(points: np.ndarray, cells: int) -> tuple[list, list, list, list]:
+    """A k-d tree with at most `cells` leaves: axis (-1 in a leaf), cut, left (or the leaf's number), right."""
+    axis, cut, left, right = [], [], [], []
+    leaves = 0
+
+    def grow(part: np.ndarray, budget: int) -> int:
+        nonlocal leaves
+        node = len(axis)
+        axis.append(-1), cut.append(0.0), left.append(-1), right.append(-1)
+        spread = part.max(axis=0) - part.min(axis=0)
+        a = _widest_axis(part)
+        c = float(np.median(part[:, a]))
+        below = part[:, a] < c
+        if spread.any() and not below.any():
+            # The median is the smallest value: cut above it, on an axis with spread.
+            a = int(spread.argmax())
+            c = float(part[:, a].min() / 2 + part[:, a].max() / 2)
+            below = part[:, a] < c
+        if budget <= 1 or not spread.any() or not below.any():
+            left[node], leaves = leaves, leaves + 1
+            return node
+        axis[node], cut[node] = a, c
+        left[node] = grow(part[below], budget // 2)
+        right[node] = grow(part[~below], budget - budget // 2)
+        return node
+
+    grow(points, cells)
+    return axis, cut, left, right
+
+
+def _located(points: np.ndarray, tree) -> np.ndarray:
+    """Number of the leaf that each point falls in."""
+    axis, cut, left, right = map(np.asarray, tree)
+    node = np.zeros(len(points), dtype=np.int64)
+    while True:
+        inner = np.flatnonzero(axis[node] >= 0)
+        if not len(inner):
+            return left[node]
+        at = node[inner]
+        below = points[inner, axis[at]] < cut[at]
+        node[inner] = np.where(below, left[at], right[at])
+
+
+class Boxes:
+    """Bounding boxes of cells. Beyond a few they are grouped by runs, cells being in k-d order."""
+
+    RUN = 64
+
+    def __init__(self, cells: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.cells, self.low, self.high = cells, low, high
+        starts = np.arange(0, len(cells), self.RUN)
+        self.run_low = np.minimum.reduceat(low, starts, axis=0)
+        self.run_high = np.maximum.reduceat(high, starts, axis=0)
+
+    def next(self, points, reach, last_gap, last_box, count: int):
+        """(rows, boxes, gaps): of each point the next `count` boxes after (last_gap, last_box) whose gap is within reach."""
+        out = []
+        chunk = max(16, min(CHUNK, 1_000_000 // len(self.run_low)))
+        for start in range(0, len(points), chunk):
+            some = slice(start, start + chunk)
+            x = points[some]
+            # Some box of the run that is nearest as a whole is no farther than its far corner.
+            far = np.maximum(np.abs(x[:, None, :] - self.run_low), np.abs(x[:, None, :] - self.run_high))
+            fresh = last_gap[some] < 0
+            limit = np.where(fresh, np.minimum(reach[some], (far * far).sum(axis=2).min(axis=1)), reach[some])
+            row, run = np.nonzero(_gaps(x, self.run_low[None], self.run_high[None]) <= limit[:, None])
+            boxes = run[:, None] * self.RUN + np.arange(self.RUN)
+            rows = np.repeat(row, self.RUN)
+            boxes = boxes.ravel()
+            inside = boxes < len(self.cells)
+            rows, boxes = rows[inside], boxes[inside]
+            gap = np.zeros(len(rows))
+            for j in range(x.shape[1]):
+                d = np.maximum(np.maximum(self.low[boxes, j] - x[rows, j], x[rows, j] - self.high[boxes, j]), 0.0)
+                gap += d * d
+            lg, lb = last_gap[some][rows], last_box[some][rows]
+            good = (gap <= limit[rows]) & ((gap > lg) | ((gap == lg) & (boxes > lb)))
+            rows, boxes, gap = rows[good], boxes[good], gap[good]
+            order = np.lexsort((boxes, gap, rows))
+            rows, boxes, gap = rows[order], boxes[order], gap[order]
+            kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < count
+            out.append((rows[kept] + start, boxes[kept], gap[kept]))
+        if not out:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
 def _matrix(frame: pd.DataFrame, columns) -> np.ndarray:
     return frame[columns].to_numpy(dtype=float)
 
 
+# ---- Over tables ---------------------------------------------------------------------------
+def _cells(points: DataFrame, columns, cell_rows: int) -> DataFrame:
+    """`points` with `_cell`, split until no cell holds more than `cell_rows`.
+
+    The trees of one pass are read to the driver: the first pass has one, the second at most `FAN`.
+    """
+    total = points.count()
+    cell_rows = max(cell_rows, -(-total // MOST_CELLS))
+    now = points.withColumn("_cell", F.lit(0).cast("long"))
+    fields = ", ".join(f"`{n}` {t}" for n, t in now.dtypes)
+    spot = F.pmod(F.xxhash64(*columns), F.lit(1 << 20))
+    while True:
+        large = now.groupBy("_cell").agg(F.count("*").alias("_n")).where(F.col("_n") > cell_rows)
+        # Cells of a sample are uneven: aim at half their bound.
+        parts = F.least(F.lit(FAN), F.ceil(2 * F.col("_n") / cell_rows)).cast("int")
+        share = F.ceil(F.lit(1.3 * SAMPLE_PER_CELL * (1 << 20)) * parts / F.col("_n"))
+        large = stored(large.select(F.col("_cell").alias("_of"), parts.alias("_parts"), share.alias("_share")))
+        if large.isEmpty():
+            return now
+        sample = now.join(large, F.col("_cell") == F.col("_of")).where(spot < F.col("_share"))
+
+        def grow(cell: pd.DataFrame) -> pd.DataFrame:
+            tree = _split(_matrix(cell, columns), int(cell["_parts"].iloc[0]))
+            return pd.DataFrame({"cell": [cell["_of"].iloc[0]], **dict(zip("acds", [[t] for t in tree], strict=True))})
+
+        grown = sample.select("_of", "_parts", *columns).groupBy("_of").applyInPandas(
+            grow, "cell long, a array<int>, c array<double>, d array<int>, s array<int>"
+        )
+        trees = {r["cell"]: (r["a"], r["c"], r["d"], r["s"]) for r in grown.collect()}
+        if not any(len(t[0]) > 1 for t in trees.values()):
+            return now
+        shared = points.sparkSession.sparkContext.broadcast(trees)
+
+        def place(batches):
+            for batch in batches:
+                at, cell = _matrix(batch, columns), batch["_cell"].to_numpy()
+                # Numbers keep the order of the cells they come from.
+                inner = np.zeros(len(batch), dtype=np.int64)
+                for c in np.unique(cell):
+                    if c in shared.value:
+                        here = np.flatnonzero(cell == c)
+                        inner[here] = _located(at[here], shared.value[c])
+                batch["_cell"] = cell * FAN + inner
+                yield batch
+
+        now = stored(now.mapInPandas(place, fields))
+
+
+def _rounds(
+    asked: DataFrame, refs: DataFrame, columns, carried: dict[str, str], reach, search, merge, cell_rows: int
+) -> DataFrame:
+    """Every visit of every query: _key and the carried columns, to be merged per key.
+
+    asked: _key, columns and the carried ones. reach(batch): squared distance within which a box
+    may still matter. search(queries, references): the carried columns after a visit.
+    merge: aggregates by which several visits of a key become one.
+    """
+    placed = _cells(refs, columns, cell_rows)
+    edges = [f(c).alias(f"{n}{i}") for n, f in (("l", F.min), ("h", F.max)) for i, c in enumerate(columns)]
+    boxes = placed.groupBy("_cell").agg(*edges).orderBy("_cell").toPandas()
+    low, high = (boxes[[f"{n}{i}" for i in range(len(columns))]].to_numpy(dtype=float) for n in "lh")
+    shared = asked.sparkSession.sparkContext.broadcast(Boxes(boxes["_cell"].to_numpy(), low, high))
+    kinds = dict(asked.dtypes)
+    state = {"_key": kinds["_key"], **{c: "double" for c in columns}, **carried, "_gap": "double", "_box": "long"}
+    schema = ", ".join(f"`{n}` {t}" for n, t in state.items())
+    now = asked.withColumns({"_gap": F.lit(-1.0), "_box": F.lit(-1).cast("long")}).select(*state)
+    seen: list[DataFrame] = []
+    count = 1
+    while True:
+
+        def ask(batches, count=count):
+            for batch in batches:
+                rows, at, gaps = shared.value.next(
+                    _matrix(batch, columns), reach(batch), batch["_gap"].to_numpy(dtype=float), batch["_box"].to_numpy(dtype=np.int64), count
+                )
+                more = batch.iloc[rows].copy()
+                more["_gap"], more["_box"], more["_cell"] = gaps, at, shared.value.cells[at]
+                yield more
+
+        wanted = now.mapInPandas(ask, f"{schema}, _cell long")
+        visits = stored(_visit(stored(wanted), placed, columns, state, schema, search))
+        if visits.isEmpty():
+            break
+        seen.append(visits.select("_key", *carried))
+        if count > 1:
+            last = F.max(F.struct("_gap", "_box"))
+            merged = visits.groupBy("_key").agg(*[F.first(c).alias(c) for c in columns], *merge, last.alias("_last"))
+            now = merged.withColumns({"_gap": F.col("_last._gap"), "_box": F.col("_last._box")}).select(*state)
+        else:
+            now = visits
+        count *= 2
+    if not seen:
+        return asked.select("_key", *carried).limit(0)
+    return reduce(DataFrame.unionByName, seen)
+
+
+def _visit(wanted: DataFrame, refs: DataFrame, columns, state, schema: str, search) -> DataFrame:
+    """The queries of `wanted` after they have seen the references of their `_cell`.
+
+    A cell with many visitors is split into slices; its references go to every slice.
+    """
+    slices = F.ceil(F.count(F.lit(1)) / F.lit(QUERIES_PER_TASK)).cast("int").alias("_slices")
+    load = wanted.groupBy("_cell").agg(slices)
+    slice_of = F.pmod(F.xxhash64("_key"), F.col("_slices")).cast("int")
+    left = wanted.join(load, "_cell").withColumn("_slice", slice_of).drop("_slices")
+    every = F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
+    right = refs.join(load, "_cell").withColumn("_slice", every).drop("_slices")
+
+    def scan(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries):
+            return pd.DataFrame(columns=list(state))
+        return search(queries, block)[list(state)]
+
+    return left.groupBy("_cell", "_slice").cogroup(right.groupBy("_cell", "_slice")).applyInPandas(scan, schema)
+
+
+def _spread_out(queries: DataFrame, key: str, columns) -> DataFrame:
+    """The search is far heavier than a narrow shuffle: the queries go to all tasks."""
+    tasks = max(shuffle_width(queries), queries.sparkSession.sparkContext.defaultParallelism)
+    return queries.select(F.col(key).alias("_key"), *columns).repartition(tasks, "_key")
+
+
 def nearest_distance(
     queries: DataFrame,
     references: DataFrame,
     columns,
     key: str = S.ROW_ID,
     out: str = "distance",
-    broadcast_rows: int = BROADCAST_REFERENCES,
+    group: str | None = None,
+    broadcast_rows: int | None = None,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """(key, out): Euclidean distance of each query to its nearest reference row.
 
-    `columns` are non-null doubles on both sides. NULL if there is no reference row.
+    `columns` are non-null doubles on both sides. `group`: an integer column of both sides; only
+    references of the query's group count. NULL if there is no such reference row.
     """
     columns = list(columns)
-    points = references.select(*columns).distinct()
-    # The search is far heavier than a narrow shuffle: spread the queries over all tasks.
-    tasks = max(shuffle_width(queries), queries.sparkSession.sparkContext.defaultParallelism)
-    asked = queries.select(F.col(key).alias("_key"), *columns).repartition(tasks, "_key")
-    kind = dict(queries.dtypes)[key]
-
-    sample_rows = points.limit(broadcast_rows + 1)
-    held = sample_rows.toPandas()
-    if len(held) <= broadcast_rows:
-        refs = _matrix(held, columns)
-        return _by_broadcast(asked, refs, columns, kind, key, out)
-    # Read for the tree and by every visit: worked out once.
-    return _by_cells(asked, materialised(points), columns, kind, key, out, cell_rows)
-
-
-def _by_broadcast(asked, refs: np.ndarray, columns, kind, key, out) -> DataFrame:
-    shared = asked.sparkSession.sparkContext.broadcast(refs)
+    if group is not None:
+        # One search for all groups: they lie apart on an axis of their own.
+        queries, references = (d.withColumn("_group", F.col(group).cast("double") * F.lit(APART)) for d in (queries, references))
+        columns = [*columns, "_group"]
+    points = stored(references.select(*columns).distinct())
+    asked = _spread_out(queries, key, columns)
+    if broadcast_rows is None:
+        broadcast_rows = BROADCAST_BYTES // (8 * len(columns))
+    if points.count() <= broadcast_rows:
+        found = _by_broadcast(asked, points, columns)
+    else:
+        found = visited(asked, points, columns, cell_rows).select("_key", "_best")
+    near = F.when(F.col("_best") < APART, F.sqrt("_best"))
+    return found.select(F.col("_key").alias(key), near.alias(out))
+
+
+def _by_broadcast(asked: DataFrame, points: DataFrame, columns) -> DataFrame:
+    shared = asked.sparkSession.sparkContext.broadcast(_matrix(points.toPandas(), columns))
 
     def scan(batches):
+        block = Block(shared.value) if len(shared.value) else None
         for batch in batches:
-            found = np.sqrt(nearest_in_block(_matrix(batch, columns), shared.value))
-            yield pd.DataFrame({"_key": batch["_key"], "_d": np.where(np.isinf(found), np.nan, found)})
+            found = block.nearest(_matrix(batch, columns)) if block else np.full(len(batch), np.inf)
+            yield pd.DataFrame({"_key": batch["_key"], "_best": found})
 
-    result = asked.mapInPandas(scan, f"_key {kind}, _d double")
-    return result.select(F.col("_key").alias(key), F.nanvl("_d", F.lit(None)).alias(out))
+    return asked.mapInPandas(scan, f"_key {dict(asked.dtypes)['_key']}, _best double")
 
 
-def _tree(points: DataFrame, columns, cell_rows: int) -> CellTree:
-    """Cells balanced on a bounded hash sample, the same one in every recomputation."""
-    n = points.count()
-    wanted = max(2, min(MAX_CELLS, -(-n // cell_rows)))
-    share = min(1.0, 1.3 * wanted * SAMPLE_PER_CELL / n)
-    marked = points.where(
-        F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)
-    )
-    sample = marked.select(*columns).limit(2 * wanted * SAMPLE_PER_CELL).toPandas()
-    return CellTree.build(_matrix(sample, columns), wanted)
+def visited(asked: DataFrame, points: DataFrame, columns, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(_key, _best, _visits): squared distance to the nearest point, and the cells it took."""
 
+    def search(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        found = Block(_matrix(block, columns)).nearest(_matrix(rows, columns), rows["_best"].to_numpy(dtype=float))
+        return rows.assign(_best=found)
 
-def _by_cells(asked, points, columns, kind, key, out, cell_rows) -> DataFrame:
-    tree = _tree(points, columns, cell_rows)
-    fields = ", ".join(f"`{c}` double" for c in columns)
+    def reach(batch: pd.DataFrame) -> np.ndarray:
+        return np.nextafter(batch["_best"].to_numpy(dtype=float), -1.0)
 
-    def with_cell(batches):
-        for batch in batches:
-            batch["_cell"] = tree.locate(_matrix(batch, columns))
-            yield batch
-
-    refs = points.mapInPandas(with_cell, f"{fields}, _cell long")
-    first = asked.mapInPandas(with_cell, f"_key {kind}, {fields}, _cell long").withColumn(
-        "_best", F.lit(float("inf"))
-    )
-    best = materialised(_visit(first, refs, columns, kind))
-
-    def other_cells(batches):
-        for batch in batches:
-            at = _matrix(batch, columns)
-            limit = batch["_best"].to_numpy()
-            own = tree.locate(at)
-            rows, cells = tree.within(at, limit)
-            other = cells != own[rows]
-            more = batch.iloc[rows[other]].copy()
-            more["_cell"] = cells[other]
-            yield more
-
-    visits = best.mapInPandas(other_cells, f"_key {kind}, {fields}, _best double, _cell long")
-    again = _visit(visits, refs, columns, kind)
-    nearest = (
-        best.select("_key", "_best")
-        .unionByName(again.select("_key", "_best"))
-        .groupBy("_key")
-        .agg(F.min("_best").alias("_best"))
-    )
-    return nearest.select(F.col("_key").alias(key), F.sqrt("_best").alias(out))
-
-
-def _visit(asked: DataFrame, refs: DataFrame, columns, kind) -> DataFrame:
-    """Smaller of `_best` and the nearest reference of `_cell`, per visiting query.
-
-    A cell with many visitors is split into slices; its references go to every slice.
-    """
-    load = asked.groupBy("_cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(QUERIES_PER_TASK)).cast("int").alias("_slices")
-    )
-    # `load` has one row per cell: at most MAX_CELLS.
-    load = F.broadcast(load)
-    sliced = asked.join(load, "_cell").withColumn(
-        "_slice", F.pmod(F.xxhash64("_key"), F.col("_slices")).cast("int")
-    ).drop("_slices")
-    copies = refs.join(load, "_cell").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
-    ).drop("_slices")
-    fields = ", ".join(f"`{c}` double" for c in columns)
-
-    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=["_key", *columns, "_best"])
-        found = nearest_in_block(
-            _matrix(left, columns), _matrix(right, columns), left["_best"].to_numpy()
-        )
-        return left[["_key", *columns]].assign(_best=found)
-
-    return (
-        sliced.groupBy("_cell", "_slice")
-        .cogroup(copies.groupBy("_cell", "_slice"))
-        .applyInPandas(scan, f"_key {kind}, {fields}, _best double")
-    )
+    best = F.min("_best").alias("_best")
+    start = asked.withColumn("_best", F.lit(float("inf")))
+    seen = _rounds(start, points, columns, {"_best": "double"}, reach, search, [best], cell_rows)
+    return seen.groupBy("_key").agg(best, F.count("*").alias("_visits"))
 
 
 # ---- k nearest rows ---------------------------------------------------------------------
-def nearest_rows_in_block(queries, refs, ids, k, dist=None, found=None):
-    """(squared distances, ids) of the k nearest rows per query, nearest first, ties by id.
-
-    `dist` and `found` carry in the result of blocks searched before.
-    """
-    n = len(queries)
-    dist = np.full((n, k), np.inf) if dist is None else np.array(dist, dtype=float)
-    found = np.full((n, k), "", dtype=object) if found is None else np.array(found, dtype=object)
-    if not len(refs) or not n:
-        return dist, found
-    stack = [(np.arange(n), np.arange(len(refs)), None)]
-    while stack:
-        rows, part, gate = stack.pop()
-        if gate is not None:
-            # at equal distance a smaller id may still come in
-            rows = rows[gate <= dist[rows, -1]]
-        if not len(rows):
-            continue
-        block = refs[part]
-        spread = block.max(axis=0) - block.min(axis=0)
-        if len(part) <= _LEAF or not spread.any():
-            for start in range(0, len(rows), 1024):
-                some = rows[start : start + 1024]
-                total = np.zeros((len(some), len(part)))
-                for j in range(refs.shape[1]):
-                    diff = queries[some, j][:, None] - block[:, j][None, :]
-                    total += diff * diff
-                all_d = np.concatenate([dist[some], total], axis=1)
-                names = np.broadcast_to(ids[part], (len(some), len(part)))
-                all_n = np.concatenate([found[some], names], axis=1)
-                order = np.lexsort((all_n.astype(str), all_d), axis=1)[:, :k]
-                dist[some] = np.take_along_axis(all_d, order, axis=1)
-                found[some] = np.take_along_axis(all_n, order, axis=1)
-            continue
-        axis = _widest_axis(block)
-        order = np.argpartition(block[:, axis], len(part) // 2)
-        half = len(part) // 2
-        low, high = part[order[:half]], part[order[half:]]
-        low_top, high_bottom = refs[low, axis].max(), refs[high, axis].min()
-        x = queries[rows, axis]
-        near_low = x <= (low_top + high_bottom) / 2
-        to_low = np.maximum(x - low_top, 0.0) ** 2
-        to_high = np.maximum(high_bottom - x, 0.0) ** 2
-        stack.append((rows[near_low], high, to_high[near_low]))
-        stack.append((rows[~near_low], low, to_low[~near_low]))
-        stack.append((rows[near_low], low, to_low[near_low]))
-        stack.append((rows[~near_low], high, to_high[~near_low]))
-    return dist, found
-
-
-def _few_copies(references: DataFrame, columns, k: int, salts: int = 64) -> DataFrame:
+def _few_copies(references: DataFrame, columns, k: int, rows_each: int = 100_000) -> DataFrame:
     """At most k rows per identical vector, the smallest ids: no other copy can be among the
     k nearest. Two rounds, so that a vector held by many rows is thinned in parallel."""
+    salts = max(1, -(-references.count() // rows_each))
     salt = F.pmod(F.xxhash64("_id"), F.lit(salts))
     first = Window.partitionBy(*columns, "_salt").orderBy("_id")
     second = Window.partitionBy(*columns).orderBy("_id")
@@ -360,114 +466,49 @@ def nearest_rows(
     columns,
     k: int,
     key: str = S.ROW_ID,
-    broadcast_rows: int = BROADCAST_REFERENCES,
+    broadcast_rows: int | None = None,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """(key, neighbours): the keys of the k nearest reference rows, nearest first.
+    """(key, neighbours): the keys of the k nearest reference rows, nearest first, ties by key.
 
     Keys are strings. Exact on both paths, as for `nearest_distance`.
     """
     columns = list(columns)
-    tasks = max(shuffle_width(queries), queries.sparkSession.sparkContext.defaultParallelism)
-    asked = queries.select(F.col(key).alias("_key"), *columns).repartition(tasks, "_key")
-    points = _few_copies(references.select(F.col(key).alias("_id"), *columns), columns, k)
-    fields = ", ".join(f"`{c}` double" for c in columns)
-    state = "_d array<double>, _n array<string>"
-    held = points.limit(broadcast_rows + 1).toPandas()
-
-    def pack(batch, dist, found):
-        out = batch[["_key", *columns]].copy()
-        out["_d"], out["_n"] = list(dist), [list(row) for row in found]
-        return out
-
-    if len(held) <= broadcast_rows:
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (_matrix(held, columns), held["_id"].to_numpy(dtype=object))
-        )
-
-        def scan(batches):
-            refs, ids = shared.value
-            for batch in batches:
-                yield pack(batch, *nearest_rows_in_block(_matrix(batch, columns), refs, ids, k))
-
-        best = asked.mapInPandas(scan, f"_key string, {fields}, {state}")
-        return best.select(F.col("_key").alias(key), _real_ids().alias("neighbours"))
+    points = stored(_few_copies(references.select(F.col(key).alias("_id"), *columns), columns, k))
+    asked = _spread_out(queries, key, columns)
+    carried = {"_d": "array<double>", "_n": "array<string>"}
 
-    points = materialised(points)
-    tree = _tree(points, columns, cell_rows)
-
-    def with_cell(batches):
-        for batch in batches:
-            batch["_cell"] = tree.locate(_matrix(batch, columns))
-            yield batch
-
-    refs = points.mapInPandas(with_cell, f"_id string, {fields}, _cell long")
-
-    def visit(visitors: DataFrame) -> DataFrame:
-        load = F.broadcast(
-            visitors.groupBy("_cell").agg(
-                F.ceil(F.count(F.lit(1)) / F.lit(QUERIES_PER_TASK)).cast("int").alias("_slices")
-            )
-        )
-        slice_of = F.pmod(F.xxhash64("_key"), F.col("_slices")).cast("int")
-        left = visitors.join(load, "_cell").withColumn("_slice", slice_of)
-        right = refs.join(load, "_cell").withColumn(
-            "_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
+    def search(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        dist, found = Block(_matrix(block, columns)).nearest_rows(
+            _matrix(rows, columns), block["_id"].to_numpy(dtype=object), np.stack(rows["_d"]), np.stack(rows["_n"])
         )
+        return rows.assign(_d=list(dist), _n=[list(row) for row in found])
 
-        def scan(asked_rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-            if not len(asked_rows):
-                return pd.DataFrame(columns=["_key", *columns, "_d", "_n"])
-            return pack(
-                asked_rows,
-                *nearest_rows_in_block(
-                    _matrix(asked_rows, columns),
-                    _matrix(block, columns),
-                    block["_id"].to_numpy(dtype=object),
-                    k,
-                    np.stack(asked_rows["_d"]),
-                    np.stack(asked_rows["_n"]),
-                ),
-            )
-
-        return (
-            left.drop("_slices")
-            .groupBy("_cell", "_slice")
-            .cogroup(right.drop("_slices").groupBy("_cell", "_slice"))
-            .applyInPandas(scan, f"_key string, {fields}, {state}")
-        )
-
-    start = asked.withColumns(
-        {
-            "_d": F.array_repeat(F.lit(float("inf")), k),
-            "_n": F.array_repeat(F.lit(""), k),
-        }
-    )
-    own = materialised(
-        visit(start.mapInPandas(with_cell, f"_key string, {fields}, {state}, _cell long"))
-    )
-
-    def other_cells(batches):
-        for batch in batches:
-            at = _matrix(batch, columns)
-            reach = np.nextafter(np.stack(batch["_d"])[:, -1], np.inf)
-            home = tree.locate(at)
-            rows, cells = tree.within(at, reach)
-            other = cells != home[rows]
-            more = batch.iloc[rows[other]].copy()
-            more["_cell"] = cells[other]
-            yield more
-
-    more = visit(own.mapInPandas(other_cells, f"_key string, {fields}, {state}, _cell long"))
-    # A visit returns the carried rows too; the same neighbour then counts once.
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("_d", "_n"))))
-    best = F.slice(F.array_sort(pairs), 1, k)
-    merged = own.unionByName(more).groupBy("_key").agg(best.alias("_best"))
-    kept = F.filter(F.col("_best"), lambda p: p["_n"] != "")
-    return merged.select(
-        F.col("_key").alias(key), F.transform(kept, lambda p: p["_n"]).alias("neighbours")
-    )
-
+    start = asked.withColumns({"_d": F.array_repeat(F.lit(float("inf")), k), "_n": F.array_repeat(F.lit(""), k)})
+    size = points.agg(F.count("*").alias("n"), F.sum(F.octet_length("_id")).alias("ids")).first()
+    if broadcast_rows is None:
+        small = (size["ids"] or 0) + size["n"] * 8 * len(columns) <= BROADCAST_BYTES
+    else:
+        small = size["n"] <= broadcast_rows
+    if small:
+        shared = queries.sparkSession.sparkContext.broadcast(points.toPandas())
 
-def _real_ids():
-    return F.filter("_n", lambda name: name != "")
+        def scan(batches):
+            block = shared.value
+            for batch in batches:
+                yield (search(batch, block) if len(block) else batch)[["_key", "_d", "_n"]]
+
+        best = start.mapInPandas(scan, "_key string, _d array<double>, _n array<string>")
+    else:
+
+        def reach(batch: pd.DataFrame) -> np.ndarray:
+            return np.stack(batch["_d"])[:, -1]
+
+        # A visit returns the carried rows too; the same neighbour then counts once.
+        pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("_d", "_n"))))
+        top = F.slice(F.array_sort(F.filter(pairs, lambda p: p["_n"] != "")), 1, k)
+        padding = F.array_repeat(F.struct(F.lit(float("inf")).alias("_d"), F.lit("").alias("_n")), k)
+        full = F.slice(F.concat(top, padding), 1, k)
+        merge = [F.transform(full, lambda p: p["_d"]).alias("_d"), F.transform(full, lambda p: p["_n"]).alias("_n")]
+        best = _rounds(start, points, columns, carried, reach, search, merge, cell_rows).groupBy("_key").agg(*merge)
+    return best.select(F.col("_key").alias(key), F.filter("_n", lambda name: name != "").alias("neighbours"))
