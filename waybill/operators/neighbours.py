@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from waybill import schema as S
 from waybill.functions.small import shuffle_width, stored
 
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 CELL_ROWS = 65_536
 #: Cells that one split makes; cells in all: beyond, cells grow with the references.
 FAN, MOST_CELLS = 1_024, 1 << 20
 SAMPLE_PER_CELL = 16
 QUERIES_PER_TASK = 20_000
+#: Boxes asked for in the first round, and how many times more in each later one.
+ASKED, MORE = 1, 8
 #: References of a leaf, leaves of a group, queries handled together.
 LEAF, GROUP, CHUNK = 48, 16, 2_048
 #: Boxes looked at in order of distance before all that remain are listed.
@@ -327,7 +329,7 @@ def _rounds(
     schema = ", ".join(f"`{n}` {t}" for n, t in state.items())
     now = asked.withColumns({"_gap": F.lit(-1.0), "_box": F.lit(-1).cast("long")}).select(*state)
     seen: list[DataFrame] = []
-    count = 1
+    count = ASKED
     while True:
 
         def ask(batches, count=count):
@@ -339,10 +341,10 @@ def _rounds(
                 more["_gap"], more["_box"], more["_cell"] = gaps, at, shared.value.cells[at]
                 yield more
 
-        wanted = now.mapInPandas(ask, f"{schema}, _cell long")
-        visits = stored(_visit(stored(wanted), placed, columns, state, schema, search))
-        if visits.isEmpty():
+        wanted = stored(now.mapInPandas(ask, f"{schema}, _cell long"))
+        if wanted.isEmpty():
             break
+        visits = stored(_visit(wanted, placed, columns, state, schema, search))
         seen.append(visits.select("_key", *carried))
         if count > 1:
             last = F.max(F.struct("_gap", "_box"))
@@ -350,7 +352,7 @@ def _rounds(
             now = merged.withColumns({"_gap": F.col("_last._gap"), "_box": F.col("_last._box")}).select(*state)
         else:
             now = visits
-        count *= 2
+        count *= MORE
     if not seen:
         return asked.select("_key", *carried).limit(0)
     return reduce(DataFrame.unionByName, seen)
@@ -373,13 +375,19 @@ def _visit(wanted: DataFrame, refs: DataFrame, columns, state, schema: str, sear
             return pd.DataFrame(columns=list(state))
         return search(queries, block)[list(state)]
 
-    return left.groupBy("_cell", "_slice").cogroup(right.groupBy("_cell", "_slice")).applyInPandas(scan, schema)
+    # A stated number of tasks: by bytes alone, few tasks would get this narrow but heavy work.
+    tasks, at = 4 * _tasks(refs), ["_cell", "_slice"]
+    left, right = left.repartition(tasks, *at), right.repartition(tasks, *at)
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(scan, schema)
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(shuffle_width(df), df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _spread_out(queries: DataFrame, key: str, columns) -> DataFrame:
     """The search is far heavier than a narrow shuffle: the queries go to all tasks."""
-    tasks = max(shuffle_width(queries), queries.sparkSession.sparkContext.defaultParallelism)
-    return queries.select(F.col(key).alias("_key"), *columns).repartition(tasks, "_key")
+    return queries.select(F.col(key).alias("_key"), *columns).repartition(_tasks(queries), "_key")
 
 
 def nearest_distance(
@@ -415,11 +423,12 @@ def nearest_distance(
 
 
 def _by_broadcast(asked: DataFrame, points: DataFrame, columns) -> DataFrame:
-    shared = asked.sparkSession.sparkContext.broadcast(_matrix(points.toPandas(), columns))
+    held = _matrix(points.toPandas(), columns)
+    shared = asked.sparkSession.sparkContext.broadcast(Block(held) if len(held) else None)
 
     def scan(batches):
-        block = Block(shared.value) if len(shared.value) else None
         for batch in batches:
+            block = shared.value
             found = block.nearest(_matrix(batch, columns)) if block else np.full(len(batch), np.inf)
             yield pd.DataFrame({"_key": batch["_key"], "_best": found})
 
@@ -478,12 +487,13 @@ def nearest_rows(
     asked = _spread_out(queries, key, columns)
     carried = {"_d": "array<double>", "_n": "array<string>"}
 
-    def search(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        dist, found = Block(_matrix(block, columns)).nearest_rows(
-            _matrix(rows, columns), block["_id"].to_numpy(dtype=object), np.stack(rows["_d"]), np.stack(rows["_n"])
-        )
+    def seen(rows: pd.DataFrame, block: Block, ids: np.ndarray) -> pd.DataFrame:
+        dist, found = block.nearest_rows(_matrix(rows, columns), ids, np.stack(rows["_d"]), np.stack(rows["_n"]))
         return rows.assign(_d=list(dist), _n=[list(row) for row in found])
 
+    def search(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        return seen(rows, Block(_matrix(block, columns)), block["_id"].to_numpy(dtype=object))
+
     start = asked.withColumns({"_d": F.array_repeat(F.lit(float("inf")), k), "_n": F.array_repeat(F.lit(""), k)})
     size = points.agg(F.count("*").alias("n"), F.sum(F.octet_length("_id")).alias("ids")).first()
     if broadcast_rows is None:
@@ -491,12 +501,14 @@ def nearest_rows(
     else:
         small = size["n"] <= broadcast_rows
     if small:
-        shared = queries.sparkSession.sparkContext.broadcast(points.toPandas())
+        held = points.toPandas()
+        block = Block(_matrix(held, columns)) if len(held) else None
+        shared = queries.sparkSession.sparkContext.broadcast((block, held["_id"].to_numpy(dtype=object)))
 
         def scan(batches):
-            block = shared.value
+            block, ids = shared.value
             for batch in batches:
-                yield (search(batch, block) if len(block) else batch)[["_key", "_d", "_n"]]
+                yield (seen(batch, block, ids) if block else batch)[["_key", "_d", "_n"]]
 
         best = start.mapInPandas(scan, "_key string, _d array<double>, _n array<string>")
     else:

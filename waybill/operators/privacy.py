@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions.coerce import Fields
-from waybill.functions.small import materialised
+from waybill.functions.small import materialised, stored
 from waybill.operators.derive import scale_stats
 from waybill.operators.distribution import histogram, value_summary
 from waybill.operators.ecdf import add_range_buckets, running_counts
@@ -49,6 +49,7 @@ def dcr_distances(
     how the published figures were taken; distances then come out larger.
     """
     columns = _columns(real, synth, wanted=columns)
+    real = stored(real.select(S.ROW_ID, *columns))  # for its statistics and for the search
     r, s = _scaled([real, synth], real, columns)
     if cap is not None:
         r, s = hash_sample(r, cap, "dcr-real", seed), hash_sample(s, cap, "dcr-synth", seed)
@@ -80,8 +81,9 @@ def nnaa_distances(
     """(row_id, d_real, d_synth): for held-out synthetic rows, the distance to the closest
     real row and to the closest other synthetic row."""
     columns = _columns(real, synth, wanted=columns)
+    real, synth = (stored(d.select(S.ROW_ID, *columns)) for d in (real, synth))
     r, s = _scaled([real, synth], real, columns)
-    marked = train_test_marks(s, seed)
+    marked = stored(train_test_marks(s, seed))
     test, train = marked.where("is_test"), marked.where(~F.col("is_test"))
     if cap is not None:
         test = hash_sample(test, cap, "nnaa-test", seed)
