@@ -137,9 +137,8 @@ def test_resampling_reaches_the_target(spark):
     got = stats.first()
     assert rows.count() == 500 and not got.cap_hit and got.drawn > 500
     assert rows.exceptAll(repair.rejection_filter(rows)).isEmpty()
-    for limit, drawn in ((8, 400), (None, resample.PILOT_ROWS)):
-        rows, none = resample.resample_to_target(synth.bootstrap(real), 50, lambda d: d.where("1 = 0"), limit)
-        assert none.first().cap_hit and none.first().drawn == drawn and rows.isEmpty()
+    rows, none = resample.resample_to_target(synth.bootstrap(real), 50, lambda d: d.where("1 = 0"), 8)
+    assert none.first().cap_hit and (none.first().drawn, none.first().status) == (400, "limit") and rows.isEmpty()
     rows, empty = resample.resample_to_target(synth.bootstrap(real), 0)
     assert rows.isEmpty() and empty.first().drawn == 0
     # The n-th survivor ends the draws, wherever batches and blocks end.
@@ -148,6 +147,30 @@ def test_resampling_reaches_the_target(spark):
     assert stats.first().drawn == 37 * 299 + 6 and rows.agg(F.max("draw_id")).first()[0] == 37 * 299 + 5
 
 
+def test_rare_survivors_are_waited_for(spark):
+    """One in 250,000 survives; impossible filters end by the bound on their rate."""
+    numbers = lambda first, n: spark.range(first, first + n, 1, 4).withColumnRenamed("id", "draw_id")
+    rare = lambda d: d.withColumn("_keep_kept", F.col("draw_id") % 250_000 == 249_999)
+    rows, stats = resample.resample_to_target(numbers, 10, mark=rare)
+    got = stats.first()
+    assert (rows.count(), got.drawn, got.status, got.cap_hit) == (10, 2_500_000, "full", False)
+    never = lambda d: d.withColumn("_keep_kept", F.lit(False))
+    rows, stats = resample.resample_to_target(numbers, 10, mark=never, least_rate=1e-6)
+    got = stats.first()
+    assert (got.status, got.survived, got.cap_hit) == ("rare", 0, True) and 3e6 <= got.drawn < 1e8
+    assert rows.isEmpty()
+
+
+def test_pool_cuts_every_run_and_filter(spark):
+    numbers = lambda first, n: spark.range(first, first + n, 1, 4).withColumnRenamed("id", "draw_id")
+    by = lambda *steps: lambda d: d.withColumns({f"_keep_f{i}": F.col("draw_id") % s == 1 for i, s in enumerate(steps)})
+    pool = resample.draw_pool({"a": (numbers, by(3, 7)), "b": (numbers, by(1000, 2))}, 900, ["f0", "f1"])
+    want = {("a", "f0"): 3, ("a", "f1"): 7, ("b", "f0"): 1000, ("b", "f1"): 2}
+    assert {k: (c.drawn, c.survived) for k, c in pool.cuts.items()} == {k: (s * 899 + 2, 900) for k, s in want.items()}
+    got = {(r.run, bit): r.n for bit in (0, 1) for r in pool.survivors().where(f"mask & {1 << bit} > 0").groupBy("run").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", 0): 900, ("a", 1): 900, ("b", 0): 900, ("b", 1): 900}
+
+
 def test_uniforms_reach_every_row_of_a_large_table(spark):
     from waybill.functions.hashing import uniform
 

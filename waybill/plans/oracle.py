@@ -1030,7 +1030,7 @@ def _until(name: str, kept: str) -> str:
     view(f"{name}_cut", f"SELECT coalesce(min(draw_id) FILTER (c >= n), max(draw_id)) AS last FROM {name}_cum, w_n")
     return f"""
         SELECT any_value(n) AS n_target, count(*) AS drawn, count(*) FILTER (ok) AS survived,
-          round(count(*) FILTER (ok)::DOUBLE/count(*), 4) AS survival_rate, count(*) FILTER (ok) < any_value(n) AS cap_hit,
+          round(count(*) FILTER (ok)::DOUBLE/count(*), 4) AS survival_rate, count(*) FILTER (ok) < any_value(n) AS cap_hit, CASE WHEN count(*) FILTER (ok) < any_value(n) THEN 'limit' ELSE 'full' END AS status,
           round(count(*) FILTER (delay_label=2)::DOUBLE/count(*), 4) AS raw_label2_rate,
           count(*) FILTER (ok AND delay_label=2) AS kept_label2_n
         FROM {name}_cum, {name}_cut, w_n WHERE draw_id <= last
