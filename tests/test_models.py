@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from waybill import schema as S
-from waybill.operators import models, oversample, privacy
+from waybill.operators import audit, fidelity, forest, models, oversample, privacy, ranking
 from waybill.plans import sweep
+from waybill.plans.generate import generate
 
 SMALL = {"trees": 12, "depth": 5}
 
@@ -94,23 +97,69 @@ def test_oversampling_scores(labelled):
     assert 0 <= got.weighted_f1 <= 1
 
 
-def test_sweep_keeps_the_statistics_of_every_cell(labelled):
-    out = sweep.run_sweep(labelled, ["none", "strict+reject"], ["TVAE"], [7], 150, **SMALL).toPandas()
-    assert set(out["level"]) == {"none", "strict+reject"}
-    for _, cell in out.groupby("level"):
-        values = dict(zip(cell["metric"], cell["value"], strict=True))
-        assert values["reject_kept_n"] == 150 and 0 < values["reject_survival_rate"] <= 1
-        assert {"dcr_mean", "nnaa", "f1_gap", "ks_mean", "cvr"} <= set(values)
-    strict = out[(out["level"] == "strict+reject") & (out["metric"] == "cvr")]["value"].iloc[0]
-    assert strict == 0
+def test_sweep_equals_its_cells_taken_one_by_one(labelled):
+    """Shared draws, one ledger and joint searches give what the single operators give."""
+    levels, architectures, seeds, n = ["none", "moderate", "strict+reject"], ["TVAE", "copula"], [7], 150
+    out = sweep.run_sweep(labelled, levels, architectures, seeds, n, **SMALL).toPandas()
+    assert len(out) == 6 * 17 and not out.duplicated(["architecture", "level", "seed", "metric"]).any()
+    for architecture, level in (("TVAE", "none"), ("TVAE", "strict+reject"), ("copula", "moderate")):
+        cell = out[(out["architecture"] == architecture) & (out["level"] == level)]
+        got = dict(zip(cell["metric"], cell["value"], strict=True))
+        rows, stats = generate(labelled, level, architecture, n, 7)
+        synth, drawn = rows.cache(), stats.first()
+        near = privacy.dcr_summary(privacy.dcr_distances(labelled, synth)).first()
+        want = {
+            "reject_drawn": drawn.drawn,
+            "reject_kept_n": n,
+            "label2_kept_n": drawn.kept_label2_n,
+            "label2_raw_rate": drawn.raw_label2_rate,
+            "dcr_mean": near.dcr_mean,
+            "dcr_p5": near.dcr_p5,
+            "nnaa": privacy.nnaa_score(privacy.nnaa_distances(labelled, synth)).first().nnaa,
+            "ks_mean": fidelity.ks_complement(labelled, synth).agg(F.avg("ks")).first()[0],
+            "js_mean": fidelity.js_divergence(labelled, synth).agg(F.avg("js")).first()[0],
+            "cvr": audit.integrity_score(synth).first().integrity_violation_pct,
+        }
+        assert {m: got[m] for m in want} == pytest.approx(want, abs=1.01e-4)
+        assert 0 <= got["business_utility"] <= 1 and got["bus_ratio"] > 0 and abs(got["f1_gap"]) < 1
+    assert sweep.run_sweep(labelled, [], ["TVAE"], [7], 10).count() == 0
+
+
+def test_forests_of_many_cells_learn_their_own_labels(spark):
+    """Each cell has another rule; trees of one cell do not know those of the next."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 3))
+    cell = np.arange(3000) % 3
+    y = np.where(x[np.arange(3000), cell] > 0.3, 2, np.where(x[np.arange(3000), cell] < -0.6, 0, 1))
+    rows = pd.DataFrame(x, columns=list("abc")).assign(cell=cell, **{S.LABEL: y})
+    trained = spark.createDataFrame(rows.iloc[:2400]).withColumn("cell", F.col("cell").cast("int"))
+    forests = forest.fit_forests(trained.withColumn(S.LABEL, F.col(S.LABEL).cast("int")), "abc", 25, 6)
+    assert sorted(forests) == [0, 1, 2] and [len(g) for g in forests.values()] == [2, 2, 2]
+    again = forest.fit_forests(trained.repartition(7).withColumn(S.LABEL, F.col(S.LABEL).cast("int")), "abc", 25, 6)
+    for c in range(3):
+        test = rows.iloc[2400:][rows["cell"].iloc[2400:] == c]
+        guess = forest.predicted(forests[c], test[list("abc")].to_numpy())
+        assert (guess == test[S.LABEL]).mean() > 0.93
+        assert (forest.predicted(forests[(c + 1) % 3], test[list("abc")].to_numpy()) == test[S.LABEL]).mean() < 0.75
+        assert all(np.array_equal(a, b) for g, h in zip(forests[c], again[c], strict=True) for a, b in zip(g, h, strict=True))
+    tested = spark.createDataFrame(rows.iloc[2400:].assign(fold=1)).withColumns({c: F.col(c).cast("int") for c in ("fold", S.LABEL)})
+    counts = forest.outcomes(forests, tested, "abc", {1: [0, 2]}).toPandas()
+    assert set(counts["cell"]) == {0, 2} and counts.groupby("cell")["cnt"].sum().tolist() == [600, 600]
 
 
 def test_membership_audit_of_levels(labelled):
-    out = sweep.run_mia_audit(labelled, ["none"], ["TVAE"], [7], 200).toPandas()
-    values = dict(zip(out["metric"], out["value"], strict=True))
-    assert 0.4 < values["mia_auc"] <= 1 and 0 <= values["mia_tpr_at_fpr"] <= 1
-    members = labelled.where("is_member") if "is_member" in labelled.columns else labelled
-    assert privacy.dcr_summary(privacy.dcr_distances(members, members)).first().dcr_mean == 0
+    """The joint audit is that of each cell on its own."""
+    out = sweep.run_mia_audit(labelled, ["none", "strict"], ["TVAE", "CTGAN"], [7, 8], 200).toPandas()
+    assert len(out) == 2 * 2 * 2 * 2
+    for seed, architecture, level in ((7, "TVAE", "none"), (8, "CTGAN", "strict")):
+        marked = ranking.member_split(labelled, 0.5, seed)
+        members, others = marked.where("is_member").drop("is_member"), marked.where("not is_member").drop("is_member")
+        rows, _ = generate(members, level, architecture, 200, seed)
+        scores = privacy.mia_scores(members, others, rows, seed=seed)
+        one = out[(out["seed"] == seed) & (out["architecture"] == architecture) & (out["level"] == level)]
+        got = dict(zip(one["metric"], one["value"], strict=True))
+        assert got["mia_auc"] == privacy.roc_auc(scores).first()[0]
+        assert got["mia_tpr_at_fpr"] == privacy.tpr_at_fpr(scores).first()[0]
 
 
 def test_workflow_runs_to_its_end(labelled):

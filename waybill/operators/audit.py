@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill import schema as S
@@ -161,17 +161,22 @@ def quarantine_split(df: DataFrame, vocabulary: DataFrame | None = None, keys=No
     )
 
 
-def integrity_score(df: DataFrame) -> DataFrame:
-    """One row: hits of the three narrow rules as a share of rows, in percent."""
+def integrity_hits(df: DataFrame) -> Column:
+    """How many of the three narrow rules a row hits."""
     f = Fields(df)
-    parts = []
+    rules = []
     if f.has(S.TRANSIT):
-        parts.append(F.count_if(f.number(S.TRANSIT) <= 0))
+        rules.append(f.number(S.TRANSIT) <= 0)
     if f.has(S.LATENCY):
-        parts.append(F.count_if(f.number(S.LATENCY) < 0))
+        rules.append(f.number(S.LATENCY) < 0)
     if f.has(S.LABEL):
-        parts.append(F.count_if(~in_label_domain(f)))
-    hits = sum(parts, F.lit(0))
+        rules.append(~in_label_domain(f))
+    return sum([F.coalesce(r, F.lit(False)).cast("int") for r in rules], F.lit(0))
+
+
+def integrity_score(df: DataFrame) -> DataFrame:
+    """One row: hits of the three narrow rules as a share of rows, in percent."""
+    hits = F.coalesce(F.sum(integrity_hits(df)), F.lit(0))
     return df.agg(F.count(F.lit(1)).alias("n"), hits.cast("bigint").alias("violations")).select(
         "n",
         "violations",

@@ -29,9 +29,9 @@ def range_edges(df: DataFrame, columns, width: int) -> dict[str, list[float]]:
     return {c: sorted(set(row[c] or [])) for c in columns}
 
 
-def add_range_buckets(df: DataFrame, columns, width: int | None = None, suffix="_bucket"):
-    """Adds one monotone bucket number per numeric column."""
-    edges = range_edges(df, columns, width or shuffle_width(df))
+def add_range_buckets(df: DataFrame, columns, width: int | None = None, suffix="_bucket", edges=None):
+    """Adds one monotone bucket number per numeric column; by given edges, or by those of `df`."""
+    edges = edges or range_edges(df, columns, width or shuffle_width(df))
     inf = float("inf")
     splits = {c: [-inf, *[e for e in edges[c] if abs(e) < inf], inf] for c in columns}
     # a Bucketizer wants at least three split points
@@ -44,9 +44,9 @@ def add_range_buckets(df: DataFrame, columns, width: int | None = None, suffix="
     ).transform(df)
 
 
-def long_values(df: DataFrame, fields, carry=(), width: int | None = None) -> DataFrame:
+def long_values(df: DataFrame, fields, carry=(), width: int | None = None, edges=None) -> DataFrame:
     """One row per non-null value: (carry…, field, bucket, value)."""
-    bucketed = add_range_buckets(df, fields, width)
+    bucketed = add_range_buckets(df, fields, width, edges=edges)
     cells = F.array(
         *[
             F.struct(

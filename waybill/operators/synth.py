@@ -36,8 +36,16 @@ def draw_ids(spark: SparkSession, first: int, n: int, width: int) -> DataFrame:
     return spark.range(first, first + n, 1, width).withColumnRenamed("id", "draw_id")
 
 
-def bootstrap(real: DataFrame, architecture: str = "TVAE", seed: int = 42) -> Draw:
-    """Rows drawn with replacement, with normal noise on the durations."""
+def bootstrap_index(real: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows numbered in digest order: what every draw of a seed looks up, worked out once."""
+    return materialised(hash_rank(real, "boot", seed).withColumnRenamed("_rank", "_index"))
+
+
+def bootstrap(real: DataFrame, architecture: str = "TVAE", seed: int = 42, indexed: DataFrame | None = None) -> Draw:
+    """Rows drawn with replacement, with normal noise on the durations.
+
+    indexed: the `bootstrap_index` of the table and seed, if it is there already.
+    """
     noise = NOISE[architecture]
     columns = [c for c in S.DURATION_COLUMNS if c in real.columns]
     f = Fields(real)
@@ -47,8 +55,7 @@ def bootstrap(real: DataFrame, architecture: str = "TVAE", seed: int = 42) -> Dr
     ).first()
     total = stats["n"]
     spread = {c: float(stats[c] or 0.0) for c in columns}
-    # Every batch of every level reads the index; it is worked out once.
-    indexed = materialised(hash_rank(real, "boot", seed).withColumnRenamed("_rank", "_index"))
+    indexed = bootstrap_index(real, seed) if indexed is None else indexed
     width = shuffle_width(real)
 
     def draw(first: int, n: int) -> DataFrame:

@@ -12,8 +12,12 @@ CALIBRATION_BINS = 10
 
 
 def outcome_counts(scored: DataFrame, by=()) -> DataFrame:
-    """(by…, y_true, y_pred, cnt): all that the label metrics need, a handful of rows."""
-    return scored.groupBy(*by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("cnt"))
+    """(by…, y_true, y_pred, cnt): all that the label metrics need, a handful of rows.
+
+    Scored rows that come as counts already have a column `cnt`.
+    """
+    count = F.sum("cnt") if "cnt" in scored.columns else F.count(F.lit(1))
+    return scored.groupBy(*by, "y_true", "y_pred").agg(count.alias("cnt"))
 
 
 def confusion_matrix(scored: DataFrame, by=()) -> DataFrame:

@@ -68,18 +68,33 @@ def evaluate_synth(spark, sf_dir):
     return sweep.evaluate_synth(real, synth, baseline, **SIZE)
 
 
+#: The whole grid: five levels, three generators, two seeds.
+LEVELS = [level for level, _, _ in S.STRICTNESS]
+GRID = (LEVELS, ["TVAE", "CopulaGAN", "CTGAN"], [42, 43])
+
+
+def _made_rows(spark, sf_dir) -> int:
+    """Synthetic rows of a cell: as many as there are orders, a quarter of the real rows."""
+    return D.table(spark, sf_dir, "orders").count()
+
+
 @query
 def sweep_long(spark, sf_dir):
-    real = D.canonical(spark, sf_dir)
-    n = D.table(spark, sf_dir, "lineitem").count()
-    return sweep.run_sweep(real, ["none", "strict+reject"], ["TVAE"], [42], n, **SIZE)
+    """Every metric and draw statistic of all thirty cells."""
+    return sweep.run_sweep(D.canonical(spark, sf_dir), *GRID, _made_rows(spark, sf_dir), **SIZE)
+
+
+@query
+def sweep_measured(spark, sf_dir):
+    """The metrics and draw statistics of all thirty cells that need no model."""
+    return sweep.run_sweep(D.canonical(spark, sf_dir), *GRID, _made_rows(spark, sf_dir), with_models=False)
 
 
 @query
 def mia_audit(spark, sf_dir):
+    """Membership inference in all thirty cells."""
     real = D.canonical(spark, sf_dir, ["last_scac", "carrier_service_code"])
-    n = D.table(spark, sf_dir, "lineitem").count()
-    return sweep.run_mia_audit(real, ["none", "strict+reject"], ["TVAE"], [42], n)
+    return sweep.run_mia_audit(real, *GRID, _made_rows(spark, sf_dir))
 
 
 @query
