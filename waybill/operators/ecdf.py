@@ -101,17 +101,6 @@ def running_counts(values: DataFrame, counts: dict[str, Column], by=("field",))
     )
 
 
-def two_sample_steps(real: DataFrame, synth: DataFrame, fields) -> DataFrame:
-    """Both empirical distribution functions of every field, one row per distinct value."""
-    both = real.select(F.lit(0).alias("side"), *fields).unionByName(
-        synth.select(F.lit(1).alias("side"), *fields)
-    )
-    values = long_values(both, fields, ["side"])
-    return running_counts(
-        values, {"real": F.count_if(F.col("side") == 0), "synth": F.count_if(F.col("side") == 1)}
-    )
-
-
 def value_steps(df: DataFrame, fields) -> DataFrame:
     """One-sample version: n, cum_n, total_n per distinct value of every field."""
     return running_counts(long_values(df.select(*fields), fields), {"n": F.count(F.lit(1))})
