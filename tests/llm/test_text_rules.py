@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import string
 from collections import Counter
 
 import pytest
@@ -94,6 +95,28 @@ class TestSecrets:
             kinds = Counter(k for *_, k in want)
             assert (row.n_assign, row.n_access, row.n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
 
+    @pytest.mark.parametrize(
+        "alphabet",
+        [string.ascii_letters + string.digits, string.ascii_letters, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits]
+        + ["0123456789ABCDEF", string.ascii_letters + string.digits + "+/"],
+    )
+    def test_random_keys_are_found(self, alphabet):
+        rng = random.Random(5)
+        for length, least in ((20, 0.92), (32, 0.98)):
+            keys = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(600)]
+            assert sum(bool(secret_scans.scan(f"a {k}.")) for k in keys) >= least * 600
+
+    def test_names_slugs_and_alphabets_are_no_keys_but_what_stands_behind_them_is(self):
+        spared = [
+            "getUserNameFromTableOfCustomers", "Donaudampfschifffahrtsgesellschaftskapitaen", "New-York-City-2020-Report_final",
+            "550e8400-e29b-41d4-a716-446655440000", "12345678901234567890123", "internationalization2020", "2024-01-01T00-00-00_backup_v2",
+            string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/",
+        ]
+        assert [t for t in spared if secret_scans.scan(t)] == []
+        rng = random.Random(6)
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+        assert secret_scans.scan("0123456789abcdef" + key) == [(16, 56, "entropy")]
+
     def test_entropy_finds_random_strings_and_spares_the_rest(self):
         assert [k for *_, k in secret_scans.scan(self.TEXTS[8])] == ["entropy"]
         assert secret_scans.scan(self.TEXTS[7]) == []

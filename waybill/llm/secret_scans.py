@@ -1,10 +1,11 @@
 """Secrets in texts: fixed patterns, and strings of high entropy.
 
 Candidates are the maximal runs of token characters of `WINDOW` or more. In each, a window slides
-over the stretches of one character class; the counts in the window change by one character in
+over the stretches of every character class; the counts in the window change by one character in
 and one out, so each step costs the same whatever the window's length. Windows whose Shannon
-entropy reaches the class's threshold are flagged and merged. Allow-listed strings (UUIDs, plain
-numbers, alphabets, words without a digit) and stretches a pattern already reports add nothing.
+entropy reaches the class's threshold are flagged and merged. The allow-list suppresses flagged
+spans, not runs: numbers, names, words with a number and slugs; UUIDs and alphabets are cut out and
+what stands around them is scanned. Spans a pattern already reports add nothing.
 
 Spans count code points, the end exclusive, sorted by start, then kind. Defined results: a null
 or empty text has no spans; rows are scanned one by one, so repeats give repeats; other columns
@@ -28,22 +29,45 @@ from waybill.llm.words import bounded_batches
 WINDOW = 20
 KINDS = ("assign", "access", "hex", "entropy")
 BASE_KINDS = KINDS[:3]
-#: Bits per character from which a window is flagged, by class.
+#: Bits per character from which a window is flagged, by class of characters: the level that 99 of
+#: 100 random keys of `WINDOW` characters of the class reach, and for what words reach as well, more.
 CLASSES = {
-    "hex": (re.compile(r"[0-9a-fA-F]{%d,}" % WINDOW), 3.0),
-    "token": (re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW), 3.9),
+    "hex": (re.compile(r"[0-9a-f]{%d,}" % WINDOW), 2.85),
+    "HEX": (re.compile(r"[0-9A-F]{%d,}" % WINDOW), 2.85),
+    "lower_digits": (re.compile(r"[0-9a-z]{%d,}" % WINDOW), 3.4),
+    "upper_digits": (re.compile(r"[0-9A-Z]{%d,}" % WINDOW), 3.4),
+    "word": (re.compile(r"[a-z]{%d,}|[A-Z]{%d,}" % (WINDOW, WINDOW)), 3.75),
+    "letters": (re.compile(r"[A-Za-z]{%d,}" % WINDOW), 3.55),
+    "base62": (re.compile(r"[0-9A-Za-z]{%d,}" % WINDOW), 3.65),
+    "base64": (re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW), 3.85),
 }
+#: What a flagged span of a class has to hold; a class without an entry takes any.
+HOLDS = {
+    "hex": (r"[0-9]", r"[a-f]"),
+    "HEX": (r"[0-9]", r"[A-F]"),
+    "lower_digits": (r"[0-9].*[0-9]", r"[a-z]"),
+    "upper_digits": (r"[0-9].*[0-9]", r"[A-Z]"),
+    "letters": (r"[a-z]", r"[A-Z]"),
+    "base62": (r"[0-9]", r"[a-z]", r"[A-Z]"),
+}
+HOLDS = {name: tuple(map(re.compile, parts)) for name, parts in HOLDS.items()}
+_WORD = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
+#: Spans that are no secrets: numbers, names in camel case, a word with a number, slugs of words and numbers.
 ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9+/_=-]+"),
-    re.compile(r"[A-Za-z+/_=-]+"),
+    re.compile(r"[a-z]*(?:[A-Z][a-z]{2,}|(?:As|At|By|Do|Id|In|Is|It|No|Of|On|Or|To|Up)(?![a-z]))+"),
+    re.compile(r"[A-Za-z][a-z]+[0-9]+|[A-Z]+[0-9]+|[0-9]+(?:[A-Z]?[a-z]+|[A-Z]+)"),
+    re.compile(rf"[+/_=-]*{_WORD}(?:[+/_=-]+{_WORD})+[+/_=-]*"),
 )
+#: Stretches that are skipped while what stands around them is scanned: UUIDs and alphabets.
+_UUID = r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"
 ALPHABETS = (
     "0123456789abcdef",
     "0123456789ABCDEF",
     "abcdefghijklmnopqrstuvwxyz",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
 )
+_SKIPPED = re.compile("|".join([_UUID, *sorted(ALPHABETS, key=len, reverse=True)]))
 
 
 def _either_case(word: str) -> str:
@@ -89,8 +113,20 @@ def entropy_spans(text: str, least_bits: float) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def _allowed(found: str) -> bool:
-    return any(p.fullmatch(found) for p in ALLOWED) or any(found in 3 * a or a in found for a in ALPHABETS)
+def _random_spans(run: str) -> Iterator[tuple[int, int]]:
+    """Spans of a candidate run that look random, for some class of characters."""
+    at = 0
+    for skipped in [*_SKIPPED.finditer(run), None]:
+        piece = run[at : skipped.start() if skipped else len(run)]
+        if len(piece) >= WINDOW:
+            for name, (pattern, bits) in CLASSES.items():
+                for m in pattern.finditer(piece):
+                    for start, end in entropy_spans(m.group(), bits):
+                        found = m.group()[start:end]
+                        holds = all(p.search(found) for p in HOLDS.get(name, ()))
+                        if holds and not any(p.fullmatch(found) for p in ALLOWED):
+                            yield at + m.start() + start, at + m.start() + end
+        at = skipped.end() if skipped else at
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -118,12 +154,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
             (at + m.start(), at + m.end(), "access") for m in _ACCESS.finditer(run) if m.end() - m.start() >= 20
         ]
         base += [(at + m.start(), at + m.end(), "hex") for m in _HEX.finditer(run)]
-        if _allowed(run):
-            continue
-        for pattern, bits in CLASSES.values():
-            for m in pattern.finditer(run):
-                spans = entropy_spans(m.group(), bits)
-                high += [(at + m.start() + s, at + m.start() + e) for s, e in spans if not _allowed(m.group()[s:e])]
+        high += [(at + s, at + e) for s, e in _random_spans(run)]
     known = _merged([(s, e) for s, e, _ in base])
 
     def reported(start: int, end: int) -> bool:
