@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from waybill import schema as S
-from waybill.operators import audit, fidelity, forest, models, oversample, privacy, ranking
+from waybill.operators import audit, fidelity, forest, models, oversample, privacy, ranking, repair, synth
+from waybill.operators.resample import first_by_id
 from waybill.plans import sweep
 from waybill.plans.generate import generate
 
@@ -106,8 +107,8 @@ def test_sweep_equals_its_cells_taken_one_by_one(labelled):
         cell = out[(out["architecture"] == architecture) & (out["level"] == level)]
         got = dict(zip(cell["metric"], cell["value"], strict=True))
         rows, stats = generate(labelled, level, architecture, n, 7)
-        synth, drawn = rows.cache(), stats.first()
-        near = privacy.dcr_summary(privacy.dcr_distances(labelled, synth)).first()
+        made, drawn = rows.cache(), stats.first()
+        near = privacy.dcr_summary(privacy.dcr_distances(labelled, made)).first()
         want = {
             "reject_drawn": drawn.drawn,
             "reject_kept_n": n,
@@ -115,10 +116,10 @@ def test_sweep_equals_its_cells_taken_one_by_one(labelled):
             "label2_raw_rate": drawn.raw_label2_rate,
             "dcr_mean": near.dcr_mean,
             "dcr_p5": near.dcr_p5,
-            "nnaa": privacy.nnaa_score(privacy.nnaa_distances(labelled, synth)).first().nnaa,
-            "ks_mean": fidelity.ks_complement(labelled, synth).agg(F.avg("ks")).first()[0],
-            "js_mean": fidelity.js_divergence(labelled, synth).agg(F.avg("js")).first()[0],
-            "cvr": audit.integrity_score(synth).first().integrity_violation_pct,
+            "nnaa": privacy.nnaa_score(privacy.nnaa_distances(labelled, made)).first().nnaa,
+            "ks_mean": fidelity.ks_complement(labelled, made).agg(F.avg("ks")).first()[0],
+            "js_mean": fidelity.js_divergence(labelled, made).agg(F.avg("js")).first()[0],
+            "cvr": audit.integrity_score(made).first().integrity_violation_pct,
         }
         assert {m: got[m] for m in want} == pytest.approx(want, abs=1.01e-4)
         assert 0 <= got["business_utility"] <= 1 and got["bus_ratio"] > 0 and abs(got["f1_gap"]) < 1
@@ -162,6 +163,32 @@ def test_membership_audit_of_levels(labelled):
         assert got["mia_tpr_at_fpr"] == privacy.tpr_at_fpr(scores).first()[0]
 
 
+def test_mechanism_equals_the_single_operators(labelled):
+    out = {r.level: r for r in sweep.run_mechanism(labelled, 120, **SMALL).collect()}
+    assert set(out) == set(sweep.TIERS) and out["none"].kept == 120
+    marked = ranking.member_split(labelled, 0.5, 42)
+    members, others = marked.where("is_member").drop("is_member").cache(), marked.where("not is_member").drop("is_member")
+    for tier in ("none", "strict"):
+        draws = synth.copula(members, 42)(0, 300)
+        kept = first_by_id(repair.tiered_rejection(draws, tier), 120).cache()
+        near = privacy.dcr_summary(privacy.dcr_distances(members, kept)).first()
+        row = out[tier]
+        assert (row.kept, row.dcr_mean, row.dcr_p5) == (kept.count(), near.dcr_mean, near.dcr_p5)
+        assert row.cvr == audit.integrity_score(kept).first().integrity_violation_pct
+        assert row.mia_auc == privacy.roc_auc(privacy.mia_scores(members, others, kept)).first()[0]
+        assert row.nnaa == privacy.nnaa_score(privacy.nnaa_distances(members, kept)).first().nnaa
+
+
+def test_a_failed_gate_stops_the_workflow(labelled):
+    out = sweep.run_workflow(labelled.withColumn(S.SHIP, F.lit("2001-01-01 00:00:00").cast("timestamp")), gate=("ship_before_capture",))
+    assert out["stopped"] == ["ship_before_capture"] and set(out) == {"derived", "preflight", "stopped"}
+
+
+def test_empty_columns_are_not_drawn(labelled):
+    rows, _ = generate(labelled.withColumn("item_id", F.lit(None).cast("string")), "none", "TVAE", 50)
+    assert "item_id" not in rows.columns and rows.count() == 50
+
+
 def test_workflow_runs_to_its_end(labelled):
     out = sweep.run_workflow(labelled, until=4, n=120, **SMALL)
     assert out["synthetic"].count() == 120

@@ -103,11 +103,14 @@ def nnaa_score(distances: DataFrame) -> DataFrame:
     )
 
 
-def distance_distributions(real: DataFrame, synth: DataFrame, bins: int = 20):
+def distance_distributions(real: DataFrame, synth: DataFrame, bins: int = 20, digits: int | None = None):
     """Summary and histogram of all three distances: of every synthetic row to real ones (dcr), and
     of held-out rows to real (d_real) and to other synthetic rows (d_synth)."""
     closest = dcr_distances(real, synth).withColumnRenamed("distance", "dcr")
     held = nnaa_distances(real, synth)
+    if digits is not None:
+        closest = closest.withColumn("dcr", F.round("dcr", digits))
+        held = held.withColumns({c: F.round(c, digits) for c in ("d_real", "d_synth")})
     tables = [distance_tables(closest, ["dcr"], bins), distance_tables(held, ["d_real", "d_synth"], bins)]
     return tuple(a.unionByName(b) for a, b in zip(*tables, strict=True))
 

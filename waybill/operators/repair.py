@@ -73,12 +73,17 @@ def rejection_filter(df: DataFrame, rules=None) -> DataFrame:
     return df.where(rejection_predicate(df, rules))
 
 
-def tiered_rejection(df: DataFrame, level: str) -> DataFrame:
-    """none / moderate / strict rejection for rows without dates; NULL rejects."""
+def tier_predicate(df: DataFrame, level: str) -> Column:
+    """TRUE on rows that none / moderate / strict rejection keeps, for rows without dates; NULL rejects."""
     if level not in ("moderate", "strict"):
-        return df
+        return F.lit(True)
     f = Fields(df)
     keep = (f.number(S.TRANSIT) > 0) & (f.number(S.PROMISED) >= 0) & in_label_domain(f)
     if level == "strict":
         keep = keep & (f.number(S.LABEL) == label_from_sla(f.number(S.SLA)))
-    return df.where(F.coalesce(keep, F.lit(False)))
+    return F.coalesce(keep, F.lit(False))
+
+
+def tiered_rejection(df: DataFrame, level: str) -> DataFrame:
+    """The rows that a tier keeps."""
+    return df.where(tier_predicate(df, level))

@@ -97,6 +97,20 @@ def mia_audit(spark, sf_dir):
     return sweep.run_mia_audit(real, *GRID, _made_rows(spark, sf_dir))
 
 
+@query
+def mechanism_metrics(spark, sf_dir):
+    """Ten metrics for each of three rejection tiers of copula draws, on a member split."""
+    return sweep.run_mechanism(D.canonical(spark, sf_dir), _made_rows(spark, sf_dir), **SIZE)
+
+
+@query
+def workflow_evaluation(spark, sf_dir):
+    """The whole workflow, to the metrics of its fourth phase."""
+    raw = D.deliveries(spark, sf_dir).drop("h", "l_suppkey")
+    out = sweep.run_workflow(raw, until=4, n=_made_rows(spark, sf_dir), gate=("forbidden_features",), **SIZE)
+    return out["evaluation"]
+
+
 @query
 def workflow_audit(spark, sf_dir):
     """Derive, gate, audit and repair in one go: the audit table of the second phase."""

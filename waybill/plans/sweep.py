@@ -21,6 +21,7 @@ from waybill.operators.ledger import js_divergence, ks_wasserstein, value_ledger
 from waybill.operators.models import DEPTH, FOLDS, TREES
 from waybill.operators.neighbours import nearest_distance
 from waybill.operators.ranking import hash_rank, time_folds
+from waybill.operators.repair import tier_predicate
 from waybill.operators.resample import KEEP, Pool, draw_pool
 from waybill.operators.rules import carrier_vocabulary
 from waybill.operators.synth import bootstrap_index
@@ -303,32 +304,86 @@ def run_mia_audit(
     for seed in grid.seeds:
         marked = materialised(ranking.member_split(real, share, seed))
         members = marked.where("is_member").drop("is_member")
-        one = Grid(grid.levels, grid.architectures, [seed])
-        stats = scalar(scale_stats(members, columns))
-        drawn = _drawn(members, one, n).survivors()
-        rows = _scaled_rows(drawn, stats, columns, "run", "mask")
-        held.append(_by_level(rows, grid, *columns))
-        cells = [i for i, (_, _, s) in enumerate(grid.runs) if s == seed]
-        every = [r * len(grid.levels) + j for r in cells for j in range(len(grid.levels))]
-        queries = _scaled_rows(marked, stats, columns, S.ROW_ID, "is_member")
-        asked.append(queries.withColumn("cell", F.explode(F.array(*[F.lit(c) for c in every]))))
-    queries = reduce(DataFrame.unionByName, asked)
-    queries = stored(queries.withColumn("key", F.concat_ws("|", "cell", "is_member", S.ROW_ID)))
-    near = nearest_distance(queries, reduce(DataFrame.unionByName, held), columns, key="key", group="cell")
+        drawn = _drawn(members, Grid(grid.levels, grid.architectures, [seed]), n).survivors()
+        cells = [r * len(grid.levels) + j for r, (_, _, s) in enumerate(grid.runs) if s == seed for j in range(len(grid.levels))]
+        queries, rows = _attack(marked, members, drawn, grid, columns, cells)
+        asked.append(queries)
+        held.append(rows)
+    return grid.named(_attack_rates(reduce(DataFrame.unionByName, asked), reduce(DataFrame.unionByName, held), columns))
+
+
+def _attack(marked: DataFrame, members: DataFrame, drawn: DataFrame, grid: Grid, columns, cells: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Every real row once for each cell, and the rows of the cells, scaled by the members."""
+    stats = scalar(scale_stats(members, columns))
+    rows = _by_level(_scaled_rows(drawn, stats, columns, "run", "mask"), grid, *columns)
+    queries = _scaled_rows(marked, stats, columns, S.ROW_ID, "is_member")
+    return queries.withColumn("cell", F.explode(F.array(*[F.lit(c) for c in cells]))), rows
+
+
+def _attack_rates(asked: DataFrame, held: DataFrame, columns) -> DataFrame:
+    """AUC and hit rate of every cell, from one search that keeps the cells apart."""
+    queries = stored(asked.withColumn("key", F.concat_ws("|", "cell", "is_member", S.ROW_ID)))
+    near = nearest_distance(queries, held, columns, key="key", group="cell")
     parts = F.split("key", r"\|", 3)
     scores = stored(near.select(F.get(parts, 0).cast("int").alias("cell"), (F.get(parts, 1) == "true").alias("is_member"), (-F.col("distance")).alias("score")))
     rates = privacy.roc_auc(scores, ["cell"]).join(privacy.tpr_at_fpr(scores, by=["cell"]), "cell")
-    return grid.named(_long(rates, ["mia_auc", "mia_tpr_at_fpr"]))
+    return _long(rates, ["mia_auc", "mia_tpr_at_fpr"])
 
 
-def run_workflow(raw: DataFrame, until: int = 4, architecture: str = "TVAE", n: int | None = None, **options):
+#: Rejection tiers of the mechanism table, and how many draws it makes for each row it keeps at most.
+TIERS = ("none", "moderate", "strict")
+OVERDRAW = 2.5
+MECHANISM = ("kept", "cvr", "dcr_mean", "dcr_p5", "nnaa", "mia_auc", "business_utility", "f1_gap", "ks_mean", "js_mean")
+
+
+def run_mechanism(
+    real: DataFrame, n: int, tiers=TIERS, seed: int = 42, share: float = 0.5, trees: int = TREES, depth: int = DEPTH, fit_rows: int = FIT_ROWS, k: int = FOLDS
+) -> DataFrame:
+    """(level, ten metrics): what rejecting copula draws by tier does to every pillar, on a member split.
+
+    The copula is fitted on members. Each draw is made once and marked with the tiers that keep it;
+    at most 2.5 n are drawn, so a tier may keep fewer than n rows.
+    """
+    marked = materialised(ranking.member_split(real, share, seed))
+    members = marked.where("is_member").drop("is_member")
+    grid = Grid(list(tiers), ["copula"], [int(seed)])
+
+    def mark(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"{KEEP}{tier}": tier_predicate(df, tier) for tier in tiers})
+
+    ((run, _, _),) = grid.runs
+    pool = draw_pool({run: (generator(members, "copula", seed), mark)}, n, list(tiers), OVERDRAW)
+    rows = pool.survivors()
+    ((columns, runs),) = _compared(members, grid).items()
+    kept = _statistics(pool, grid).where("metric = 'reject_kept_n'").withColumn("metric", F.lit("kept"))
+    asked, held = _attack(marked, members, rows, grid, columns, list(range(len(tiers))))
+    parts = [
+        kept,
+        _integrity(rows, grid),
+        _fidelity(members, rows, grid, columns, runs),
+        _privacy(members, rows, grid, columns, runs, seed),
+        _utility(members, rows, grid, n, None, None, trees, depth, fit_rows, k),
+        _attack_rates(asked, held, columns),
+    ]
+    named = grid.named(reduce(DataFrame.unionByName, parts))
+    return named.groupBy("level").pivot("metric", list(MECHANISM)).agg(F.first("value"))
+
+
+def run_workflow(
+    raw: DataFrame, until: int = 4, architecture: str = "TVAE", n: int | None = None, gate: tuple[str, ...] = (), **options
+):
     """Load, derive, gate, audit, repair, generate, evaluate; stops after phase `until`.
 
-    Returns the named result tables of the phases that ran.
+    gate: preflight checks that must pass; if one fails the run ends there, before anything is
+    audited or generated. Returns the named result tables of the phases that ran, with `stopped`
+    naming the failed checks.
     """
     derived = derive_features(raw)
-    out = {"derived": derived, "preflight": checks.preflight_checks(derived)}
-    if until <= 1:
+    out = {"derived": derived, "preflight": checks.preflight_checks(derived), "stopped": []}
+    if gate:
+        failed = out["preflight"].where(F.col("check_name").isin(list(gate)) & ~F.col("passed"))
+        out["stopped"] = sorted(r["check_name"] for r in failed.collect())
+    if until <= 1 or out["stopped"]:
         return out
     vocabulary = carrier_vocabulary(derived)
     out["catalog_audit"] = audit.catalog_audit(derived, load_catalog(raw.sparkSession), vocabulary)
