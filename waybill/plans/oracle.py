@@ -955,16 +955,18 @@ view("w_nnaa", "SELECT row_id, a.distance AS d_real, s.distance AS d_synth FROM
 oracle("nnaa", "SELECT round(avg((d_real < d_synth)::INTEGER), 4) AS nnaa, count(*) AS n FROM w_nnaa")
 view("w_three", "SELECT 'dcr' AS field, distance AS value FROM w_nn_dcr UNION ALL SELECT 'd_real', d_real FROM w_nnaa UNION ALL SELECT 'd_synth', d_synth FROM w_nnaa")
 oracle("privacy_distributions", f"SELECT field, {_SUM} FROM w_three GROUP BY 1")
+view("w_hist", "SELECT field, round(value, 9) AS v FROM w_three WHERE value IS NOT NULL")
+view("w_hist_ends", "SELECT field, min(v) AS lo, max(v) AS hi FROM w_hist GROUP BY 1")
+view(
+    "w_hist_range",
+    "SELECT field, CASE WHEN lo = hi THEN lo - 0.5::DOUBLE ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5::DOUBLE ELSE hi END AS hi FROM w_hist_ends",
+)
+view("w_hist_bins", "SELECT field, lo, (hi - lo)/20.0::DOUBLE AS w, i::INTEGER AS bin FROM w_hist_range, range(20) t(i)")
 oracle(
     "privacy_histograms",
     """
-    WITH v AS (SELECT field, round(value, 9) AS v FROM w_three WHERE value IS NOT NULL),
-    e AS (SELECT field, min(v) AS lo, max(v) AS hi FROM v GROUP BY 1),
-    r AS (SELECT field, CASE WHEN lo = hi THEN lo - 0.5::DOUBLE ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5::DOUBLE ELSE hi END AS hi FROM e),
-    b AS (SELECT field, lo, (hi - lo)/20.0::DOUBLE AS w, i::INTEGER AS bin FROM r, range(20) t(i))
-    SELECT b.field, bin, round(lo + bin*w, 6) AS low_edge, round(lo + (bin + 1)*w, 6) AS high_edge,
-      count(v.v) AS n
-    FROM b LEFT JOIN v ON v.field = b.field AND v.v >= lo + bin*w AND (bin = 19 OR v.v < lo + (bin + 1)*w)
+    SELECT b.field, bin, round(lo + bin*w, 6) AS low_edge, round(lo + (bin + 1)*w, 6) AS high_edge, count(v.v) AS n
+    FROM w_hist_bins b LEFT JOIN w_hist v ON v.field = b.field AND v.v >= lo + bin*w AND (bin = 19 OR v.v < lo + (bin + 1)*w)
     GROUP BY b.field, bin, lo, w
     """,
 )

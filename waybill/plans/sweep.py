@@ -330,6 +330,24 @@ def _attack_rates(asked: DataFrame, held: DataFrame, columns) -> DataFrame:
     return _long(rates, ["mia_auc", "mia_tpr_at_fpr"])
 
 
+def evaluate_draws(
+    real: DataFrame, rows: DataFrame, architecture: str = "TVAE", seed: int = 42, baseline: DataFrame | None = None, features=None,
+    trees: int = TREES, depth: int = DEPTH, fit_rows: int = FIT_ROWS, k: int = FOLDS,
+) -> DataFrame:
+    """(metric, value): the ten sweep metrics of numbered draws, as a sweep of one cell.
+
+    The baseline's folds are fitted along with it unless it is given.
+    """
+    grid = Grid(["drawn"], [architecture], [int(seed)])
+    ((run, _, _),) = grid.runs
+    rows = stored(rows.withColumns({"run": F.lit(run), "mask": F.lit(1)}))
+    parts = [_integrity(rows, grid)]
+    for columns, runs in _compared(real, grid).items():
+        parts += [_fidelity(real, rows, grid, columns, runs), _privacy(real, rows, grid, columns, runs, seed)]
+    parts.append(_utility(real, rows, grid, rows.count(), baseline, features, trees, depth, fit_rows, k))
+    return reduce(DataFrame.unionByName, parts).select("metric", "value")
+
+
 #: Rejection tiers of the mechanism table, and how many draws it makes for each row it keeps at most.
 TIERS = ("none", "moderate", "strict")
 OVERDRAW = 2.5
@@ -395,7 +413,5 @@ def run_workflow(
     out["synthetic"], out["draw_stats"] = rows, stats
     if until <= 3:
         return out
-    baseline = materialised(models.trtr_baseline(clean, **options))
-    out["baseline"] = baseline
-    out["evaluation"] = evaluate_synth(clean, materialised(rows), baseline, **options)
+    out["evaluation"] = evaluate_draws(clean, rows, architecture, **options)
     return out
