@@ -96,6 +96,21 @@ def test_hash_rank_and_samples(spark):
     assert set(again.row_id) == set(ranking.hash_sample(df, 10).toPandas().row_id)
 
 
+def test_selected_rows_are_those_of_a_full_sort(spark, monkeypatch):
+    """Few values, one that many rows share, and groups small enough to be numbered only after several looks."""
+    monkeypatch.setattr(ranking, "LOOK_BINS", 4)
+    monkeypatch.setattr(ranking, "NUMBERED_ROWS", 3)
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.integers(0, 10**6, 300), np.full(400, 777), [10**15] * 5]).astype(float)
+    rows = pd.DataFrame({"row_id": [f"r{i}" for i in range(705)], "_t": values})
+    df = spark.createDataFrame(rows).withColumn("_digest", F.md5("row_id"))
+    full = df.toPandas().sort_values(["_t", "_digest", "row_id"]).reset_index(drop=True)
+    ranks = [1, 2, 100, 305, 500, 699, 700, 701, 705]
+    got = ranking.ranked_rows(df, ranks)
+    assert {r: got[r]["row_id"] for r in ranks} == {r: full["row_id"][r - 1] for r in ranks}
+    assert ranking.ranked_rows(df, [706]) == {} and ranking.ranked_rows(df.limit(0), [1]) == {}
+
+
 def test_time_folds_with_one_crowded_timestamp(spark):
     times = pd.to_datetime(["2026-01-01"] * 400 + list(pd.date_range("2026-01-02", periods=598, freq="h")) + [None] * 2)
     df = spark.createDataFrame(pd.DataFrame({"row_id": [f"r{i}" for i in range(1000)], S.CREATED: times}))
