@@ -1001,10 +1001,10 @@ view("w_indexed", f"SELECT *, row_number() OVER ({_order('boot')}) AS idx FROM w
 view("w_n", "SELECT count(*) AS n FROM w_real")
 
 
-def _boot(noise: float, clip: bool) -> str:
+def _boot(noise: float, clip: bool, seed: str = "42") -> str:
     cells = []
     for i, c in enumerate(S.DURATION_COLUMNS):
-        e = q6(f"r.{c} + {noise}::DOUBLE * s.{c} * {gauss('draw_id', f'jitter{i//4}', '42', i%4)}")
+        e = q6(f"r.{c} + {noise}::DOUBLE * s.{c} * {gauss('draw_id', f'jitter{i//4}', seed, i%4)}")
         low = {"capture_latency_days": 0, "transit_duration_days": 0.01, "promised_transit_days": 0.01}.get(c)
         cells.append((f"CASE WHEN {e} < {low} THEN {low}::DOUBLE ELSE {e} END" if clip and low is not None else e) + f" AS {c}")
     return ", ".join(cells)
@@ -1099,6 +1099,105 @@ oracle(
     ),
 )
 
+# ---- the sweep's draws, integrity and fidelity: three generators, two seeds, five levels --------
+view("w_sw_n", "SELECT count(*) AS n FROM orders")
+for _seed in ("42", "43"):
+    view(f"w_sw_index{_seed}", f"SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', row_id, 'boot', '{_seed}')), row_id) AS idx FROM w_real")
+
+
+def _sweep_draws(name: str, noise: float, seed: str) -> str:
+    return f"""
+    SELECT '{name}' AS architecture, {seed} AS seed, draw_id, {_boot(noise, name == 'CTGAN', seed)}, r.delay_label, r.last_scac,
+      r.carrier_service_code, r.distance_km, r.date_order_capture, r.date_ship_last_shipment, r.date_delivery_last_shipment,
+      r.date_promise_shipment, r.date_promise_delivery
+    FROM (SELECT i AS draw_id, floor({u('i', 'pick', seed)} * (SELECT n FROM w_n))::BIGINT + 1 AS idx FROM range((SELECT 13*n FROM w_sw_n)) t(i))
+    JOIN w_sw_index{seed} r USING (idx), w_spread s
+    """
+
+
+view(
+    "w_sw_draws",
+    " UNION ALL ".join(_sweep_draws(a, noise, seed) for a, noise in (("TVAE", 0.03), ("CopulaGAN", 0.02), ("CTGAN", 0.15)) for seed in ("42", "43")),
+)
+_PAIR_OK = "(last_scac IS NULL OR carrier_service_code IS NULL OR coalesce(hit, false))"
+_sweep_levels = {
+    "none": "true",
+    "temporal": _T,
+    "moderate": _M,
+    "strict": f"{_M} AND {_PAIR_OK}",
+    "strict+reject": f"{_M} AND {_PAIR_OK} AND {_REJ}",
+}
+view(
+    "w_sw_marked",
+    f"SELECT d.*, {', '.join(f'({e}) AS ok{i}' for i, e in enumerate(_sweep_levels.values()))} FROM w_sw_draws d LEFT JOIN w_fit_pairs USING (last_scac, carrier_service_code)",
+)
+view(
+    "w_sw_counted",
+    f"""
+    SELECT architecture, seed, delay_label, capture_latency_days, transit_duration_days, promised_transit_days, shipment_buffer_days, sla_buffer,
+      {', '.join(f'ok{i}, count(*) FILTER (ok{i}) OVER w AS c{i}' for i in range(5))}
+    FROM w_sw_marked WINDOW w AS (PARTITION BY architecture, seed ORDER BY draw_id)
+    """,
+)
+view(
+    "w_sw_used",
+    " UNION ALL ".join(
+        f"SELECT architecture, seed, '{level}' AS level, ok{i} AS ok, delay_label, capture_latency_days, transit_duration_days, promised_transit_days, "
+        f"shipment_buffer_days, sla_buffer, n FROM w_sw_counted, w_sw_n WHERE c{i} < n OR (c{i} = n AND ok{i})"
+        for i, level in enumerate(_sweep_levels)
+    ),
+)
+view(
+    "w_sw_stats",
+    """
+    SELECT architecture, level, seed, count(*) AS drawn, count(*) FILTER (ok) AS kept, count(*) FILTER (delay_label = 2) AS raw2,
+      count(*) FILTER (ok AND delay_label = 2) AS kept2, any_value(n) AS n,
+      round(avg(coalesce(transit_duration_days <= 0, false)::INTEGER + coalesce(capture_latency_days < 0, false)::INTEGER
+        + (delay_label IS NULL OR delay_label NOT IN (0, 1, 2))::INTEGER) FILTER (ok) * 100.0::DOUBLE, 4) AS cvr
+    FROM w_sw_used GROUP BY ALL
+    """,
+)
+view("w_sw_real", " UNION ALL ".join(f"SELECT '{c}' AS field, {c} AS v, count(*) AS r FROM w_real WHERE {c} IS NOT NULL GROUP BY 2" for c in S.DURATION_COLUMNS))
+view(
+    "w_sw_synth",
+    f"""
+    SELECT architecture, level, seed, p.field AS field, p.v AS v, count(*) AS s FROM (
+      SELECT architecture, level, seed, unnest([{", ".join(f"{{'field': '{c}', 'v': {c}}}" for c in S.DURATION_COLUMNS)}]) AS p FROM w_sw_used WHERE ok)
+    WHERE p.v IS NOT NULL GROUP BY ALL
+    """,
+)
+view(
+    "w_sw_points",
+    """
+    SELECT architecture, level, seed, field, v, sum(r) AS r, sum(s) AS s FROM (
+      SELECT architecture, level, seed, field, v, 0 AS r, s FROM w_sw_synth
+      UNION ALL SELECT architecture, level, seed, field, v, r, 0 FROM w_sw_real, (SELECT DISTINCT architecture, level, seed FROM w_sw_stats)) GROUP BY ALL
+    """,
+)
+view(
+    "w_sw_ks",
+    """
+    SELECT architecture, level, seed, field, round((1 - max(abs(cr::DOUBLE/nr - cs::DOUBLE/ns)))::VARCHAR::DECIMAL(20,18), 4)::DOUBLE AS ks FROM (
+      SELECT *, sum(r) OVER up AS cr, sum(s) OVER up AS cs, sum(r) OVER al AS nr, sum(s) OVER al AS ns FROM w_sw_points
+      WINDOW up AS (PARTITION BY architecture, level, seed, field ORDER BY v), al AS (PARTITION BY architecture, level, seed, field)) GROUP BY ALL
+    """,
+)
+_sweep_lines = {
+    "reject_kept_n": "least(kept, n)",
+    "reject_drawn": "drawn",
+    "reject_survived": "kept",
+    "reject_survival_rate": "round(kept::DOUBLE/drawn, 4)",
+    "reject_cap_hit": "(kept < n)::INTEGER",
+    "label2_raw_rate": "round(raw2::DOUBLE/drawn, 4)",
+    "label2_kept_n": "kept2",
+    "cvr": "cvr",
+}
+oracle(
+    "sweep_measured",
+    " UNION ALL ".join(f"SELECT architecture, level, seed, '{m}' AS metric, ({e})::DOUBLE AS value FROM w_sw_stats" for m, e in _sweep_lines.items())
+    + " UNION ALL SELECT architecture, level, seed, 'ks_mean', round(round(avg(ks), 7), 4) FROM w_sw_ks GROUP BY architecture, level, seed",
+)
+
 # ---- sources and streams ---------------------------------------------------------------------
 def _result_sql(source: str, digits: int = 9) -> str:
     dates = ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in S.DATE_COLUMNS)

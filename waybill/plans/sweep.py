@@ -30,6 +30,7 @@ from waybill.sources.catalog import load_catalog
 
 #: Labelled rows that a forest of a sweep's cell is fitted on.
 FIT_ROWS = 2_000
+PILLARS = ("integrity", "fidelity", "privacy", "utility")
 LONG_SCHEMA = "architecture string, level string, seed int, metric string, value double"
 
 
@@ -266,13 +267,14 @@ def run_sweep(
     depth: int = DEPTH,
     fit_rows: int = FIT_ROWS,
     k: int = FOLDS,
-    with_models: bool = True,
+    pillars=PILLARS,
 ) -> DataFrame:
     """Long table of metrics and draw statistics of every (architecture, level, seed).
 
     All cells share their plans: draws are made once per architecture and seed and marked with the
     levels they pass; distances, fidelity, integrity and forests are worked out for all cells
     together. `fit_rows` bounds the rows each forest is fitted on; nothing else is sampled.
+    `pillars` limits what is measured besides the draws.
     """
     grid = Grid(list(levels), list(architectures), [int(s) for s in seeds])
     if not grid.size:
@@ -280,10 +282,13 @@ def run_sweep(
     real = materialised(real)
     pool = _drawn(real, grid, n)
     rows = pool.survivors()
-    parts = [_statistics(pool, grid), _integrity(rows, grid)]
+    parts = [_statistics(pool, grid)]
+    if "integrity" in pillars:
+        parts.append(_integrity(rows, grid))
     for columns, runs in _compared(real, grid).items():
-        parts += [_fidelity(real, rows, grid, columns, runs), _privacy(real, rows, grid, columns, runs)]
-    if with_models:
+        parts += [_fidelity(real, rows, grid, columns, runs)] if "fidelity" in pillars else []
+        parts += [_privacy(real, rows, grid, columns, runs)] if "privacy" in pillars else []
+    if "utility" in pillars:
         parts.append(_utility(real, rows, grid, n, baseline, features, trees, depth, fit_rows, k))
     return grid.named(reduce(DataFrame.unionByName, parts))
 
