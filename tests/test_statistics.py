@@ -185,11 +185,39 @@ def test_calibration(spark):
     assert utility.brier_score(sure).first()[0] == 0.0
 
 
-def test_p_values():
-    assert pvalues.t_two_sided(2.776445, 4) == pytest.approx(0.05, abs=1e-6)
-    assert pvalues.t_two_sided(0.0, 4) == pytest.approx(1.0)
-    assert pvalues.wilcoxon_two_sided(0, 5) == pytest.approx(0.0625)
-    assert pvalues.wilcoxon_two_sided(0, 6) == pytest.approx(0.03125)
+def test_p_values(spark):
+    t_cases = [(2.776445, 4, 0.05), (0.0, 4, 1.0), (12.706205, 1, 0.05), (4.302653, 2, 0.05), (-3.182446, 3, 0.05), (2.042272, 30, 0.05), (1.984217, 99, 0.05), (1.960083, 20_000, 0.05), (float("inf"), 5, 0.0)]
+    rows = spark.createDataFrame(t_cases, "t double, df long, p double")
+    for r in rows.select("*", pvalues.t_two_sided(F.col("t"), F.col("df")).alias("got")).collect():
+        assert r.got == pytest.approx(r.p, abs=1e-6), r
+    # Student's t integrated numerically, for odd and even degrees.
+    grid = np.linspace(0, 1.3, 200_001)
+    many = spark.createDataFrame([(1.3, d) for d in range(1, 60)], "t double, df long")
+    for r in many.select("df", pvalues.t_two_sided(F.col("t"), F.col("df")).alias("p")).collect():
+        density = np.exp(math.lgamma((r.df + 1) / 2) - math.lgamma(r.df / 2)) / math.sqrt(r.df * math.pi) * (1 + grid**2 / r.df) ** (-(r.df + 1) / 2)
+        assert r.p == pytest.approx(1 - 2 * np.trapezoid(density, grid), abs=1e-9)
+    none = spark.createDataFrame([(None, 4), (1.0, 0), (float("nan"), 3), (1.0, None)], "t double, df long")
+    assert [r.p for r in none.select(pvalues.t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()] == [None] * 4
+
+
+def test_signed_rank_p_values(spark):
+    from itertools import product
+
+    def brute(w, n):
+        sums = [sum(r for r, s in zip(range(1, n + 1), signs) if s) for signs in product((0, 1), repeat=n)]
+        return min(1.0, 2 * sum(x <= w for x in sums) / 2**n)
+
+    cases = [(float(w), n) for n in (1, 2, 5, 9) for w in range(n * (n + 1) // 4 + 1)]
+    rows = spark.createDataFrame(cases, "w double, n long")
+    for r in rows.select("*", pvalues.wilcoxon_two_sided(F.col("w"), F.col("n")).alias("p")).collect():
+        assert r.p == pytest.approx(brute(r.w, r.n), abs=1e-12)
+    other = spark.createDataFrame([(None, 0, 0.0), (514.0, 50, 0.0), (514.0, 50, 6.0), (580.0, 51, 0.0)], "w double, n long, ties double")
+    got = [r.p for r in other.select(pvalues.wilcoxon_two_sided(F.col("w"), F.col("n"), F.col("ties")).alias("p")).collect()]
+    assert got[0] is None
+    # The normal approximation is close to the exact value and uses the ties.
+    assert got[1] == pytest.approx(got[2], abs=0.01) and 0 < got[3] < 1
+    spread = math.sqrt(51 * 52 * 103 / 24)
+    assert got[3] == pytest.approx(math.erfc(abs(580 - 51 * 52 / 4) / spread / math.sqrt(2)), abs=1e-6)
 
 
 def test_significance(spark):

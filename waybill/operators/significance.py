@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from waybill.functions.pvalues import t_two_sided, wilcoxon_two_sided
 from waybill.operators.distribution import level_order
@@ -13,25 +11,6 @@ from waybill.operators.distribution import level_order
 SIGNIFICANT = 0.05
 
 
-@F.pandas_udf(T.DoubleType())
-def _t_p(t: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(a) else t_two_sided(float(a), float(b) - 1) for a, b in zip(t, n)],
-        dtype="float64",
-    )
-
-
-@F.pandas_udf(T.DoubleType())
-def _w_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            None if pd.isna(a) else wilcoxon_two_sided(float(a), int(b), float(c))
-            for a, b, c in zip(w, n, ties)
-        ],
-        dtype="float64",
-    )
-
-
 def paired_t(pairs: DataFrame, left: str, right: str, by=()) -> DataFrame:
     """(by…, n, t_stat): mean difference over its standard error; NULL without spread."""
     d = F.col(left) - F.col(right)
@@ -73,8 +52,10 @@ def wilcoxon_w(pairs: DataFrame, left: str, right: str, by=()) -> DataFrame:
 
 def significance_test(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """One row with both tests, their p-values and the verdict at 5 %."""
-    t = paired_t(pairs, left, right).withColumn("_p", _t_p("t_stat", "n"))
-    w = wilcoxon_w(pairs, left, right).withColumn("_p", _w_p("w_stat", "n_nonzero", "tie_term"))
+    t = paired_t(pairs, left, right).withColumn("_p", t_two_sided(F.col("t_stat"), F.col("n") - 1))
+    w = wilcoxon_w(pairs, left, right).withColumn(
+        "_p", wilcoxon_two_sided(F.col("w_stat"), F.col("n_nonzero"), F.col("tie_term"))
+    )
     w_row = w.select(F.struct("w_stat", "_p").alias("v")).scalar()
     return t.select(
         F.round("t_stat", 4).alias("paired_t_stat"),
@@ -127,5 +108,5 @@ def level_significance(long: DataFrame, metric: str, with_p: bool = True) -> Dat
         F.round("_t", 3).alias("t_stat"),
     ]
     if with_p:
-        columns.append(F.round(_t_p("_t", "n"), 4).alias("p_value"))
+        columns.append(F.round(t_two_sided(F.col("_t"), F.col("n") - 1), 4).alias("p_value"))
     return out.select(*columns)

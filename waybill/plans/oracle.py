@@ -840,11 +840,28 @@ oracle(
 )
 view("w_lsig", """
     SELECT architecture, 'dcr_mean' AS metric, level_a, level_b, adjacent, round(avg(a),4) AS mean_a, round(avg(b),4) AS mean_b,
-      round(CASE WHEN stddev_samp(a-b)>0 THEN avg(a-b)/(stddev_samp(a-b)/sqrt(count(*))) END, 3) AS t_stat
+      CASE WHEN stddev_samp(a-b)>0 THEN avg(a-b)/(stddev_samp(a-b)/sqrt(count(*))) END AS t, count(*) - 1 AS df
     FROM w_level_pairs WHERE metric='dcr_mean' GROUP BY 1,2,3,4,5 HAVING count(*)>=2 AND stddev_samp(a)+stddev_samp(b)>0
     """)
-oracle("level_significance", "SELECT * FROM w_lsig")
-oracle("metric_union", "SELECT architecture, level, metric, mean, NULL::DOUBLE AS t_stat FROM w_sweep UNION ALL SELECT architecture, level_a, metric, NULL, t_stat FROM w_lsig")
+# Mass between -t and t, from the series of the t distribution with gamma functions.
+_T_P = """CASE WHEN t IS NOT NULL THEN 1 - CASE WHEN df % 2 = 0 THEN
+      sqrt(t*t/(df+t*t)) * list_sum(list_transform(range(df//2), lambda k: exp(lgamma(k+0.5)-lgamma(0.5)-lgamma(k+1)) * pow(df/(df+t*t), k)))
+    ELSE 2/pi() * (atan(abs(t)/sqrt(df)) + sqrt(t*t/(df+t*t)) * sqrt(df/(df+t*t)) *
+      coalesce(list_sum(list_transform(range((df-1)//2), lambda k: exp(lgamma(k+1)+lgamma(1.5)-lgamma(k+1.5)) * pow(df/(df+t*t), k))), 0)) END END"""
+oracle("level_significance", f"SELECT * EXCLUDE (t, df), round(t, 3) AS t_stat, round({_T_P}, 4) AS p_value FROM w_lsig")
+view("w_years", """
+    SELECT a, b, a - b AS d, rank() OVER (ORDER BY abs(a - b)) + (count(*) OVER (PARTITION BY abs(a - b)) - 1) / 2.0::DOUBLE AS r FROM (
+      SELECT avg(promised_transit_days) AS a, avg(transit_duration_days) AS b FROM w_base GROUP BY year(date_order_created_omni))
+    """)
+oracle("significance_test", f"""
+    SELECT round(t, 4) AS paired_t_stat, round({_T_P}, 4) AS paired_t_pvalue, round(w, 4) AS wilcoxon_stat, round(least(1, 2.0::DOUBLE * (
+        SELECT count(*) FROM range((1 << n)::BIGINT) p(signs)
+        WHERE list_sum(list_transform(range(n), lambda i: CASE WHEN (signs >> i) & 1 = 1 THEN i + 1 ELSE 0 END)) <= w) / (1 << n)), 4) AS wilcoxon_pvalue,
+      coalesce({_T_P} < 0.05, false) AS significant_005
+    FROM (SELECT avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, count(*) - 1 AS df, count(*) AS n,
+      least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w FROM w_years)
+    """)
+oracle("metric_union", "SELECT architecture, level, metric, mean, NULL::DOUBLE AS t_stat FROM w_sweep UNION ALL SELECT architecture, level_a, metric, NULL, round(t, 3) FROM w_lsig")
 view("w_wide", """
     SELECT last_shipnode AS model, round(0.8+0.2*s0,6) AS ks_mean, round(0.7+0.3*s1,6) AS tvd_mean, round(s2/3,6) AS js_mean,
       round(t/10,6) AS wasserstein_mean, round(t/5,6) AS dcr_mean, round(t/50,6) AS dcr_min, round(t/20,6) AS dcr_p5, round(0.4+s1/2,6) AS nnaa,

@@ -270,9 +270,7 @@ def significance_test(spark, sf_dir):
 
 @query
 def level_significance(spark, sf_dir):
-    return significance.level_significance(
-        D.metric_long(spark, sf_dir), "dcr_mean", with_p=False
-    )
+    return significance.level_significance(D.metric_long(spark, sf_dir), "dcr_mean")
 
 
 @query
