@@ -238,3 +238,28 @@ def test_results_do_not_depend_on_partitioning(spark):
 
     df = audited(spark, SMALL)
     assert counts(df) == counts(df.repartition(13))
+
+
+def test_identities_of_many_terms_are_found(spark):
+    import numpy as np
+
+    from waybill.operators.identities import linear_identities, null_identities
+
+    draw = np.random.default_rng(4).normal(size=(400, 6)) * [1, 10, 0.1, 3, 100, 5] + [0, 1e4, 5, 0, 0, 2]
+    a, b, c, d, e, free = draw.T
+    target = a - b + 2 * c + 0.5 * d - e + 3
+    table = {"t": target, "a": a, "b": b, "c": c, "d": d, "e": e, "free": free, "twin": a + b, "fixed": np.full(400, 7.0)}
+    rows = [tuple(float(v[i]) for v in table.values()) for i in range(400)]
+    df = spark.createDataFrame([*rows, (None, *rows[0][1:]), (float("nan"), *rows[1][1:])], ", ".join(f"{k} double" for k in table))
+    found = {r.dependent: r for r in linear_identities(df, "t", list(table)[1:]).collect()}
+    assert set(found) == {"t", "twin", "fixed"}
+    assert found["t"].identity == "+a-b+2*c+0.5*d-e+3" and found["t"].terms == 5
+    assert found["t"].leaks and found["t"].max_abs_residual < 1e-6 and found["t"].n == 400
+    assert found["twin"].identity == "+a+b" and found["twin"].holds and not found["twin"].leaks
+    assert found["fixed"].identity == "+7" and not found["fixed"].leaks
+    # One broken row is no identity any more; nothing is known without rows.
+    broken = df.where("t IS NOT NULL").withColumn("t", F.when(F.col("a") == rows[0][1], F.col("t") + 1).otherwise(F.col("t")))
+    assert not linear_identities(broken, "t", list(table)[1:]).where("leaks").count()
+    assert linear_identities(df.where("false"), "t", ["a"]).count() == 0
+    assert linear_identities(df, "t", ["a", "free"]).count() == 0
+    assert null_identities(np.zeros((2, 2))) == [(0, {}), (1, {})]

@@ -541,11 +541,15 @@ for _n in (1, 2, 3):
         for _signs in _prod((1, -1), repeat=_n):
             _text = "".join(f"{'+' if s > 0 else '-'}{c}" for c, s in zip(_names, _signs))
             _sum = " + ".join(f"{c} * {s}" for c, s in zip(_names, _signs))
-            _rows.append(f"SELECT '{_text}' AS identity, max(abs(sla_buffer - ({_sum}))) AS r FROM w_base")
+            _rows.append(f"SELECT '{_text}' AS identity, max(abs(sla_buffer - ({_sum}))) AS r, count(sla_buffer - ({_sum})) AS n FROM w_base")
 oracle(
     "leakage_identities",
     "SELECT identity, round(r, 6) AS max_abs_residual, r < 1e-6 AS leaks FROM (" + " UNION ALL ".join(_rows) + ")",
 )
+oracle(
+    "linear_identities",
+    "SELECT identity, round(r, 6) AS max_abs_residual, n FROM (" + " UNION ALL ".join(_rows) + ") WHERE r < 1e-6",
+)
 
 # ---- distributions -------------------------------------------------------------------
 oracle("label_distribution", "SELECT delay_label AS label, count(*) AS n, round(count(*)::DOUBLE/(SELECT count(*) FROM w_audited),4) AS share FROM w_audited GROUP BY 1")
@@ -1284,6 +1288,27 @@ oracle(
     """,
 )
 oracle("stream_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+# Rows by the part of the month they arrive in; the watermark is a day behind what came before.
+view(
+    "w_arrivals",
+    """
+    SELECT *, (SELECT max(e.ts) - INTERVAL 1 DAY FROM w_parts e WHERE e.part < a.part) AS mark FROM w_parts a
+    """,
+)
+view(
+    "w_parts",
+    """
+    SELECT event_id, ts, value, least(3, (day(ts) - 1) // 8 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS part FROM events
+    """,
+)
+oracle(
+    "stream_late_rows",
+    """
+    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) FILTER (NOT late) AS n,
+      count(*) FILTER (NOT late AND value > 50) AS violations, count(*) FILTER (late) AS n_late
+    FROM (SELECT *, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM w_arrivals) GROUP BY 1
+    """,
+)
 oracle(
     "workflow_audit",
     " UNION ALL ".join(

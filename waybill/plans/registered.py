@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill import schema as S
-from waybill.operators import audit, checks, custom, derive, ladder, repair, rules
+from waybill.operators import audit, checks, custom, derive, identities, ladder, repair, rules
 from waybill.sources import driver_tables as D
 from waybill.sources.catalog import load_catalog
 from waybill.sources.sinks import records
@@ -309,3 +309,12 @@ def record_export(spark, sf_dir):
 @query
 def leakage_identities(spark, sf_dir):
     return checks.leakage_identities(D.canonical(spark, sf_dir, []))
+
+
+@query
+def linear_identities(spark, sf_dir):
+    """Identities that give the label source, of any number of terms."""
+    found = identities.linear_identities(D.canonical(spark, sf_dir, []))
+    return found.where("leaks").select(
+        "identity", F.round("max_abs_residual", 6).alias("max_abs_residual"), "n"
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waybill import schema as S
+from waybill.functions.small import fresh_path
 from waybill.operators.rules import carrier_vocabulary
 from waybill.plans.registered import query
 from waybill.sources import driver_tables as D
@@ -106,3 +107,20 @@ def stream_dedup(spark, sf_dir):
     twice = events.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     once = A.run_once(A.drop_repeats(twice, "event_id", "ts", "1 day").drop("copy"))
     return once.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Events per day, delivered in four parts, a tenth of them one part late: a micro-batch each."""
+    events = D.table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 50).alias("quarantined")
+    )
+    behind = F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    part = F.least(F.lit(3), F.floor((F.dayofmonth("ts") - 1) / 8) + behind)
+    folder = fresh_path(spark)
+    for k in range(4):
+        # What has arrived so far is processed; the next part goes on from the stored progress.
+        events.where(part == k).write.mode("append").parquet(f"{folder}/events")
+        stream = A.parquet_stream(spark, f"{folder}/events")
+        rates = A.rates_with_late(stream, f"{folder}/state", "ts", "1 day", "1 day")
+    return records(rates)

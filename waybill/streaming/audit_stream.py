@@ -100,3 +100,68 @@ def latest_batch(rows: DataFrame, keys) -> DataFrame:
     values = [c for c in rows.columns if c not in (*keys, "batch")]
     newest: list[Column] = [F.max_by(c, "batch").alias(c) for c in values]
     return rows.groupBy(*keys).agg(*newest)
+
+
+MARK = "_mark"
+
+
+def rates_with_late(
+    stream: DataFrame,
+    folder: str,
+    time: str = S.CREATED,
+    size: str = "7 days",
+    late: str = "1 day",
+) -> DataFrame:
+    """(window_start, n, violations, n_late) of a stream of flagged rows, late rows counted.
+
+    A row is late if its window ended at or before the watermark: the newest time of the earlier
+    micro-batches less `late`. Late rows don't change the window's counts, they add to `n_late`.
+    Each micro-batch writes its counts per window, and the newest time it knows, as a table of its
+    own below `folder`; a batch that is repeated after a failure overwrites that table, and reads the
+    mark of the batch before it. A later call with the same folder goes on where the last one
+    ended. A row without a time is in no window; a NULL flag is no violation.
+    """
+    spark = stream.sparkSession
+    out = f"{folder.rstrip('/')}/counts"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = None
+        if number > 0:
+            before = session.read.parquet(f"{out}/batch={number - 1}").agg(F.max(MARK)).first()[0]
+        window = F.window(time, size)
+        flagged = F.coalesce(F.col("quarantined"), F.lit(False))
+        mark = F.lit(before).cast("timestamp")
+        behind = F.coalesce(F.col("w.end") <= mark - F.expr(f"INTERVAL {late}"), F.lit(False))
+        counted = (
+            batch.where(F.col(time).isNotNull())
+            .select(F.col(time).cast("timestamp").alias("_time"), window.alias("w"), flagged.alias("_flag"))
+            .groupBy("w")
+            .agg(
+                F.count_if(~behind).alias("n"),
+                F.count_if(~behind & F.col("_flag")).alias("violations"),
+                F.count_if(behind).alias("n_late"),
+                F.greatest(F.max("_time"), mark).alias(MARK),
+            )
+            .select(F.col("w.start").alias("window_start"), "n", "violations", "n_late", MARK)
+        )
+        # A batch without a row still hands its mark on.
+        carried = session.range(1).select(
+            F.lit(None).cast("timestamp").alias("window_start"),
+            *[F.lit(0).cast("long").alias(c) for c in ("n", "violations", "n_late")],
+            mark.alias(MARK),
+        )
+        counted.unionByName(carried).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{folder.rstrip('/')}/progress")
+        .trigger(availableNow=True)
+        .foreachBatch(keep)
+        .start()
+    )
+    query.awaitTermination()
+    shape = "window_start timestamp, n long, violations long, n_late long"
+    if folder_at(spark, out) is None:
+        return spark.createDataFrame([], shape)
+    rows = spark.read.schema(shape).parquet(out).where("window_start IS NOT NULL")
+    return rows.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in ("n", "violations", "n_late")])
