@@ -323,6 +323,20 @@ class TestWarc:
             order = run.sort_values("entry_no")["url_key"].tolist()
             assert order == sorted(order) and len(order) <= 16
 
+    def test_history_of_a_hot_url_over_many_ranges(self, spark, monkeypatch):
+        monkeypatch.setattr(warc, "RANGE_ENTRIES", 40)
+        rng = random.Random(9)
+        rows = [(rng.randint(0, 900), f"http://h{max(0, rng.randint(-20, 6))}.org/", f"x{i}") for i in range(500)]
+        rows += [(None, "http://h0.org/", "a"), (None, "http://h0.org/", "b"), (5, None, "c")]
+        got = warc.archived(spark.createDataFrame(rows, self.PAGES).repartition(6))
+        assert got.rdd.getNumPartitions() > 1
+        captures = sorted((r.url_key, r.captured, -1 if r.page_id is None else r.page_id) for r in got.collect())
+        want = Counter()
+        for key in captures:
+            place = 1 + sum(c[0] == key[0] and c < key for c in captures)
+            want[(*key, place)] += 1
+        assert Counter((r.url_key, r.captured, -1 if r.page_id is None else r.page_id, r.history_no) for r in got.collect()) == want
+
     def test_empty_table(self, spark):
         assert warc.archived(spark.createDataFrame([], self.PAGES)).count() == 0
 

@@ -9,6 +9,11 @@ Reading: tasks parse whole archives into index entries, in the order of the run.
 the payloads, are dealt by ranges of (URL key, time, id), so one URL captured very often spreads
 over ranges. In a range the runs meet as sorted lists and a loser tree merges them: each step
 replays one path of the tree, log2(runs) comparisons. The ranges in order are the global history.
+There are as many ranges as keep each to about `RANGE_ENTRIES` entries, whatever the table's size.
+
+Each entry's place in the history of its URL key, `history_no`, is counted while merging. A key that
+runs over several ranges is counted in each; what the ranges before hold of it (a row per range and
+key that reaches a range's end) is added afterwards, so a hot key meets in no task.
 
 Defined results: a null html is an empty payload, a null URL an empty one, a null id is absent;
 rows that repeat the largest id of equal payloads are all responses; among null ids only, too. A
@@ -24,8 +29,9 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from waybill.functions.small import broadcast_up_to, fresh_path, stored
 from waybill.llm.words import bounded_batches
@@ -34,6 +40,7 @@ REVISIT_BYTES = 1000
 #: Records of an archive: many small ones, or a few whose payload is larger than `SMALL_BYTES`.
 SMALL_BYTES, SMALL_RECORDS, LARGE_RECORDS = 1 << 16, 1000, 16
 BROADCAST_ROWS = 1_000_000
+RANGE_ENTRIES = 100_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = (
@@ -247,14 +254,43 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs.append([key for _, key in run])
         starts.append(count)
         count += len(runs[-1])
-    order = [starts[run] + at for run, at in LoserTree(runs)]
-    yield from table.take(pa.array(order)).combine_chunks().to_batches()
+    order, places, before, key_start = [], [], None, 0
+    for run, at in LoserTree(runs):
+        key = runs[run][at]
+        if before is None or key[0] != before[0]:
+            key_start = len(order)
+        # Equal captures share a place.
+        places.append(places[-1] if key == before else len(order) - key_start + 1)
+        order.append(starts[run] + at)
+        before = key
+    merged = table.take(pa.array(order)).append_column("history_no", pa.array(places, pa.int64()))
+    yield from merged.combine_chunks().to_batches()
 
 
 def merged_index(runs: DataFrame) -> DataFrame:
-    """All entries in the order of (URL key, time, id), over the partitions and within each."""
-    ranged = runs.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("archive", "entry_no")
-    return ranged.mapInArrow(_some(_merged, ranged.schema), ranged.schema)
+    """All entries in the order of (URL key, time, id), over the partitions and within each.
+
+    history_no is an entry's rank in its URL key's history, from 1; equal (time, id) share it.
+    runs: stored.
+    """
+    ranges = max(1, -(-runs.count() // RANGE_ENTRIES))
+    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("archive", "entry_no")
+    shape = StructType([*ranged.schema.fields, StructField("history_no", LongType())])
+    merged = ranged.mapInArrow(_some(_merged, ranged.schema), shape)
+    if ranges == 1:
+        return merged
+    merged = stored(merged.withColumn("_range", F.spark_partition_id()))
+    counts = merged.groupBy("_range").agg(F.min("url_key").alias("low"), F.max("url_key").alias("high"))
+    # Only a range's first key can go on from earlier ranges, and there it is the last key.
+    ends = merged.join(counts.select("_range", F.col("high").alias("url_key")), ["_range", "url_key"])
+    ends = ends.groupBy("_range", "url_key").agg(F.count("*").alias("held"))
+    opens = counts.select("_range", F.col("low").alias("url_key"), F.lit(0).cast("long").alias("held"))
+    ends = ends.unionByName(opens).groupBy("_range", "url_key").agg(F.sum("held").alias("held"))
+    before = Window.partitionBy("url_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ends.select("_range", "url_key", F.sum("held").over(before).alias("_earlier")).where("_earlier > 0")
+    placed = merged.join(broadcast_up_to(stored(earlier), BROADCAST_ROWS), ["_range", "url_key"], "left")
+    at = F.col("history_no") + F.coalesce("_earlier", F.lit(0))
+    return placed.withColumn("history_no", at).select(*shape.names)
 
 
 def _some(merge, schema):
@@ -278,18 +314,29 @@ def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     index = archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "history_no"
+    )
 
 
-OP9_SQL = f"""
-WITH p AS (
-  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+OP9_SQL = rf"""
+WITH c AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS target,
+    make_timestamp((946684800 + ((coalesce(page_id, 0) % 1000000000) + 1000000000) % 1000000000) * 1000000) AS moment
   FROM pages
+), p AS (
+  SELECT *, array_to_string(list_reverse(string_split(lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)), '.')), ',')
+      || ')' || regexp_replace(target, '^[A-Za-z][A-Za-z0-9+.-]*://[^/:?#]*(:[0-9]*)?', '') AS url_key,
+    strftime(moment, '%Y-%m-%dT%H:%M:%SZ') AS captured
+  FROM c
 ), f AS (
-  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM p
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first,
+    rank() OVER (PARTITION BY url_key ORDER BY moment, page_id NULLS FIRST) AS history_no FROM p
 )
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id <> first THEN first END AS refers_to
+       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id <> first THEN first END AS refers_to,
+       url_key, captured, history_no
 FROM f
 """
