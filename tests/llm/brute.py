@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import regex
+
 SPACES = r"[^\x20\x09-\x0D]+"
 
 
@@ -193,3 +196,44 @@ def secrets(text: str | None) -> list[tuple[int, int, int, str]]:
             if size >= {"assign": 6, "access": 20, "hex": 24}[kind]:
                 out.append((m.start(), rank, m.end(), kind))
     return sorted(out)
+
+
+def disclosed(texts: list[str], z: float, generalise: float, remove: float) -> dict[int, set]:
+    """(kind, start, stop) of the terms that give personal data away, by document.
+
+    Every pair of an entity and a term is judged; equal texts are different documents.
+    """
+    entities, words = {}, {}
+    for i, text in enumerate(texts):
+        spans = personal(text)
+        entities[i] = {(kind, text[start:stop].lower()) for start, _, stop, kind in spans}
+        found = [(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]++", text)]
+        words[i] = [w for w in found if not any(s[0] < w[1] and w[0] < s[2] for s in spans)]
+    total = len(texts)
+    having = {}
+    for i in words:
+        for _, _, term in words[i]:
+            having.setdefault(term, set()).add(i)
+    held = {}
+    for i, found in entities.items():
+        for entity in found:
+            held.setdefault(entity, set()).add(i)
+
+    def strength(entity, term):
+        hits, n = len(held[entity] & having[term]), len(having[term])
+        p = hits / n
+        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        share = len(held[entity]) / total
+        return math.log2(low / share) / -math.log2(share) if hits and low > 0 else -math.inf
+
+    judged = {(e, t): strength(e, t) for e in held for t in having if held[e] & having[t]}
+    out = {i: set() for i in words}
+    for i in words:
+        for start, stop, term in words[i]:
+            own = [judged[e, term] for e in entities[i]]
+            # What is removed for an entity goes wherever it stands.
+            wide = [v for (e, t), v in judged.items() if t == term and v >= remove]
+            best = max([*own, *wide], default=-math.inf)
+            if best >= generalise:
+                out[i].add(("remove" if best >= remove else "generalise", start, stop))
+    return out

@@ -11,6 +11,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from waybill.llm import license_scans, pii, quality_rules, secret_scans, token_counts
@@ -176,25 +177,25 @@ class TestPersonalData:
         assert [(s.start, s.rank, s.stop, s.kind) for s in row.base] == brute.personal(text)
 
     def test_terms_that_disclose_an_entity(self, spark):
-        filler = ["nothing special happens here today"] * 40
-        shared = [f"ask zorblatt about it, write to z@q.org, number{c} today" for c in "abcd"]
+        filler = ["nothing special happens here today"] * 4000
+        shared = [f"ask zorblatt about it, write to z@q.org, number{c} today" for c in "abcdefgh"]
         partly = ["zorblatt again, alone"]
         docs = _frame(spark, filler + shared)
         rows = {r.id: [(s.kind, s.start, s.stop) for s in r.spans] for r in pii.personal_spans(docs).collect()}
-        assert all(not rows[i] for i in range(40))
+        assert all(not rows[i] for i in range(4000))
         # ask, about, write: as telling as the name; "today" is everywhere, "number" is not.
-        words = {shared[0][s:e] for k, s, e in rows[40] if k == "remove"}
-        assert "zorblatt" in words and "today" not in words
+        words = {shared[0][s:e] for k, s, e in rows[4000] if k == "remove"}
+        assert "zorblatt" in words and "today" not in words and "numbera" not in words
         clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
         assert clean[0] == filler[0]
-        assert "[EMAIL]" in clean[40] and "zorblatt" not in clean[40] and clean[40].endswith(" today")
+        assert "[EMAIL]" in clean[4000] and "zorblatt" not in clean[4000] and clean[4000].endswith(" today")
         # Seen without the entity as well, the name tells less and is generalised only.
         docs = _frame(spark, filler + shared + partly)
         rows = {r.id: [(s.kind, s.start, s.stop) for s in r.spans] for r in pii.personal_spans(docs).collect()}
-        assert ("generalise", 4, 12) in rows[40] and rows[44] == []
+        assert ("generalise", 4, 12) in rows[4000] and rows[4008] == []
 
     def test_entities_of_one_or_two_documents_are_judged(self, spark):
-        docs = _frame(spark, ["nothing special happens here today"] * 60 + [
+        docs = _frame(spark, ["nothing special happens here today"] * 2000 + [
             "nothing special here zorblatt happens one@q.org today",
             "special quibbler happens two@q.org today",
             "special quibbler happens here two@q.org",
@@ -202,18 +203,52 @@ class TestPersonalData:
         texts = [r.text for r in docs.sort("doc_id").collect()]
         rows = {r.id: {(texts[r.id][s.start : s.stop], s.kind) for s in r.spans if s.kind in ("generalise", "remove")}
                 for r in pii.personal_spans(docs).collect()}
-        assert {w for w, _ in rows[60]} == {"zorblatt"}
-        assert {w for w, _ in rows[61]} == {w for w, _ in rows[62]} == {"quibbler"}
-        assert not any(rows[i] for i in range(60))
+        # Few sightings are weak evidence: generalised, not removed.
+        assert rows[2000] == {("zorblatt", "generalise")}
+        assert rows[2001] == rows[2002] == {("quibbler", "generalise")}
+        assert not any(rows[i] for i in range(2000))
 
     def test_short_terms_and_documents_without_the_entity(self, spark):
-        holding = [f"{w} wu 李明 b4821 4711 x@q.org" for w in ("a1", "a2", "a3", "a4", "a5", "a6", "a7", "a8")]
-        docs = _frame(spark, ["common wörds stay"] * 1000 + holding + ["common B4821", "common wu 李明 4711"])
+        holding = [f"a{k} wu 李明 b4821 4711 x@q.org" for k in range(40)]
+        docs = _frame(spark, ["common wörds stay"] * 2000 + holding + ["common B4821", "common wu 李明 4711"])
         texts = [r.text for r in docs.sort("doc_id").collect()]
         rows = {r.id: {texts[r.id][s.start : s.stop] for s in r.spans if s.kind == "remove"} for r in pii.personal_spans(docs).collect()}
-        assert rows[1000] >= {"wu", "李明", "b4821", "4711"}
-        assert rows[1008] == {"B4821"} and rows[1009] == {"wu", "李明", "4711"}
-        assert not any(rows[i] for i in range(1000))
+        assert rows[2000] >= {"wu", "李明", "b4821", "4711"}
+        assert rows[2040] == {"B4821"} and rows[2041] == {"wu", "李明", "4711"}
+        assert not any(rows[i] for i in range(2000))
+
+    def test_judged_terms_against_brute_force(self, spark):
+        rng = random.Random(21)
+        people = [f"p{k}@q.org" for k in range(6)]
+        texts = []
+        for i in range(300):
+            words = [rng.choice(["the", "sun", "rose", "over", "old", "town", f"rare{rng.randint(0, 40)}"]) for _ in range(rng.randint(0, 12))]
+            if i % 7 == 0:
+                k = rng.randrange(6)
+                # Two addresses that always come together, and a nickname that mostly does.
+                words += [people[k], f"alias{k}"] + (["other@q.org", "+49 30 1234567"] if k == 0 else [])
+            elif i % 50 == 3:
+                words.append(f"alias{rng.randrange(6)}")
+            rng.shuffle(words)
+            texts.append(" ".join(words))
+        got = {r.id: {(s.kind, s.start, s.stop) for s in r.spans if s.kind in ("generalise", "remove")}
+               for r in pii.personal_spans(_frame(spark, texts), generalise=0.5, remove=0.75).collect()}
+        want = brute.disclosed(texts, pii.Z, 0.5, 0.75)
+        assert got == want
+        kinds = {k for spans in want.values() for k, _, _ in spans}
+        assert kinds == {"generalise", "remove"}
+
+    def test_many_addresses_in_one_text_are_judged_once(self, spark):
+        text = " ".join(f"u{k}@q.org word{k}" for k in range(2000))
+        docs = _frame(spark, [text, text + " u0@q.org", "u1@q.org alone"] + ["plain words"] * 500)
+        found = {r.id: r for r in pii.personal_spans(docs).collect()}
+        assert len(found[0].base) == 2000 and len(found[0].spans) > 2000
+        assert not found[3].spans
+
+    def test_what_a_generalised_term_becomes(self, spark):
+        said = {"1987": "[1980s]", "7": "[0-9]", "412": "[100-999]", "44000": "[10000-99999]", "b4821": "[CODE]", "Zorblatt": "[NAME]", "quibbler": "[WORD]", "李明": "[WORD]"}
+        rows = spark.createDataFrame([(k,) for k in said], "t string").select("t", pii.generalised(F.col("t")).alias("g"))
+        assert {r.t: r.g for r in rows.collect()} == said
 
     def test_empty_table_and_clashing_columns(self, spark):
         docs = _frame(spark, ["a@b.cd x", "plain"]).selectExpr("*", "1 AS row", "2 AS spans", "3 AS _text", "4 AS base")

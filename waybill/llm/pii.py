@@ -7,13 +7,21 @@ corpus says: a value found by a pattern is an entity c, a word is a term t, and
     information of c:  IC(c) = log2(N / df(c))
     disclosed by t:    PMI(c; t) = log2(P(c | t) / P(c)), P(c) = df(c) / N
 
+P(c | t) is the lower end of its Wilson interval at `Z` standard errors, so few documents are weak
+evidence: a term seen once, with c, counts as if it led there in 27 % of cases, five such
+sightings as 65 %. A rare word isn't removed for being rare; it takes repeated co-occurrence.
+
 A term of a document is removed if it discloses `REMOVE` of the information of an entity of the
 same document, generalised from `GENERALISE` on. What is removed for an entity is removed from every
 document that contains it, as such a term leads to the entity wherever it stands. Terms are all runs
 of letters, marks and digits outside the patterns' spans, of any length; frequent words disclose too
-little to be flagged. Text written without spaces isn't segmented: a run is one term. Entities of every document frequency are judged.
-As few documents are weak evidence, P(c | t) is smoothed towards P(c) as if `PRIOR` documents more
-had held t: (df(c, t) + PRIOR P(c)) / (df(t) + PRIOR).
+little to be flagged. Text written without spaces isn't segmented: a run is one term. Entities of
+every document frequency are judged. Entities that stand in exactly the same documents have the
+same counts with every term and are judged as one, so a list of thousands of addresses in one
+text is paired with the text's terms once.
+
+Removing leaves nothing; generalising leaves the kind of thing: the decade of a year, the size of
+a number, or that a code, a name or a word stood there.
 
 Everything is built from DataFrame functions. Regular expressions are possessive and start only
 where a match can, so a text costs time in proportion to its length. Positions come from the
@@ -36,7 +44,7 @@ from pyspark.sql import functions as F
 from waybill.functions.small import broadcast_up_to, stored
 from waybill.llm.quality_rules import bound
 
-PRIOR = 0.5
+Z = 1.645
 GENERALISE, REMOVE = 0.8, 0.95
 BROADCAST_ROWS = 1_000_000
 
@@ -142,31 +150,37 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.lower(t)))
 
 
-def _judged(total: int, generalise: float, prior: float) -> tuple[Callable[..., Column], Callable[[Column], Column]]:
+def lower_share(hits: Column, n: Column, z: float) -> Column:
+    """Lower end of the Wilson interval of hits out of n."""
+    p, z2 = hits / n, z * z
+    half = z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
+    return (p + z2 / (2 * n) - half) / (1 + z2 / n)
+
+
+def _judged(total: int, generalise: float, z: float) -> tuple[Callable[..., Column], Callable[[Column], Column]]:
     """Strength of a pair from its counts, and the df up to which a term can reach `generalise`."""
 
     def strength(both: Column, df: Column, df_term: Column) -> Column:
         share = df / F.lit(float(total))
-        given = (both + F.lit(prior) * share) / (F.greatest(df_term, both) + F.lit(prior))
-        return F.log2(given / share) / -F.log2(share)
+        return F.log2(lower_share(both, F.greatest(df_term, both), z) / share) / -F.log2(share)
 
     def rarest(df: Column) -> Column:
-        share = df / F.lit(float(total))
+        # The lower end is at most df(c, t) / df(t), and that at most df(c) / df(t).
         # A little more, so that rounding loses no term.
-        return (df + F.lit(prior) * share) * F.pow(share, F.lit(generalise - 1)) * F.lit(1 + 1e-9) - F.lit(prior)
+        return df * F.pow(df / F.lit(float(total)), F.lit(generalise - 1)) * F.lit(1 + 1e-9)
 
     return strength, rarest
 
 
 def disclosing(
-    holders: DataFrame, terms: DataFrame, other_texts: DataFrame, total: int, generalise: float, prior: float
+    holders: DataFrame, terms: DataFrame, other_texts: DataFrame, total: int, generalise: float, z: float
 ) -> tuple[DataFrame, DataFrame]:
     """(row, entity, term) that can matter, and (entity, term, strength, df_term, both) from `generalise` on.
 
     holders: row, entity, df (of the entity); terms: row, term of the documents that hold one;
     other_texts: text of the others. The strength is the share of the entity's information.
     """
-    strength, rarest = _judged(total, generalise, prior)
+    strength, rarest = _judged(total, generalise, z)
     known = broadcast_up_to(stored(terms.select("term").distinct()), BROADCAST_ROWS)
     elsewhere = other_texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(known, "term", "left_semi")
     spread = elsewhere.unionByName(terms.select("term")).groupBy("term").agg(F.count("*").alias("df_term"))
@@ -187,7 +201,7 @@ def personal_spans(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    prior: float = PRIOR,
+    z: float = Z,
     generalise: float = GENERALISE,
     remove: float = REMOVE,
 ) -> DataFrame:
@@ -198,7 +212,10 @@ def personal_spans(
     base = stored(named.select("row", "id", base_spans(F.col("text")).alias("base")))
     held = stored(base.where(F.size("base") > 0).select("row", "base").dropDuplicates(["row"]))
     holders = held.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity"))
-    holders = stored(holders.join(holders.groupBy("entity").agg(F.count("*").alias("df")), "entity"))
+    # Entities of the same documents are one: told by 128 bits over their rows, and their number.
+    halves = [F.expr(f"bit_xor(xxhash64(row, {k}))").cast("string") for k in (1, 2)]
+    alike = holders.groupBy("entity").agg(F.count("*").alias("df"), F.md5(F.concat_ws("|", *halves)).alias("alike"))
+    holders = stored(holders.join(alike, "entity").select("row", F.col("alike").alias("entity"), "df").distinct())
     nothing = F.array().cast(SPAN)
     if holders.isEmpty():
         return base.select("row", "id", "base", F.col("base").alias("spans"))
@@ -211,7 +228,7 @@ def personal_spans(
     words = stored(texts.join(held, "row").select("row", F.inline(free)))
     terms = stored(words.select("row", "term").distinct())
     others = named.join(rows, "row", "left_anti")
-    pairs, strong = disclosing(holders, terms, others, base.count(), generalise, prior)
+    pairs, strong = disclosing(holders, terms, others, base.count(), generalise, z)
     strong = broadcast_up_to(strong, BROADCAST_ROWS)
     marked = pairs.join(strong, ["entity", "term"]).select("row", "term", "strength")
     wide = strong.where((F.col("strength") >= remove) & (F.col("df_term") > F.col("both")))
@@ -252,6 +269,20 @@ def _words(text: Column) -> Column:
     return matches(text, TERM, spans, F.array().cast(WORDS))
 
 
+def generalised(term: Column) -> Column:
+    """What kind of thing a term is: a decade, a number of some size, a code, a name or a word."""
+    digits = F.char_length(term)
+    low, high = F.rpad(F.lit("1"), digits, F.lit("0")), F.repeat(F.lit("9"), digits)
+    return (
+        F.when(term.rlike(r"^(?:18|19|20)[0-9]{2}$"), F.concat(F.lit("["), F.substring(term, 1, 3), F.lit("0s]")))
+        .when(term.rlike(r"^[0-9]$"), F.lit("[0-9]"))
+        .when(term.rlike(r"^[0-9]+$"), F.concat(F.lit("["), low, F.lit("-"), high, F.lit("]")))
+        .when(term.rlike(r"\p{N}"), F.lit("[CODE]"))
+        .when(term.rlike(r"^\p{Lu}"), F.lit("[NAME]"))
+        .otherwise(F.lit("[WORD]"))
+    )
+
+
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All rows and columns; personal data named by kind, disclosing terms generalised or removed."""
     spans = personal_spans(docs, key, text, **options).select("row", "spans").dropDuplicates(["row"])
@@ -260,7 +291,7 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", **option
     identity = F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("-")), body))
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), body.alias("_text"), identity.alias("row"))
     joined = whole.join(broadcast_up_to(spans, BROADCAST_ROWS // 10), "row", "left")
-    mask = F.create_map(*[F.lit(x) for k in BASE for x in (k, f"[{k.upper()}]")], F.lit("generalise"), F.lit("[TERM]"), F.lit("remove"), F.lit(""))
+    mask = F.create_map(*[F.lit(x) for k in BASE for x in (k, f"[{k.upper()}]")], F.lit("remove"), F.lit(""))
 
     def rebuilt(found: Column) -> Column:
         ends = running(F.transform(found, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
@@ -270,7 +301,9 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text", **option
                 before = F.when(i > 0, F.get(upto, i - 1)).otherwise(F.lit(0))
                 kept = F.substring(F.col("_text"), before + 1, F.greatest(s["start"] - before, F.lit(0)))
                 # A span inside earlier ones adds nothing.
-                return F.concat(kept, F.when(s["stop"] > before, F.try_element_at(mask, s["kind"])).otherwise(F.lit("")))
+                own = F.substring(F.col("_text"), s["start"] + 1, s["stop"] - s["start"])
+                shown = F.when(s["kind"] == "generalise", generalised(own)).otherwise(F.try_element_at(mask, s["kind"]))
+                return F.concat(kept, F.when(s["stop"] > before, shown).otherwise(F.lit("")))
 
             tail = F.substring(F.col("_text"), F.element_at(upto, -1) + 1, F.char_length("_text"))
             return F.concat(F.array_join(F.transform(found, one), ""), tail)
