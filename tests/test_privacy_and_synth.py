@@ -79,6 +79,20 @@ def test_a_far_query_visits_few_cells(spark):
     assert got["_visits"].max() < 100  # of more than 200 cells
 
 
+def test_queries_among_the_references_need_two_rounds(spark, monkeypatch):
+    """The first visit follows the split and asks for what remains; no look at the boxes comes before it."""
+    rng = np.random.default_rng(9)
+    points, near = rng.random((4000, 3)), rng.random((300, 3))
+    rounds, visit = [], neighbours._visit
+    monkeypatch.setattr(neighbours, "_visit", lambda *a: rounds.append(1) or visit(*a))
+    table = lambda x: spark.createDataFrame(pd.DataFrame(x, columns=AXES))
+    asked = table(near).withColumn("_key", F.monotonically_increasing_id().cast("string"))
+    got = neighbours.visited(asked, table(points), AXES, cell_rows=200).toPandas()
+    want = np.sort(((near[:, None] - points[None]) ** 2).sum(2).min(1))
+    assert np.allclose(np.sort(got["_best"]), want, rtol=1e-12)
+    assert len(rounds) <= 2
+
+
 def test_large_cells_are_split_again(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "FAN", 4)
     points = spark.createDataFrame(pd.DataFrame(np.random.default_rng(2).normal(size=(3000, 3)) ** 3, columns=AXES))
