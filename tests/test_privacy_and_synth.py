@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from waybill import schema as S
+from waybill.functions.small import computed_once
 from waybill.operators import neighbours, oversample, privacy, ranking, repair, resample, synth
 from waybill.plans import generate as gen
 from waybill.sources import driver_tables as D
@@ -185,6 +186,13 @@ def test_pool_cuts_every_run_and_filter(spark):
     assert got == {("a", 0): 900, ("a", 1): 900, ("b", 0): 900, ("b", 1): 900}
 
 
+def test_formulas_computed_once_share_their_parts(spark):
+    df = computed_once(spark.range(3), {"a": F.sha2(F.col("id").cast("string"), 256), "b": F.length(F.sha2(F.col("id").cast("string"), 256))})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "Generate" in line and "sha2" not in line]
+    assert [r["b"] for r in df.collect()] == [64] * 3
+
+
 def test_uniforms_reach_every_row_of_a_large_table(spark):
     from waybill.functions.hashing import uniform
 
