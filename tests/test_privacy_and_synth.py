@@ -186,6 +186,18 @@ def test_pool_cuts_every_run_and_filter(spark):
     assert got == {("a", 0): 900, ("a", 1): 900, ("b", 0): 900, ("b", 1): 900}
 
 
+def test_full_filters_store_no_more_rows(spark, monkeypatch):
+    """Of a filter that all rows pass only the ids near its n-th are stored, however far another one draws."""
+    monkeypatch.setattr(resample, "PILOT_ROWS", 500)
+    draw = lambda first, n: spark.range(first, first + n).withColumnRenamed("id", "draw_id")
+    mark = lambda df: df.withColumns({"_keep_all": F.lit(True), "_keep_few": F.col("draw_id") % 50 == 0})
+    pool = resample.draw_pool({"r": (draw, mark)}, 600, ["all", "few"])
+    assert pool.cuts["r", "all"] == resample.Cut(600, 600, "full")
+    assert pool.cuts["r", "few"] == resample.Cut(599 * 50 + 1, 600, "full")
+    assert pool.rows.where("_keep_all").count() < 2_000
+    assert pool.survivors().count() == 600 + 600 - 12
+
+
 def test_formulas_computed_once_share_their_parts(spark):
     df = computed_once(spark.range(3), {"a": F.sha2(F.col("id").cast("string"), 256), "b": F.length(F.sha2(F.col("id").cast("string"), 256))})
     plan = df._jdf.queryExecution().executedPlan().toString()
