@@ -198,6 +198,16 @@ def test_full_filters_store_no_more_rows(spark, monkeypatch):
     assert pool.survivors().count() == 600 + 600 - 12
 
 
+def test_tiers_of_the_same_draws_are_drawn_once(spark, proxy):
+    made, calls = synth.copula(proxy), []
+    counted = lambda *a: calls.append(a) or made(*a)
+    got = gen.overdraws(counted, ["none", "strict"], 200, [S.LABEL])
+    assert len(calls) == 1
+    for level, rows in got.items():
+        want = gen.overdraw(made, level, 200).select("draw_id", S.LABEL).collect()
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want))
+
+
 def test_formulas_computed_once_share_their_parts(spark):
     df = computed_once(spark.range(3), {"a": F.sha2(F.col("id").cast("string"), 256), "b": F.length(F.sha2(F.col("id").cast("string"), 256))})
     plan = df._jdf.queryExecution().executedPlan().toString()
