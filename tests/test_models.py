@@ -193,3 +193,35 @@ def test_workflow_runs_to_its_end(labelled):
     out = sweep.run_workflow(labelled, until=4, n=120, **SMALL)
     assert out["synthetic"].count() == 120
     assert {r.metric for r in out["evaluation"].collect()} >= {"dcr_mean", "business_utility", "cvr"}
+
+
+def test_flattened_forest_scores_as_its_model_does(labelled):
+    """Same guesses and probabilities to the last bit, without the model's own transform."""
+    vectors, _, _ = models.prepared(labelled)
+    model = models.fit_forest(vectors, **SMALL)
+    want = model.transform(vectors).select(
+        S.ROW_ID, F.col("prediction").cast("int").alias("y_pred"), models.vector_to_array("probability").alias("proba")
+    )
+    got = models.score(model, vectors, [S.ROW_ID])
+    assert got.count() == vectors.count()
+    assert got.select(S.ROW_ID, "y_pred", "proba").exceptAll(want).isEmpty()
+    used = []
+    model.transform = lambda rows: used.append(rows)
+    assert models.score(model, vectors).schema == got.drop(S.ROW_ID).schema and not used
+
+
+@pytest.mark.parametrize("rows", [1, 700, 40_000])
+def test_trees_walked_together_agree_with_one_row_at_a_time(rows):
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 9, (400, 3)).astype(float), rng.integers(0, 3, 400)
+    grown = forest.grow(x, y, 7, 4, 5)
+    axis, cut, low, share, roots = grown
+    tested = rng.integers(-1, 10, (rows, 3)).astype(float)
+    got = forest.shares([forest._walkable(*grown)], tested)
+    for i in rng.integers(0, rows, 20):
+        total = np.zeros(3)
+        for node in roots:
+            while axis[node] >= 0:
+                node = low[node] + (tested[i, axis[node]] > cut[node])
+            total += share[node]
+        assert (got[:, i] == total).all()
