@@ -405,3 +405,38 @@ def test_late_rows_of_an_empty_stream(spark, tmp_path):
     spark.createDataFrame([], "ts timestamp, quarantined boolean").coalesce(1).write.parquet(path)
     out = A.rates_with_late(A.parquet_stream(spark, path), str(tmp_path / "state"), "ts")
     assert out.count() == 0 and out.columns == ["window_start", "n", "violations", "n_late"]
+
+
+def test_distributions_search_the_real_rows_once(spark, monkeypatch):
+    """Held-out rows take their distance to real rows from the search of all rows; keys may repeat."""
+    rows = [(f"r{i % 35}", float(i * i % 17), float(i % 7)) for i in range(40)]
+    real = spark.createDataFrame(rows, [S.ROW_ID, S.TRANSIT, S.PROMISED])
+    synth = real.withColumn(S.TRANSIT, F.col(S.TRANSIT) + 0.3)
+    want = [privacy.dcr_distances(real, synth), privacy.nnaa_distances(real, synth)]
+    searched, search = [], privacy.nearest_distance
+
+    def watched(asked, refs, *args, **options):
+        searched.append((asked.count(), refs.count()))
+        return search(asked, refs, *args, **options)
+
+    monkeypatch.setattr(privacy, "nearest_distance", watched)
+    privacy.distance_distributions(real, synth)
+    held = round(40 * 0.2)
+    assert sorted(searched) == [(held, 40 - held), (40, 40)]
+    for got, old in zip(privacy.all_distances(real, synth), want, strict=True):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, old.select(S.ROW_ID, *old.columns[1:]).collect()))
+
+
+def test_membership_reads_the_split_from_storage(spark, monkeypatch):
+    from waybill.plans import registered_privacy as plans
+
+    values = {c: (F.col("id") * (i + 3) % 11).cast("double") for i, c in enumerate(S.DURATION_COLUMNS)}
+    rows = spark.range(60).select(F.concat(F.lit("r"), "id").alias(S.ROW_ID), (F.col("id") % 3).cast("int").alias(S.LABEL), *[v.alias(c) for c, v in values.items()])
+    monkeypatch.setattr(plans.D, "canonical", lambda *_: rows)
+    monkeypatch.setattr(plans.D, "synthetic", lambda *_: rows)
+    kept, store = [], plans.stored
+    monkeypatch.setattr(plans, "stored", lambda df: kept.append(df.columns) or store(df))
+    scores = plans._mia(spark, "")
+    assert ["is_member" in columns for columns in kept] == [False, True]
+    # The synthetic rows are copies of the members.
+    assert scores.count() == 60 and scores.where("is_member AND score < 0").isEmpty()
