@@ -440,3 +440,18 @@ def test_membership_reads_the_split_from_storage(spark, monkeypatch):
     assert ["is_member" in columns for columns in kept] == [False, True]
     # The synthetic rows are copies of the members.
     assert scores.count() == 60 and scores.where("is_member AND score < 0").isEmpty()
+
+
+def test_block_settles_ties_by_id_without_comparing_texts():
+    rng = np.random.default_rng(5)
+    points, asked = (rng.integers(0, 4, size=(n, 3)).astype(float) for n in (400, 60))
+    ids = np.array([f"r{i * 37 % 400}" for i in range(400)], dtype=object)
+    half, k = 250, 6
+    dist, found = np.full((60, k), np.inf), np.full((60, k), "", dtype=object)
+    for part in (slice(0, half), slice(half, None)):
+        dist, found = neighbours.Block(points[part]).nearest_rows(asked, ids[part], dist, found)
+    gaps = ((asked[:, None] - points[None]) ** 2).sum(axis=2)
+    for i in range(60):
+        assert list(found[i]) == [n for _, n in sorted(zip(gaps[i], ids))[:k]]
+    few = neighbours.Block(points[:2]).nearest_places(asked, np.array([1, 0]), np.full((60, k), np.inf), np.full((60, k), -1))
+    assert (np.sort(few[1], axis=1) == [-1, -1, -1, -1, 0, 1]).all()
