@@ -7,9 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from waybill import schema as S
 from waybill.functions import pvalues
-from waybill.operators import derive, distribution, ecdf, fidelity, ranking, significance, utility
+from waybill.operators import derive, distribution, ecdf, fidelity, quality, ranking, significance, utility
+from waybill.sources import driver_tables as D
 
 
 def frame(spark, **columns):
@@ -256,3 +258,37 @@ def test_places_listed_twice_do_not_multiply_rows(spark):
     rows = spark.createDataFrame([("10115",), ("10115",), ("99999",)], "zip_code string")
     places = spark.createDataFrame([("10115", 52.5, 13.4), ("10115", 52.5, 13.4)], "zip5 string, latitude double, longitude double")
     assert add_distance(rows, places).count() == 3
+
+
+def test_ks_and_js_equal_those_of_the_ledger(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a = frame(spark, x=np.r_[rng.normal(size=300).round(1), [np.nan] * 9], y=np.r_[np.zeros(200), np.ones(109)], z=np.full(309, 2.0), e=np.full(309, np.nan))
+    b = frame(spark, x=rng.normal(0.4, 2, size=250).round(2), y=np.full(250, 0.5), z=np.full(250, 2.0), e=np.ones(250))
+    names = ["x", "y", "z", "e"]
+    book = fidelity._ledger(a, b, names)
+    js = {r.field: r.js for r in fidelity.ledger.js_divergence(book).collect()}
+    ks = {r.field: r.ks for r in fidelity.ks_and_wasserstein(a, b, names).collect()}
+    monkeypatch.setattr(fidelity.ledger, "value_ledger", None)
+    assert {r.field: r.ks for r in fidelity.ks_complement(a, b, names).collect()} == ks
+    assert {r.field: r.js for r in fidelity.js_divergence(a, b, names).collect()} == pytest.approx({c: js.get(c, 0.0) for c in names}, abs=1e-9)
+
+
+@pytest.mark.parametrize("cells", [1 << 16, 4])
+def test_pairs_are_counted_without_a_row_for_each(spark, monkeypatch, cells):
+    monkeypatch.setattr(quality, "PAIR_CELLS", cells)
+    rng = np.random.default_rng(8)
+    sides = [pd.DataFrame({c: rng.choice(list("uvw") + [None], size=n) for c in "pqr"}) for n in (90, 70)]
+    pairs = [("p", "q"), ("p", "r"), ("q", "r")]
+    got = {r.pair: r.score for r in quality._pair_scores(*[spark.createDataFrame(s, "p string, q string, r string") for s in sides], list("pqr"), pairs).collect()}
+    for i, (a, b) in enumerate(pairs):
+        x, y = ((s[a].fillna("-") + s[b].fillna("-")).value_counts(normalize=True) for s in sides)
+        assert got[i] == pytest.approx(1 - x.sub(y, fill_value=0).abs().sum() / 2, abs=1e-4)
+
+
+def test_both_sides_read_the_lines_joined_once(spark, monkeypatch):
+    calls, plain = [], D._joined
+    monkeypatch.setattr(D, "_joined", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    real, synth = D.sides(spark, SMALL, ["last_scac"])
+    assert len(calls) == 1 and "Join" not in synth._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(real.collect(), key=str) == sorted(D.canonical(spark, SMALL, ["last_scac"]).collect(), key=str)
+    assert sorted(synth.collect(), key=str) == sorted(D.synthetic(spark, SMALL, ["last_scac"]).collect(), key=str)
