@@ -455,3 +455,14 @@ def test_block_settles_ties_by_id_without_comparing_texts():
         assert list(found[i]) == [n for _, n in sorted(zip(gaps[i], ids))[:k]]
     few = neighbours.Block(points[:2]).nearest_places(asked, np.array([1, 0]), np.full((60, k), np.inf), np.full((60, k), -1))
     assert (np.sort(few[1], axis=1) == [-1, -1, -1, -1, 0, 1]).all()
+
+
+def test_copula_draws_are_the_same_by_sent_runs_and_by_shuffle(spark, proxy, monkeypatch):
+    train = proxy.select(S.ROW_ID, S.TRANSIT, S.PROMISED, S.BUFFER, "last_scac", S.LABEL)
+    with monkeypatch.context() as m:
+        m.setattr(synth, "lookup_positions", None)
+        sent = {tuple(r) for r in synth.copula(train)(0, 300).collect()}
+    for most in (0, 10):
+        monkeypatch.setattr(synth, "SENT_RUNS", most)
+        shuffled = {tuple(r) for r in synth.copula(train)(0, 300).collect()}
+        assert len(sent) == 300 and shuffled == sent

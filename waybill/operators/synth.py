@@ -7,17 +7,18 @@ recomputed task draws the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waybill import schema as S
 from waybill.functions.coerce import Fields, quantised
 from waybill.functions.hashing import lane_normal, normal, uniform, with_digests
 from waybill.functions.normal import normal_cdf, normal_quantile
-from waybill.functions.small import computed_once, materialised, shuffle_width
+from waybill.functions.small import broadcast_up_to, computed_once, materialised, shuffle_width, stored
 from waybill.operators.ecdf import long_values, running_counts
 from waybill.operators.ranking import hash_rank
 
@@ -30,6 +31,8 @@ CLIPPED = "CTGAN"
 RANK_CLIP = 1e-4
 RIDGE = 1e-6
 MIN_SPREAD = 1e-9
+#: Distinct values with their ranks, over all fields, that are sent to the tasks.
+SENT_STEPS = 400_000
 
 
 def draw_ids(spark: SparkSession, first: int, n: int, width: int) -> DataFrame:
@@ -88,7 +91,7 @@ def average_ranks(df: DataFrame, columns, key: str = S.ROW_ID) -> DataFrame:
         (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("avg_rank"),
         "total_n",
     )
-    return values.drop("bucket").join(steps, ["field", "value"])
+    return values.drop("bucket").join(broadcast_up_to(stored(steps), SENT_STEPS), ["field", "value"])
 
 
 def copula_scores(df: DataFrame, columns, key: str = S.ROW_ID) -> DataFrame:
@@ -233,12 +236,60 @@ def lookup_positions(asked: DataFrame, runs: DataFrame, total: int, width: int)
     )
 
 
+#: Runs of all fields that are sent to the tasks; fields beyond are looked up by shuffle.
+SENT_RUNS = 1 << 20
+
+
+def sent_runs(runs: DataFrame, fields) -> dict[str, tuple]:
+    """field -> (starts, ends, values, next values, texts) in order, the smallest fields first, while they fit `SENT_RUNS`."""
+    sizes = {r["field"]: r["count"] for r in runs.groupBy("field").count().collect()}
+    taken, room = [], SENT_RUNS
+    for c in sorted(fields, key=lambda c: sizes.get(c, 0)):
+        room -= sizes.get(c, 0)
+        if room >= 0:
+            taken.append(c)
+    held = runs.where(F.col("field").isin(taken)).toPandas().sort_values(["field", "start"])
+    kinds = {"start": "int64", "end": "int64", "value": float, "next_value": float, "text": object}
+    return {c: tuple(held.loc[held["field"] == c, n].to_numpy(dtype=k) for n, k in kinds.items()) for c in taken}
+
+
+def values_at(positions: DataFrame, sent: dict[str, tuple], numeric, kept) -> DataFrame:
+    """(kept…, fields): what `lookup_positions` and the interpolation give for the fields' positions, from sent runs.
+
+    positions: one double column per field, named as the field.
+    """
+    shared = positions.sparkSession.sparkContext.broadcast(sent)
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c, (start, end, value, after, text) in shared.value.items():
+                if not len(start):
+                    batch[c] = None
+                    continue
+                pos = batch[c].to_numpy(dtype=float)
+                whole = np.floor(pos)
+                at = np.maximum(np.searchsorted(start, whole, side="right") - 1, 0)
+                if c in numeric:
+                    between = value[at] + (after[at] - value[at]) * (pos - whole)
+                    batch[c] = np.where(whole + 1 < end[at], value[at], between)
+                else:
+                    batch[c] = text[at]
+            yield batch
+
+    kinds = dict(positions.dtypes)
+    schema = [f"`{c}` {kinds[c]}" for c in kept] + [f"`{c}` {'double' if c in numeric else 'string'}" for c in sent]
+    return positions.select(*kept, *sent).mapInPandas(found, ", ".join(schema))
+
+
 def copula(train: DataFrame, seed: int = 42) -> Draw:
     """Fresh rows: correlated normals mapped through the empirical quantiles; categories
     and label drawn on their own from their shares."""
     numeric = [c for c in S.COPULA_COLUMNS if c in train.columns]
-    usable, constants = usable_columns(train, numeric)
     categories = [c for c in S.CATEGORICAL_COLUMNS if c in train.columns]
+    # The fit reads the rows many times, these columns only.
+    keys = [S.ROW_ID] if S.ROW_ID in train.columns else []
+    train = stored(train.select(*keys, *numeric, *categories, S.LABEL))
+    usable, constants = usable_columns(train, numeric)
     discrete = [*categories, S.LABEL]
 
     numbers = filled_numbers(train, usable)
@@ -253,6 +304,7 @@ def copula(train: DataFrame, seed: int = 42) -> Draw:
     runs = materialised(
         value_runs(numbers, usable, []).unionByName(value_runs(train, [], discrete))
     )
+    sent = sent_runs(runs, [*usable, *discrete])
     width = shuffle_width(train)
 
     def draw(first: int, n: int) -> DataFrame:
@@ -262,28 +314,20 @@ def copula(train: DataFrame, seed: int = 42) -> Draw:
             draw_ids(train.sparkSession, first, n, width),
             {f"_g{i}": g for i, g in enumerate(base)},
         )
-        cells = []
+        spots = {}
         for i, c in enumerate(usable):
             mixed = F.lit(0.0)
             for j in range(i + 1):
                 mixed = mixed + F.lit(float(factor[i, j])) * F.col(f"_g{j}")
-            cells.append(_cell(c, normal_cdf(mixed) * F.lit(float(total - 1))))
+            spots[c] = normal_cdf(mixed) * F.lit(float(total - 1))
         for c in discrete:
             spot = uniform(key, f"share-{c}", seed) * F.lit(float(total))
-            cells.append(_cell(c, F.floor(spot).cast("double")))
-        asked = normals.select("draw_id", F.explode(F.array(*cells)).alias("cell")).select(
-            "draw_id", "cell.*"
-        )
-        hits = lookup_positions(asked, runs, total, width)
-        share = F.col("pos") - F.floor("pos")
-        stays = F.floor("pos") + 1 < F.col("end")
-        number = F.when(stays, F.col("value")).otherwise(
-            F.col("value") + (F.col("next_value") - F.col("value")) * share
-        )
-        rows = hits.withColumn("_number", number).groupBy("draw_id").agg(
-            *[F.max(F.when(F.col("field") == c, F.col("_number"))).alias(c) for c in usable],
-            *[F.max(F.when(F.col("field") == c, F.col("text"))).alias(c) for c in discrete],
-        )
+            spots[c] = F.floor(spot).cast("double")
+        placed = normals.select("draw_id", *[v.alias(c) for c, v in spots.items()])
+        rows = values_at(placed, sent, usable, ["draw_id"])
+        large = [c for c in spots if c not in sent]
+        if large:
+            rows = rows.join(_looked_up(placed, runs, large, usable, total, width), "draw_id")
         return rows.select(
             F.concat(F.lit("S"), key.cast("string")).alias(S.ROW_ID),
             "draw_id",
@@ -297,5 +341,14 @@ def copula(train: DataFrame, seed: int = 42) -> Draw:
     return draw
 
 
-def _cell(field: str, position: Column) -> Column:
-    return F.struct(F.lit(field).alias("field"), position.alias("pos"))
+def _looked_up(placed: DataFrame, runs: DataFrame, fields, numeric, total: int, width: int) -> DataFrame:
+    """(draw_id, fields) by shuffle, for fields of many runs."""
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("pos")) for c in fields])
+    asked = placed.select("draw_id", F.explode(cells).alias("cell")).select("draw_id", "cell.*")
+    hits = lookup_positions(asked, runs.where(F.col("field").isin(fields)), total, width)
+    share = F.col("pos") - F.floor("pos")
+    stays = F.floor("pos") + 1 < F.col("end")
+    number = F.when(stays, F.col("value")).otherwise(F.col("value") + (F.col("next_value") - F.col("value")) * share)
+    return hits.withColumn("_number", number).groupBy("draw_id").agg(
+        *[F.max(F.when(F.col("field") == c, F.col("_number" if c in numeric else "text"))).alias(c) for c in fields]
+    )
