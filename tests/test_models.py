@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waybill import schema as S
-from waybill.operators import audit, fidelity, forest, models, oversample, privacy, ranking, repair, synth
+from waybill.operators import audit, fidelity, forest, models, neighbours, oversample, privacy, ranking, repair, synth
 from waybill.operators.resample import first_by_id
 from waybill.plans import sweep
 from waybill.plans.generate import generate
@@ -225,3 +225,15 @@ def test_trees_walked_together_agree_with_one_row_at_a_time(rows):
                 node = low[node] + (tested[i, axis[node]] > cut[node])
             total += share[node]
         assert (got[:, i] == total).all()
+
+
+def test_attack_counts_rows_of_one_name_apart_on_every_path(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"x": rng.normal(size=240), "cell": np.arange(240) % 3, "is_member": rng.random(240) < 0.5})
+    held = spark.createDataFrame(rows[rows["is_member"]][["cell", "x"]])
+    asked = spark.createDataFrame(rows).withColumn(S.ROW_ID, F.lit("same"))
+    got = []
+    for room in (neighbours.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(neighbours, "BROADCAST_BYTES", room)
+        got.append(sorted(tuple(r) for r in sweep._attack_rates(asked.drop(S.ROW_ID), held, ["x"], 3).collect()))
+    assert got[0] == got[1] and {(c, v) for c, m, v in got[0] if m == "mia_auc"} == {(0, 1.0), (1, 1.0), (2, 1.0)}
