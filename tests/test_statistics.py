@@ -292,3 +292,12 @@ def test_both_sides_read_the_lines_joined_once(spark, monkeypatch):
     assert len(calls) == 1 and "Join" not in synth._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(real.collect(), key=str) == sorted(D.canonical(spark, SMALL, ["last_scac"]).collect(), key=str)
     assert sorted(synth.collect(), key=str) == sorted(D.synthetic(spark, SMALL, ["last_scac"]).collect(), key=str)
+
+
+def test_shapes_cover_dates(spark):
+    """Days 0, 1, 2 and 1, 2, 3: the distribution functions are a third apart; a side without a date scores 0."""
+    days = [pd.to_datetime(["2024-01-01", "2024-01-02", "2024-01-03"]) + pd.Timedelta(days=k) for k in (0, 1)]
+    rows = [pd.DataFrame({S.CAPTURE: d, S.LABEL: [0, 1, 2]}) for d in days]
+    real, synth = (spark.createDataFrame(r).withColumn(S.SHIP, F.lit(None).cast("timestamp")) for r in rows)
+    got = {(r.field, r.kind): r.score for r in quality.column_shapes(real, synth).collect()}
+    assert got == {(S.CAPTURE, "KSComplement"): 0.6667, (S.SHIP, "KSComplement"): 0.0, (S.LABEL, "TVComplement"): 1.0}
