@@ -237,3 +237,61 @@ def test_attack_counts_rows_of_one_name_apart_on_every_path(spark, monkeypatch):
         monkeypatch.setattr(neighbours, "BROADCAST_BYTES", room)
         got.append(sorted(tuple(r) for r in sweep._attack_rates(asked.drop(S.ROW_ID), held, ["x"], 3).collect()))
     assert got[0] == got[1] and {(c, v) for c, m, v in got[0] if m == "mia_auc"} == {(0, 1.0), (1, 1.0), (2, 1.0)}
+
+
+def test_registered_models_are_fitted_on_all_rows(spark, labelled, monkeypatch):
+    """No query bounds a fit, and packed rows are all rows of every cell."""
+    from waybill.plans import registered_models
+
+    bounds, held = [], []
+    monkeypatch.setattr(registered_models.D, "canonical", lambda *a, **k: labelled)
+    monkeypatch.setattr(registered_models.D, "synthetic", lambda *a, **k: labelled)
+    monkeypatch.setattr(registered_models, "_made_rows", lambda *a: 2_300)
+    monkeypatch.setattr(registered_models, "GRID", (["none"], ["TVAE"], [7]))
+    for module in (models, sweep):
+        plain = module.binned
+        monkeypatch.setattr(module, "binned", lambda rows, plain=plain: held.append(plain(rows)) or held[-1])
+        monkeypatch.setattr(module, "grown", lambda rows, trees, *a, plain=module.grown, **k: plain(rows, 2, 3, **k))
+    monkeypatch.setattr(models, "fitted_on", lambda train, most, *a: bounds.append(most) or train)
+    monkeypatch.setattr(models, "BOOST_ROUNDS", 1)
+    registered_models.trtr_baseline(spark, "")
+    registered_models.transfer_curve(spark, "")
+    assert len(bounds) == 5 + 1 + 5 and set(bounds) == {None}
+    total = labelled.count()
+    sizes = [sum(h.sizes.values()) for h in held]
+    assert sizes[0] == sum(total - i * (total // 6) for i in range(1, 6))
+    pool = total - round(total / 5)
+    assert sizes[1:] == [total, total + pool // 4, pool // 4, total + pool, pool]
+    held.clear()
+    registered_models.sweep_long(spark, "")
+    (one,) = held
+    assert one.sizes[0] == 2_300 and sum(r["size"] for r in one.chunks.collect()) == sum(one.sizes.values())
+
+
+def test_forests_have_thresholds_of_all_rows(spark, monkeypatch):
+    """Few rows that differ are found, whatever the partitioning, and by both ways to count values."""
+    rng = np.random.default_rng(6)
+    x = np.c_[rng.normal(size=6000), np.where(np.arange(6000) % 1500 == 0, 5.0, 0.0)]
+    rows = pd.DataFrame({"x": x.tolist(), "cell": 0, S.LABEL: np.where(x[:, 1] > 1, 2, 0)})
+    frame = spark.createDataFrame(rows).withColumns({c: F.col(c).cast("int") for c in ("cell", S.LABEL)})
+    one = forest.binned(frame)
+    (first, second) = one.edges[0]
+    assert second.tolist() == [0.0]
+    assert first.tolist() == np.unique(np.quantile(x[:, 0], np.arange(1, 33) / 32, method="inverted_cdf"))[:-1].tolist()
+    monkeypatch.setattr(forest, "SENT_VALUES", 0)
+    two = forest.binned(frame.repartition(5))
+    assert all(np.array_equal(a, b) for a, b in zip(one.edges[0], two.edges[0], strict=True))
+    a, b = (forest.grown(h, 9, 4)[0] for h in (one, two))
+    assert all(np.array_equal(p, q) for g, h in zip(a.groups, b.groups, strict=True) for p, q in zip(g, h, strict=True))
+    assert (forest.predicted(a.groups, x) == rows[S.LABEL]).all() and a.importances.argmax() == 1
+
+
+def test_boosted_trees_read_bins_of_all_rows(labelled, monkeypatch):
+    """Vectors of bins, as many as the forests have, and a search for thresholds that reads every row."""
+    seen, made = [], models.OneVsRest.fit
+    monkeypatch.setattr(models.OneVsRest, "fit", lambda self, rows: seen.append((self.getClassifier().getMaxBins(), rows)) or made(self, rows))
+    models.boosted_tstr(labelled, labelled, 0.5, rounds=1)
+    ((bins, rows),) = seen
+    assert rows.count() == labelled.count() and bins**2 > labelled.count()
+    x = np.stack([r.features.toArray() for r in rows.select("features").collect()])
+    assert x.min() == 0 and x.max() <= forest.BINS - 1 and (x == x.round()).all()
