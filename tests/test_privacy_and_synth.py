@@ -1,5 +1,8 @@
 """Neighbour search, membership inference, generators, adapters, streams and models."""
 
+import os
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -466,3 +469,31 @@ def test_copula_draws_are_the_same_by_sent_runs_and_by_shuffle(spark, proxy, mon
         monkeypatch.setattr(synth, "SENT_RUNS", most)
         shuffled = {tuple(r) for r in synth.copula(train)(0, 300).collect()}
         assert len(sent) == 300 and shuffled == sent
+
+
+def test_tables_leave_no_shuffles_and_searches_no_wide_rows(spark):
+    """Disk holds what is read later: stored rows, keys and distances."""
+    from waybill.functions.small import shared_folder, stored
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {n for n in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+
+    before, kept = shuffled(), set(os.listdir(shared_folder(spark)))
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame(pd.DataFrame(rng.normal(size=(600, 2)), columns=["x", "y"])).withColumn("_key", F.monotonically_increasing_id())
+    mixed = stored(rows.repartition(3, "x"))
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and mixed.count() == 600
+    asked = rows.withColumn("x", F.col("x") + 0.7)
+    got = neighbours.visited(asked, mixed.select("x", "y"), ["x", "y"], cell_rows=40).toPandas().set_index("_key")
+    refs, points = rows.toPandas(), asked.toPandas()
+    gaps = points[["x", "y"]].to_numpy()[:, None, :] - refs[["x", "y"]].to_numpy()[None, :, :]
+    assert got.loc[points["_key"], "_best"].to_numpy() == pytest.approx((gaps**2).sum(axis=2).min(axis=1))
+    assert got["_visits"].max() > 2
+    folders = [f"{shared_folder(spark)}/{n}" for n in set(os.listdir(shared_folder(spark))) - kept if n.startswith("waybill-")]
+    assert folders and not any("_own" in spark.read.parquet(f).columns for f in folders)
